@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import packing, phrases, simhash
+from corpusloom.llm import packing, phrases, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 
@@ -24,8 +24,15 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (toxicity.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_phrases)}
+    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_phrases, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
