@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import packing, phrases, simhash, toxicity
+from corpusloom.llm import packing, phrases, pstable, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 
@@ -24,6 +24,10 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,7 +36,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_phrases, op9_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_phrases, op8_pstable, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.components import connected
+from corpusloom.llm.components import connected, merge, settle
 from corpusloom.llm.texts import blocks
 from corpusloom.session import staged
 
@@ -103,26 +103,6 @@ class Tree:
         return rows, nodes - ((1 << self.depth) - 1)
 
 
-def _settle(parent: np.ndarray) -> np.ndarray:
-    while True:
-        above = parent[parent]
-        if np.array_equal(above, parent):
-            return parent
-        parent = above
-
-
-def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the classes of a[i] and b[i] for all i; parents are the least members."""
-    while True:
-        parent = _settle(parent)
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return parent
-        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-
-
 def _exact(fps: np.ndarray, own: np.ndarray, radius: int, parent: np.ndarray) -> np.ndarray:
     """Compare all of own with each other, block by block."""
     for at in range(0, len(own), LEAF):
@@ -131,7 +111,7 @@ def _exact(fps: np.ndarray, own: np.ndarray, radius: int, parent: np.ndarray) ->
             i, j = np.nonzero(np.bitwise_count(part[:, None] ^ fps[own[to : to + LEAF]][None, :]) <= radius)
             keep = i + at < j + to
             if keep.any():
-                parent = _merge(parent, own[at + i[keep]], own[to + j[keep]])
+                parent = merge(parent, own[at + i[keep]], own[to + j[keep]])
     return parent
 
 
@@ -146,7 +126,7 @@ def _by_probes(fps: np.ndarray, own: np.ndarray, parent: np.ndarray) -> np.ndarr
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     who = own[order // 65]
-    return _merge(parent, who[:-1][same], who[1:][same])
+    return merge(parent, who[:-1][same], who[1:][same])
 
 
 def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -167,7 +147,7 @@ def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
             parent = _by_probes(fps, own, parent) if radius == 2 else _exact(fps, own, radius, parent)
         else:
             todo += [inner, outer]
-    return _settle(parent)
+    return settle(parent)
 
 
 def classes(found: DataFrame, radius: int = 2) -> DataFrame:
