@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import chat, langid, packing, phrases, pstable, simhash, toxicity
+from corpusloom.llm import chat, fertility, langid, packing, phrases, pstable, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 
@@ -32,6 +32,10 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(fertility.measured(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -50,7 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op6_phrases, op8_pstable, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
