@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import brown, chat, fertility, langid, packing, phrases, pstable, simhash, toxicity
+from corpusloom.llm import brown, chat, fertility, langid, mixing, packing, phrases, pstable, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 
@@ -31,6 +31,11 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scored(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(documents(spark, sf_dir))
+    return found.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
 def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.without_recurring(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,7 +63,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid)}
+    found = {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op5_mixing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
