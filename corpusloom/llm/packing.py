@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.texts import blocks
+from corpusloom.llm.texts import blocks, release
 from corpusloom.session import staged
 
 CAPACITY = 2048
@@ -67,6 +67,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, i
                     for column, value in zip(out, (key, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 1 else pa.int64()) for k, x in enumerate(out)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

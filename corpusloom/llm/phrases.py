@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.texts import Words
+from corpusloom.llm.texts import Words, release
 
 SIZE = 35
-CHUNK = 8_000_000  # characters of text to a chunk, about
+CHUNK = 5_000_000  # characters of text to a chunk, about
 SYMBOLS = 0x10FFFF - 0x800 - 0x100  # code points that can stand for words
 
 
-def sharing(texts: list[str | None], size: int, buckets: int, most: int = 4 << 20):
+def sharing(texts: list[str | None], size: int, buckets: int, most: int = 1 << 20):
     """(distinct hashes by bucket, where each bucket's begin, for each window its place among them, whether it recurs in here, the blocks)."""
     blocks, at = [], 0
     while at < len(texts):
@@ -120,11 +120,13 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         distinct, at, *_ = sharing(table.column("text").to_pylist(), size, buckets)
         full = np.flatnonzero(np.diff(at))
         return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([distinct[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         found = confirm([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed")])
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": pa.array([np.packbits(x).tobytes() for x in found], pa.binary())})
 
@@ -132,6 +134,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = T.StructType([T.StructField("id", kinds[id_col]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(T.StructField(n, kinds[c]) for c, n in names.items())])
 
     def remove(table: pa.Table, bits: pa.Table) -> pa.Table:
+        release()
         texts = table.column("text").to_pylist()
         distinct, at, place, recurs, blocks = sharing(texts, size, buckets)
         for bucket, packed in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):

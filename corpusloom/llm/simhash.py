@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected, merge, settle
-from corpusloom.llm.texts import blocks
+from corpusloom.llm.texts import blocks, release
 from corpusloom.session import staged
 
 SEED = 42
@@ -69,6 +69,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for block in blocks(batches):
             fps = np.array([fingerprint(t, size) for t in block["text"]], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(block["id"], pa.int64()), pa.array(fps)], ["id", "fp"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 

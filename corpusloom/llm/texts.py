@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers are reused and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     r"""Words [^\x20\x09-\x0D]+ of a text as UTF-8; bytes.split() cuts at exactly these."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.texts import blocks
+from corpusloom.llm.texts import blocks, release
 
-EXAMPLES = 2000
+EXAMPLES = 1500
 LONGEST = 20_000
 SPAN, STEP = 32, 20
 PART = 32
-WORDS = 200_000
+WORDS = 100_000
 CHARS = 192  # distinct characters with inputs of their own
 HC, H, A = 16, 8, 8
 THRESHOLD = 0.7
@@ -153,8 +153,8 @@ class Model:
         """The inputs of words: character states, the verdict on them and the log-odds."""
         out = np.zeros((len(words), 2 * HC + 2), np.float32)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 4096):
-            rows = order[at : at + 4096]
+        for at in range(0, len(order), 2048):
+            rows = order[at : at + 2048]
             part = [words[k] for k in rows]
             ends, _ = self.states(part)
             out[rows, : 2 * HC] = ends
@@ -235,15 +235,17 @@ def _followers(ids: list[np.ndarray], n: int) -> np.ndarray:
 
 def train(examples: list[tuple[str, int]], seed: int = 5) -> Model | None:
     """Fit both networks; None without examples of both labels."""
-    texts = [TOKEN.findall(t.lower()) for t, _ in examples]
     labels = np.array([int(x) for _, x in examples], np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
     rows: dict[str, int] = {}
-    ids = [np.array([rows.setdefault(w, len(rows)) for w in words], np.int64) for words in texts]
+    ids = [np.fromiter((rows.setdefault(w, len(rows)) for w in TOKEN.findall(t.lower())), np.int64) for t, _ in examples]
     seen = [_followers([x for x, y in zip(ids, labels) if y == k], len(rows)) for k in (0, 1)]
-    letters = Counter("".join(w for words in texts for w in words))
+    letters: Counter = Counter()
+    for word, n in zip(rows, np.bincount(np.concatenate(ids), minlength=len(rows)).tolist()):
+        for letter in word:
+            letters[letter] += n
     chars = {c: k + 1 for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:CHARS])}
     tell = np.tanh((np.log((seen[1] + 0.5) / (seen[1].sum() + 1)) - np.log((seen[0] + 0.5) / (seen[0].sum() + 1))) / 3)
     odds = {w: float(x) for w, x, n in zip(rows, tell, seen[0] + seen[1]) if n >= 8}
@@ -276,7 +278,7 @@ def _train_characters(model: Model, words: list[str], in0: np.ndarray, in1: np.n
     for k in range(steps):
         if k % (steps // 5) == 0:
             if k:  # the words of label 0 that are taken for others come up more often from here on
-                found = np.concatenate([_sigmoid(model.states(words[i : i + 8192])[0] @ model.c["v"] + model.c["b"]) for i in range(0, len(words), 8192)])
+                found = np.concatenate([_sigmoid(model.states(words[i : i + 2048])[0] @ model.c["v"] + model.c["b"]) for i in range(0, len(words), 2048)])
                 hard = np.where(one, 0, weight * (found > 0.2))
                 share = 0.5 * hard / max(hard.sum(), 1e-12)
             else:
@@ -366,7 +368,7 @@ class Scorer:
         ids = [np.fromiter((rows.setdefault(w, len(rows)) for w in TOKEN.findall(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         if len(rows) > known:
             new = list(rows)[known:] if known else list(rows)
-            fresh = np.concatenate([self.model.gates(self.model.encode(new[i : i + 65_536])) for i in range(0, len(new), 65_536)])
+            fresh = np.concatenate([self.model.gates(self.model.encode(new[i : i + 16_384])) for i in range(0, len(new), 16_384)])
             self.table = np.concatenate([self.table[:known], fresh])
         sizes = np.array([len(x) for x in ids], np.int64)
         low = np.cumsum(sizes) - sizes
@@ -405,5 +407,6 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
         for batch in batches:
             scores = [scorer.scores(block["text"]) for block in blocks([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])], most=1 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())], [*batch.schema.names, "score"])
+        release()
 
     return docs.mapInArrow(run, f"{schema}, score double")
