@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from corpusloom.queries import language
+
+FLAGSHIP = "predict_next"
+MODULES = (language,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
