@@ -17,22 +17,34 @@ from corpusloom.functions import lists as L
 from corpusloom.functions import text as X
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns worked out once per row.
+
+    A lambda that refers to an expression works it out again for every
+    element; behind a generator it is an attribute.
+    """
+    names = df.columns
+    own = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_held")
+    return df.select("*", own).select(*(F.col(f"`{n}`") for n in names if n not in columns), "_held.*")
+
+
 def sentences(docs: DataFrame, text_col: str = "text", kernel: bool = False, abbreviations=L.ABBREVIATIONS) -> DataFrame:
     """docs with `sentences`: arrays of normalised words. Stays inside the row."""
-    df = docs.withColumn("_raw", X.raw_tokens(text_col))
-    if kernel:
-        ends = F.transform("_raw", lambda t, i: F.when(X.is_kernel_terminator(t), i))
-    else:
-        ends = F.transform("_raw", lambda t, i: F.when(X.is_sentence_terminator(t, F.get(F.col("_raw"), i + 1), abbreviations), i))
-    df = df.withColumn("_norm", F.transform("_raw", X.normalize_word))
-    df = df.withColumn("_ends", F.array_union(F.filter(ends, lambda i: i.isNotNull()), F.filter(F.array(F.size("_raw") - 1), lambda i: i >= 0)))
+    df = held(docs, _raw=X.raw_tokens(text_col))
+    after = F.concat(F.slice("_raw", 2, F.greatest(F.size("_raw"), F.lit(1))), F.array(F.lit(None).cast("string")))
+    pairs = F.arrays_zip(F.col("_raw").alias("t"), after.alias("n"))
+    df = held(df, _pairs=F.when(F.size("_raw") > 0, pairs))
+    rule = (lambda p: X.is_kernel_terminator(p["t"])) if kernel else (lambda p: X.is_sentence_terminator(p["t"], p["n"], abbreviations))
+    ends = F.filter(F.transform("_pairs", lambda p, i: F.when(rule(p), i)), lambda i: i.isNotNull())
+    last = F.filter(F.array(F.size("_raw") - 1), lambda i: i >= 0)
+    df = held(df, _norm=F.transform("_raw", X.normalize_word), _ends=F.array_union(F.coalesce(ends, F.array().cast("array<int>")), last))
 
     def cut(end: Column, k: Column) -> Column:
         begin = F.when(k == 0, 0).otherwise(F.get(F.col("_ends"), k - 1) + 1)
         return F.filter(F.slice("_norm", begin + 1, end - begin + 1), lambda w: w != "")
 
     whole = F.filter(F.transform("_ends", cut), lambda s: F.size(s) > 0)
-    return df.withColumn("sentences", whole).drop("_raw", "_norm", "_ends")
+    return df.withColumn("sentences", whole).drop("_raw", "_norm", "_ends", "_pairs")
 
 
 @dataclass
@@ -64,7 +76,7 @@ def count(docs: DataFrame, text_col: str = "text", kernel: bool = False, by: tup
 def from_sentences(rows: DataFrame, by: tuple[str, ...] = ()) -> Counts:
     """Counts over rows with an array of words s."""
     sos = F.array(F.lit(L.SOS), F.lit(L.SOS))
-    padded = rows.select(*by, F.concat(sos, "s").alias("p"))
+    padded = held(rows.select(*by, "s"), p=F.concat(sos, "s"))
 
     def grams(n: int, names: list[str], first: int) -> DataFrame:
         at = F.sequence(F.lit(first), F.size("p") - n)
