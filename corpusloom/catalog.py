@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import language
+from corpusloom.queries import language, retrieval, scalar
 
 FLAGSHIP = "predict_next"
-MODULES = (language,)
+MODULES = (language, scalar, retrieval)
 
 
 def queries() -> dict:

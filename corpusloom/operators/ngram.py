@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lists as L
 from corpusloom.functions import text as X
+from corpusloom.session import staged
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -200,12 +201,14 @@ def packed(counts: Counts, k: int = 16) -> DataFrame:
 
 def beam_phrases(counts: Counts, contexts: DataFrame, words: int = 4, width: int = 4, step_k: int = 8, reward: float = 0.6, min_avg: float = float("-inf")) -> DataFrame:
     """(query_id, phrase, n, log_prob, score, rank) for contexts(query_id, w2, w1): a step per word, all queries at once."""
+    counts = Counts(staged(counts.uni, "uni"), staged(counts.bi, "bi"), staged(counts.tri, "tri"))
     beams = contexts.select("query_id", "w2", "w1", F.array().cast("array<string>").alias("phrase"), F.lit(0.0).alias("total"))
     done = None
     for _ in range(words):
         nexts = predict(counts, beams, step_k).select("w2", "w1", "w", "log_prob")
         live = beams.where(~F.coalesce(F.element_at("phrase", -1).isin(".", "!", "?", L.SOS), F.lit(False))) if done is not None else beams
         grown = live.alias("b").join(nexts.alias("n"), F.expr("b.w2 <=> n.w2 and b.w1 <=> n.w1")).select("query_id", F.col("b.w1").alias("w2"), F.col("n.w").alias("w1"), F.concat("phrase", F.array("n.w")).alias("phrase"), (F.col("total") + F.col("log_prob")).alias("total"))
+        grown = staged(grown, "beam")  # else each step would work out all steps before it
         done = grown if done is None else done.unionByName(grown)
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("total", 9)), F.array_join("phrase", " "))
         beams = grown.withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).drop("r")

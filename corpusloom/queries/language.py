@@ -126,9 +126,9 @@ def predict_next(spark, sf_dir):
 
 PREDICT = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()}, {CONTEXTS},
     seen AS (SELECT c.w2, c.w1, tri.w FROM contexts c JOIN tri ON tri.w2 = c.w2 AND tri.w1 = c.w1 UNION SELECT c.w2, c.w1, bi.w FROM contexts c JOIN bi ON bi.w1 = c.w1),
-    some AS (SELECT * FROM seen WHERE w <> '<s>'),
+    cands AS (SELECT * FROM seen WHERE w <> '<s>'),
     top AS (SELECT w FROM uni ORDER BY c DESC, w LIMIT 8),
-    asked AS (SELECT * FROM some UNION ALL SELECT c.w2, c.w1, top.w FROM contexts c, top WHERE NOT EXISTS (SELECT 1 FROM some s WHERE s.w1 = c.w1 AND s.w2 IS NOT DISTINCT FROM c.w2)),
+    asked AS (SELECT * FROM cands UNION ALL SELECT c.w2, c.w1, top.w FROM contexts c, top WHERE NOT EXISTS (SELECT 1 FROM cands s WHERE s.w1 = c.w1 AND s.w2 IS NOT DISTINCT FROM c.w2)),
     scored AS ({S.log_prob('asked', 'a.w2, a.w1, a.w')}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY w2, w1 ORDER BY round(log_prob, 9) DESC, w) AS rank FROM scored)
     SELECT w2, w1, rank, w, round(log_prob, 5) AS log_prob FROM ranked WHERE rank <= 5"""
@@ -162,10 +162,10 @@ def document_cache(spark, sf_dir):
     return df.groupBy("path").agg(F.round(F.sum("b"), 4).alias("base"), F.round(F.sum(lifted), 4).alias("cached"))
 
 
-CACHE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()}, {ASKED}, b AS ({S.log_prob('asked', 'a.path, a.w')}),
+CACHE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()}, {ASKED}, based AS ({S.log_prob('asked', 'a.path, a.w')}),
     o AS (SELECT path, w, count(*) AS c FROM asked GROUP BY ALL), n AS (SELECT path, count(*) AS total FROM asked GROUP BY ALL),
-    x AS (SELECT b.path, b.log_prob AS b, o.c, n.total, u.w IS NOT NULL AS known, ln(coalesce(p1.p, 1e-9)) AS u FROM b JOIN o ON o.path = b.path AND o.w = b.w JOIN n ON n.path = b.path LEFT JOIN uni u ON u.w = b.w LEFT JOIN p1 ON p1.w = b.w)
-    SELECT path, round(sum(b), 4) AS base, round(sum(CASE WHEN known AND c >= 2 THEN least(0, b + least(0.15 * (ln(c / total) - u), 1.0)) ELSE b END), 4) AS cached FROM x GROUP BY path"""
+    x AS (SELECT b.path, b.log_prob AS base_lp, o.c, n.total, u.w IS NOT NULL AS known, ln(coalesce(p1.p, 1e-9)) AS u FROM based b JOIN o ON o.path = b.path AND o.w = b.w JOIN n ON n.path = b.path LEFT JOIN uni u ON u.w = b.w LEFT JOIN p1 ON p1.w = b.w)
+    SELECT path, round(sum(base_lp), 4) AS base, round(sum(CASE WHEN known AND c >= 2 THEN least(0, base_lp + least(0.15 * (ln(c / total) - u), 1.0)) ELSE base_lp END), 4) AS cached FROM x GROUP BY path"""
 
 
 def packed_model(spark, sf_dir):
