@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import language, retrieval, scalar
+from corpusloom.queries import language, retrieval, scalar, spelling
 
 FLAGSHIP = "predict_next"
-MODULES = (language, scalar, retrieval)
+MODULES = (language, scalar, retrieval, spelling)
 
 
 def queries() -> dict:

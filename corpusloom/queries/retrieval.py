@@ -94,7 +94,7 @@ SELECT sensitivity, round(s, 6) AS floor FROM l JOIN r ON r.k = least(n - 1, flo
 def related_sections(spark, sf_dir):
     """Sections (vectors with the words of the document of their id) related to every hundredth one.
 
-    The label is the note and the id's remainder by 7 the heading.
+    The id's remainder by 20 is the note and that by 7 the heading.
     """
     v = _vectors(spark, sf_dir)
     cen = V.centred(v, "vec_id", "embedding")
@@ -103,9 +103,9 @@ def related_sections(spark, sf_dir):
     levels = {r[0]: r[1] for r in V.floors(V.background(cen, "vec_id", "cen")).collect()}
     weights = _weights(spark, sf_dir)[0].groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
     sections = v.select("vec_id", "label").join(cen, "vec_id").join(weights, F.col("vec_id") == F.col("doc_id"))
-    sections = sections.select(F.col("label").alias("path"), (F.col("vec_id") % 7).cast("string").alias("heading"), F.col("vec_id").alias("sec_id"), "cen", "terms")
+    sections = sections.select((F.col("vec_id") % 20).alias("path"), (F.col("vec_id") % 7).cast("string").alias("heading"), F.col("vec_id").alias("sec_id"), "cen", "terms")
     asked = sections.where("sec_id % 100 = 0").select(F.col("sec_id").alias("query_id"), F.col("path").alias("q_path"), F.col("cen").alias("q_cen"), F.col("terms").alias("q_terms"))
-    found = V.related(asked, sections, levels[3], levels[1], 12, corroborate=True)
+    found = V.related(asked, sections, levels[5], levels[1], 12)
     return found.select("query_id", "rank", "path", "sec_id", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"))
 
 
