@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import language, retrieval, scalar, spelling
+from corpusloom.queries import language, notes, retrieval, scalar, spelling
 
 FLAGSHIP = "predict_next"
-MODULES = (language, scalar, retrieval, spelling)
+MODULES = (language, scalar, retrieval, spelling, notes)
 
 
 def queries() -> dict:
