@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import language, notes, retrieval, scalar, spelling
+from corpusloom.queries import language, live, notes, retrieval, scalar, spelling
 
 FLAGSHIP = "predict_next"
-MODULES = (language, scalar, retrieval, spelling, notes)
+MODULES = (language, scalar, retrieval, spelling, notes, live)
 
 
 def queries() -> dict:
