@@ -133,5 +133,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     read = placed.select("mix_row", "mix_text", "n_tokens", "mix_source", "mix_id", "block").join(taken, ["mix_source", "block"]).withColumn("turn", F.explode("turns"))
     read = read.withColumn("epoch", F.col("turn.epoch")).withColumn("left", F.col("turn.left")).withColumn("key", _hash(F.lit(str(seed)), F.col("epoch").cast("string"), "mix_id"))
     inside = Window.partitionBy("mix_source", "block", "epoch").orderBy("key", "mix_id", "mix_text")
-    read = read.withColumn("place", F.row_number().over(inside)).withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    read = read.withColumn("place", F.row_number().over(inside).cast("long")).withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     return read.where(F.col("before") < F.col("left")).select("mix_row.*", *ADDED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import brown, chat, fertility, langid, mixing, packing, phrases, pstable, simhash, toxicity
+from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, packing, phrases, pstable, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 
@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
