@@ -320,7 +320,15 @@ def block_words(text: Column | str) -> Column:
 
 def inflection_class(word: Column | str) -> Column:
     w = _col(word)
-    return F.when(w.endswith("ing"), "ing").when(w.endswith("ed"), "ed").when(w.endswith("s"), "s").otherwise("")
+    n = F.length(w)
+    return F.when((n >= 5) & w.endswith("ing"), "ing").when((n >= 4) & w.endswith("ed"), "ed").when((n >= 4) & w.endswith("s") & ~w.endswith("ss"), "s").otherwise("")
+
+
+def same_lemma(a: Column, b: Column) -> Column:
+    """Whether one word begins with the other and is four letters longer at most, or both share four letters."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    root = (F.substring(a, 1, 4) == F.substring(b, 1, 4)) & (F.length(short) >= 4)
+    return (long.startswith(short) & (F.length(long) - F.length(short) <= 4)) | root
 
 
 def is_negation_of(a: Column, b: Column) -> Column:

@@ -56,7 +56,7 @@ SELECT token, regexp_matches(token, '^[.,!?;:]') AS starts_tight, regexp_matches
     length(token) = 1 AND token NOT IN ('a', 'i') AS fragment, regexp_matches(token, '[0-9][A-Za-z]+$') AS digit_glued,
     regexp_matches(token, '^[A-Za-z]\\.$|^\\.[A-Za-z]$') AS dotted_initial, contains(token, '.') AS abbreviation_token,
     regexp_full_match(token, '[\\p{{L}}\\p{{N}}_/-]+') AND regexp_matches(token, '[^\\p{{N}}/_-]') AS valid_tag,
-    CASE WHEN suffix(token, 'ing') THEN 'ing' WHEN suffix(token, 'ed') THEN 'ed' WHEN suffix(token, 's') THEN 's' ELSE '' END AS inflection FROM c"""
+    CASE WHEN length(token) >= 5 AND suffix(token, 'ing') THEN 'ing' WHEN length(token) >= 4 AND suffix(token, 'ed') THEN 'ed' WHEN length(token) >= 4 AND suffix(token, 's') AND NOT suffix(token, 'ss') THEN 's' ELSE '' END AS inflection FROM c"""
 
 
 def doubled_words(spark, sf_dir):
