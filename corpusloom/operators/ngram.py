@@ -88,6 +88,18 @@ def from_sentences(rows: DataFrame, by: tuple[str, ...] = ()) -> Counts:
     return Counts(uni, grams(2, ["w1", "w"], 0), grams(3, ["w2", "w1", "w"], 0))
 
 
+def model(docs: DataFrame, text_col: str = "text") -> Counts:
+    """count(), written once: a model is read many times over.
+
+    Trigrams determine the rest: every word ends one, and every pair but the
+    two markers that begin a sentence ends one.
+    """
+    tri = staged(count(docs, text_col).tri, "tri")
+    begun = tri.where((F.col("w2") == L.SOS) & (F.col("w1") == L.SOS)).agg(F.sum("c").alias("c")).where("c is not null")
+    pairs = tri.groupBy("w1", "w").agg(F.sum("c").alias("c")).unionByName(begun.select(F.lit(L.SOS).alias("w1"), F.lit(L.SOS).alias("w"), "c"))
+    return Counts(staged(tri.groupBy("w").agg(F.sum("c").alias("c")), "uni"), staged(pairs, "bi"), tri)
+
+
 def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(w, df): in how many documents each word occurs."""
     own = F.array_distinct(F.flatten("sentences"))

@@ -37,7 +37,7 @@ class Engine:
     state: DataFrame | None = None
 
     def load_global_text(self, docs: DataFrame, text_col: str = "text") -> None:
-        self.world = ngram.count(docs, text_col)
+        self.world = ngram.model(docs, text_col)
 
     def load_global(self, counts: ngram.Counts) -> None:
         self.world = counts

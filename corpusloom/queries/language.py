@@ -12,7 +12,11 @@ from corpusloom.queries import sql as S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; text of a single file, which may be one row group and so one task, is dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages") and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def _docs(spark, sf_dir):
@@ -97,7 +101,7 @@ ASKED = f"""{S.tokens('(SELECT conv_id || chr(47) || turn AS path, text FROM con
 
 def _log_prob(continuation: bool):
     def run(spark, sf_dir):
-        counts = ngram.count(_docs(spark, sf_dir))
+        counts = ngram.model(_docs(spark, sf_dir))
         scored = ngram.log_prob(counts, _asked(spark, sf_dir), continuation)
         return scored.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum("log_prob"), 4).alias("log_prob"))
 
@@ -120,7 +124,7 @@ CONTEXTS = f"""{S.tokens('benchmark', 'item_id', 'q')}, qs AS (SELECT list(w ORD
 
 
 def predict_next(spark, sf_dir):
-    found = ngram.predict(ngram.count(_docs(spark, sf_dir)), _contexts(spark, sf_dir), 5)
+    found = ngram.predict(ngram.model(_docs(spark, sf_dir)), _contexts(spark, sf_dir), 5)
     return found.select("w2", "w1", F.col("rank").cast("long").alias("rank"), "w", F.round("log_prob", 5).alias("log_prob"))
 
 
@@ -137,8 +141,8 @@ PREDICT = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()},
 def mixture(spark, sf_dir):
     """Next words of the conversations under the mixture of a global and a personal model."""
     asked = _asked(spark, sf_dir)
-    one = ngram.log_prob(ngram.count(_docs(spark, sf_dir)), asked, name="g")
-    both = ngram.log_prob(ngram.count(_talk(spark, sf_dir)), one, name="p")
+    one = ngram.log_prob(ngram.model(_docs(spark, sf_dir)), asked, name="g")
+    both = ngram.log_prob(ngram.model(_talk(spark, sf_dir)), one, name="p")
     return both.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(ngram.mixed(F.col("g"), F.col("p"))), 4).alias("log_prob"))
 
 
@@ -150,7 +154,7 @@ MIXTURE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()},
 def document_cache(spark, sf_dir):
     """Words of the conversations, lifted by how often their own turn uses them."""
     asked = _asked(spark, sf_dir)
-    counts = ngram.count(_docs(spark, sf_dir))
+    counts = ngram.model(_docs(spark, sf_dir))
     base = ngram.log_prob(counts, asked, name="b")
     empty = F.lit(None).cast("string")
     words = asked.select("w").distinct().select(empty.alias("w2"), empty.alias("w1"), "w")
@@ -170,7 +174,7 @@ CACHE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()}, {
 
 def packed_model(spark, sf_dir):
     """The benchmark's model, packed to 8 bits."""
-    found = ngram.packed(ngram.count(table(spark, sf_dir, "benchmark")))
+    found = ngram.packed(ngram.model(table(spark, sf_dir, "benchmark")))
     return found.select("w2", "w1", "w", F.col("q").cast("long").alias("q"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -205,7 +209,7 @@ DELTA = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {ASKED}, {S.co
 def phrase_beams(spark, sf_dir):
     """Phrases of up to three words after each benchmark context, by beam search."""
     contexts = _contexts(spark, sf_dir).withColumn("query_id", F.concat_ws(" ", "w2", "w1"))
-    found = ngram.beam_phrases(ngram.count(table(spark, sf_dir, "benchmark")), contexts, words=3)
+    found = ngram.beam_phrases(ngram.model(table(spark, sf_dir, "benchmark")), contexts, words=3)
     return found.where("rank <= 5").select("query_id", "phrase", "n", F.round("score", 6).alias("score"), "rank")
 
 

@@ -12,7 +12,7 @@ from corpusloom.queries.language import _asked, table
 
 
 def _model(spark, sf_dir):
-    return ngram.count(table(spark, sf_dir, "benchmark"))
+    return ngram.model(table(spark, sf_dir, "benchmark"))
 
 
 def _typed(spark, sf_dir):
