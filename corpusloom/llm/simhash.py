@@ -14,6 +14,15 @@ its components and never the pairs. Shards over MAX_SHARD fingerprints are
 resolved by probe keys instead: balls of radius 1 around two fingerprints meet
 exactly if these differ in 2 bits at most.
 
+`distinct_rows` is the search for a pipeline: rows whose sets of word shingles
+have a Jaccard similarity of `similarity` or more are linked. Its fingerprint
+has 256 bits. A pair at 0.8 differs in 39 of them (deviation 6) and unrelated
+texts in 128 (deviation 8), so a reach of 80 bits parts the two. A ring of 80
+bits around such medians holds everything, so trees cut nothing here; texts are
+dealt by the size of their sets instead, as sets of which one is below 0.8 of
+the other can't be similar. Blocks of neighbouring sizes are compared in full,
+and what is found is held against the shingle sets themselves.
+
 Null, empty and blank texts have fingerprint zero and are linked like others.
 Equal rows are each returned. Extra columns are ignored. An empty table gives
 an empty result.
@@ -31,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected, merge, settle
-from corpusloom.llm.texts import blocks, release
+from corpusloom.llm.texts import Words, blocks, mix64, release
 from corpusloom.session import staged
 
 SEED = 42
@@ -39,6 +48,10 @@ SAMPLE = 8192  # fingerprints that the dealing tree is fitted on, whatever the i
 SHARD = 8192  # fingerprints a shard aims at
 MAX_SHARD = 262_144  # beyond it, probe keys
 LEAF = 512  # fingerprints compared directly
+REACH, HALF_REACH = 80, 44  # bits in which similar texts may differ, of 256 and of the first 128
+BLOCK = 8192  # wide fingerprints to a block, about
+TEXTS, SHINGLES = 256, 200_000  # texts and shingles to a block in the exact comparison, about
+OFFSETS = np.random.default_rng(SEED).integers(1, 1 << 63, 4, dtype=np.uint64)
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -209,3 +222,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = classes(found, radius).select(F.col("fp").alias("key"), "component")
     joined = found.join(by_fp, found["fp"] == by_fp["key"], "left")
     return joined.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Each text's word shingles as sorted distinct hashes; fewer than `size` words are one shingle."""
+    words = Words(texts, lower=True)
+    hashes = words.hashes()
+    starts, found, _ = words.windows(hashes, size)
+    at = np.searchsorted(words.doc[starts], np.arange(len(texts) + 1))
+    out = []
+    for d, n in enumerate(words.counts.tolist()):
+        if n >= size:
+            out.append(np.unique(found[at[d] : at[d + 1]]))
+        else:
+            own = hashes[words.first[d] : words.first[d + 1]].tobytes()
+            out.append(np.array([xxhash.xxh64_intdigest(own, SEED)] if n else [], np.uint64))
+    return out
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """256 bits as four words: each bit by the majority of the shingles."""
+    total = np.zeros(256, np.int64)
+    for at in range(0, len(shingles), 16_320):
+        part = mix64(shingles[at : at + 16_320, None] + OFFSETS[None, :])
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8)  # 255 ones fit a byte
+        total += sums.sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(shingles), bitorder="little").view(np.uint64)
+
+
+def wide_pairs(left: np.ndarray, right: np.ndarray | None = None):
+    """(i, j) of the pairs within reach, in parts; i < j within left if there is no right."""
+    other = left if right is None else right
+    for at in range(0, len(left), LEAF):
+        part = left[at : at + LEAF]
+        for to in range(0 if right is not None else at, len(other), LEAF):
+            near = other[to : to + LEAF]
+            d = np.bitwise_count(part[:, None, 0] ^ near[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ near[None, :, 1])
+            i, j = np.nonzero(d <= HALF_REACH)
+            rest = np.bitwise_count(part[i, 2:] ^ near[j, 2:]).sum(axis=1, dtype=np.int64)
+            keep = d[i, j] + rest <= REACH
+            if right is None:
+                keep &= i + at < j + to
+            if keep.any():
+                yield i[keep] + at, j[keep] + to
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def similar_links(sets: list[np.ndarray], wide: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """A forest of exact links; between the sides only, if there are any. Pairs that it already joins are not compared."""
+    parent, out = list(range(len(sets))), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    left, right = (np.arange(len(sets)), None) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+    for i, j in wide_pairs(wide[left], None if right is None else wide[right]):
+        for a, b in zip(left[i].tolist(), (left if right is None else right)[j].tolist()):
+            x, y = root(a), root(b)
+            if x != y and similar(sets[a], sets[b], similarity):
+                parent[y] = x
+                out.append((a, b))
+    return out
+
+
+def similar_classes(distinct: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, component) of the rows of distinct(row, n, wide) that are similar to another; texts has (row, text)."""
+    spark = distinct.sparkSession
+    usual = distinct.where(F.col("n") * (1 - similarity) >= similarity - 1e-9)  # lesser sets are similar to equal ones only
+    usual = usual.withColumn("kind", F.floor(F.log("n") / np.log(1.000001 / similarity)).cast("int"))
+    units, pairs, at = {}, {}, 0
+    for kind, count in sorted(tuple(r) for r in usual.groupBy("kind").count().collect()):
+        units[kind] = range(at, at := at + -(-count // BLOCK))
+    for kind in units:
+        pairs[kind] = np.array([u for k in (kind - 1, kind, kind + 1) for u in units.get(k, ())], np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, rows = np.asarray(batch.column(2)), np.asarray(batch.column(0))
+            for kind in np.unique(kinds).tolist():
+                here, other = np.flatnonzero(kinds == kind), pairs[kind]
+                own = units[kind].start + (mix64(rows[here].view(np.uint64)) % np.uint64(len(units[kind]))).astype(np.int64)
+                for low in range(0, len(here), 256):
+                    part, unit = np.repeat(here[low : low + 256], len(other)), np.repeat(own[low : low + 256], len(other))
+                    to = np.tile(other, len(here[low : low + 256]))
+                    taken = batch.select(["row", "wide"]).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(unit, to)), pa.array(np.maximum(unit, to)), pa.array(unit), *taken.columns], ["i", "j", "own", "row", "wide"])
+
+    def unpack(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, 4)
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        rows, wide, own = table.column("row").to_numpy(), unpack(table), table.column("own").to_numpy()
+        parent = np.arange(len(rows))
+        left = np.flatnonzero(own == key[0].as_py())
+        right = None if key[0].as_py() == key[1].as_py() else np.flatnonzero(own == key[1].as_py())
+        for i, j in wide_pairs(wide[left], None if right is None else wide[right]):
+            parent = merge(parent, left[i], (left if right is None else right)[j])
+        root = settle(parent)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": rows[linked], "b": rows[root[linked]]})
+
+    dealt = usual.select("row", "wide", "kind").mapInArrow(deal, "i long, j long, own long, row long, wide binary")
+    near = connected(dealt.groupBy("i", "j").applyInArrow(search, "a long, b long"))
+    members = distinct.join(near, distinct["row"] == near["id"]).select("row", "component", "n", "wide")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    members = members.join(sizes, "component").join(texts, "row")
+    block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks").cast("long")).cast("int")
+    paired = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "wide", "text")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.column("row").to_numpy()
+        side = None if key[1].as_py() == key[2].as_py() else table.column("own").to_numpy() == key[2].as_py()
+        found = similar_links(shingle_sets(table.column("text").to_pylist(), size), unpack(table), side, similarity)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": rows[a], "b": rows[b]})
+
+    return connected(paired.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def distinct_rows(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row of each class of similar texts, that of the least id."""
+    rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            sets = shingle_sets(block["text"], size)
+            digests = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
+            wide = [wide_fingerprint(x).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(block["row"], pa.int64()), pa.array(block["id"], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array(wide, pa.binary())], ["row", "id", "n", "digest", "wide"])
+        release()
+
+    known = rows.select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = known.mapInArrow(run, "row long, id long, n long, digest binary, wide binary")
+    distinct = staged(marks.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.first("n").alias("n"), F.first("wide").alias("wide")).select("least.id", "least.row", "n", "wide"), "simhash-distinct")
+    labels = similar_classes(distinct.select("row", "n", "wide"), known.select("row", "text"), size, similarity).withColumnRenamed("id", "node")
+    labelled = distinct.join(labels, distinct["row"] == labels["node"], "left").select("id", "row", F.coalesce("component", "row").alias("component"))
+    kept = labelled.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)

@@ -385,3 +385,32 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.select("doc_id").collect()} <= {k for k, *_ in rows} and got.count() > 10
+
+
+def test_pipeline_links_similar_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [None, "", "one two", "ONE  two", "a b c d e f g h", "a b c d e f g h i", prose(20_000)]
+    for n in (30, 60, 100, 300, 700):
+        for _ in range(6):
+            texts.append(prose(n))
+            for share in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
+                texts.append(" ".join(w if rng.random() > share else "zz" + w for w in texts[-1].split()))
+    rng.shuffle(texts)
+
+    def shingles(text):
+        w = WORD.findall((text or "").lower())
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = dict(enumerate(map(shingles, texts)))
+    linked = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    label = least_reachable(sets, linked)
+    assert 40 < len(set(label.values())) < len(texts) - 40
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for block, most in ((8192, 256), (20, 3)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "TEXTS", most)
+        got = [r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
+        assert sorted(got) == sorted(set(label.values()))
+    assert corpus_pipeline.simhash_stage(spark, df.where("false"), "").count() == 0
