@@ -353,7 +353,7 @@ def similar_classes(distinct: DataFrame, texts: DataFrame, size: int, similarity
 
 
 def distinct_rows(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one row of each class of similar texts, that of the least id."""
+    """The rows of docs with one row of each class of similar texts, that of the least id; rows without an id all stay."""
     rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,10 +364,10 @@ def distinct_rows(docs: DataFrame, size: int, similarity: float, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(block["row"], pa.int64()), pa.array(block["id"], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array(wide, pa.binary())], ["row", "id", "n", "digest", "wide"])
         release()
 
-    known = rows.select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = rows.where(F.col(id_col).isNotNull()).select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = known.mapInArrow(run, "row long, id long, n long, digest binary, wide binary")
     distinct = staged(marks.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.first("n").alias("n"), F.first("wide").alias("wide")).select("least.id", "least.row", "n", "wide"), "simhash-distinct")
     labels = similar_classes(distinct.select("row", "n", "wide"), known.select("row", "text"), size, similarity).withColumnRenamed("id", "node")
     labelled = distinct.join(labels, distinct["row"] == labels["node"], "left").select("id", "row", F.coalesce("component", "row").alias("component"))
     kept = labelled.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least")).select("least.row")
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row", "left_semi").unionByName(rows.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -414,3 +414,14 @@ def test_pipeline_links_similar_texts(spark, monkeypatch):
         got = [r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
         assert sorted(got) == sorted(set(label.values()))
     assert corpus_pipeline.simhash_stage(spark, df.where("false"), "").count() == 0
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    one, two = prose(80), prose(90)
+    near = " ".join([*one.split()[:-1], "zz"])
+    rows = [(None, one), (None, one), (None, None), (None, prose(50)), (5, one), (5, one), (5, near), (5, two), (3, near), (9, two), (7, prose(40))]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
+    assert Counter(got) == Counter(rows[:4] + [(3, near), (5, two), rows[10]])
