@@ -13,6 +13,7 @@ import public_tokenizers as P
 import xxhash
 
 from corpusloom.llm import brown, chat, fertility, langid, mixing, packing, phrases, pstable, simhash, toxicity
+from corpusloom.llm.components import connected
 from corpusloom.llm.texts import Words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -425,3 +426,14 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
     assert Counter(got) == Counter(rows[:4] + [(3, near), (5, two), rows[10]])
+
+
+@pytest.mark.parametrize("shape", ["chain", "sorted", "star", "random"])
+def test_components_of_long_chains(spark, shape):
+    n = 1500
+    ids = [RNG.getrandbits(62) for _ in range(n)]
+    if shape == "sorted":
+        ids.sort()
+    edges = [(ids[0], x) for x in ids[1:]] if shape == "star" else [(RNG.choice(ids), RNG.choice(ids)) for _ in range(n)] if shape == "random" else list(zip(ids, ids[1:]))
+    got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == least_reachable({k for e in edges for k in e}, edges)
