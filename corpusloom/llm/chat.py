@@ -63,17 +63,17 @@ def parts(role: str, text: str) -> list[tuple[int | str, bool]]:
 FORMATTED = "conv_id long, text string, ids array<int>, loss array<tinyint>"
 
 
-def formatted(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+def formatted(rows: DataFrame, place: tuple[str, str, str]) -> DataFrame:
     """(conv_id, text, ids, loss) of rows (conv_id, turn, role, text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
+        code = encoder(*place)
         for block in blocks(batches):
             shown, ids, steps = [], [], []
             for role, text in zip(block["role"], block["text"]):
                 own, marks, piece = [], [], ""
                 for part, loss in parts(role or "", text or ""):
-                    new = [FIRST_RESERVED + part] if isinstance(part, int) else code.encode_ordinary(part)
+                    new = [FIRST_RESERVED + part] if isinstance(part, int) else code.ids(part, False).tolist()
                     if loss and new:
                         marks += [len(own), len(own) + len(new)]
                     own += new
@@ -142,20 +142,17 @@ def read_turns(ids: np.ndarray, loss: np.ndarray, decode) -> tuple[list[tuple[st
     return turns, masked
 
 
-def read_back(found: DataFrame, path: str, pattern: str) -> DataFrame:
+def read_back(found: DataFrame, place: tuple[str, str, str]) -> DataFrame:
     """Digests of what formatted() wrote, from its ids and mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
-
-        def decode(ids: list[int]) -> str:
-            return code.decode_bytes(ids).decode("utf-8")
+        code = encoder(*place)
 
         for block in blocks(batches):
             out: list[list] = [[] for _ in range(6)]
             for conv, text, ids, loss in zip(block["conv_id"], block["text"], block["ids"], block["loss"]):
                 mask = np.array(loss, np.int8)
-                turns, masked = read_turns(np.array(ids, np.int64), mask, decode)
+                turns, masked = read_turns(np.array(ids, np.int64), mask, code.text)
                 under = "".join(masked)
                 row = (conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text))
                 for column, value in zip(out, row):

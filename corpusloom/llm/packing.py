@@ -19,6 +19,7 @@ packed each. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from tokenizers import Tokenizer
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +42,38 @@ BUCKET = 4096  # pieces to a rank bucket, about
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
+LONG_SPACE = re.compile(r"\s{4096}")  # its pattern makes tiktoken backtrack without bound
+
+
+class Encoder:
+    """A byte-level BPE vocabulary, read from its ranks and, for white space that those can't take, its JSON file."""
+
+    def __init__(self, ranks: str, json: str, pattern: str):
+        with open(ranks, "rb") as f:
+            own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.code = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=own, special_tokens={SPECIAL: SPECIAL_ID})
+        self.json = json
+
+    @cache
+    def slow(self, special: bool) -> Tokenizer:
+        out = Tokenizer.from_file(self.json)
+        out.encode_special_tokens = not special
+        return out
+
+    def ids(self, text: str, special: bool) -> np.ndarray:
+        """The ids of the JSON file; `special`: whether the special token's string is that token or ordinary text."""
+        if len(text) >= 4096 and LONG_SPACE.search(text):
+            return np.array(self.slow(special).encode(text, add_special_tokens=False).ids, "<u4")
+        return self.code.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=()).astype("<u4")
+
+    def text(self, ids: list[int]) -> str:
+        return self.code.decode_bytes(ids).decode("utf-8")
+
+
 @cache
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file; its ids are those of the JSON file of the same vocabulary."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def encoder(ranks: str, json: str, pattern: str) -> Encoder:
+    return Encoder(ranks, json, pattern)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,15 +82,15 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, place: tuple[str, str, str], capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; texts that exceed the capacity are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern)
+        code = encoder(*place)
         for block in blocks(batches):
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(block["id"], block["text"]):
-                ids = np.append(code.encode_to_numpy(text, disallowed_special=()), END).astype("<u4") if text else np.array([END], "<u4")
+                ids = np.append(code.ids(text, True), np.uint32(END)) if text else np.array([END], "<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     for column, value in zip(out, (key, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))):
                         column.append(value)
@@ -148,6 +176,6 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*columns, (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack: one row per piece."""
-    return packed(staged(pieces(docs, path, pattern, capacity, id_col, text_col), "pieces"), capacity)
+def pack(docs: DataFrame, place: tuple[str, str, str], capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise, cut and pack: one row per piece. place: a vocabulary's ranks, its JSON file and the pattern."""
+    return packed(staged(pieces(docs, place, capacity, id_col, text_col), "pieces"), capacity)

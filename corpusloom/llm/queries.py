@@ -10,6 +10,8 @@ import public_tokenizers
 from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, packing, phrases, pstable, simhash, toxicity
 from corpusloom.llm.texts import documents
 
+PLACE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -19,12 +21,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
-    place = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return chat.read_back(chat.formatted(rows, *place), *place)
+    return chat.read_back(chat.formatted(rows, PLACE), PLACE)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(documents(spark, sf_dir), PLACE)
 
 
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
