@@ -3,23 +3,26 @@
 A window is `size` consecutive words of one text. Windows whose word sequence
 also starts anywhere else are recurring; every word under one is removed.
 
-1. Texts are dealt to chunks by a hash of their id. A chunk sends each distinct
-   window hash once, packed by hash bucket, however often it holds the window.
-2. A bucket confirms the hashes that two chunks sent and answers each chunk
-   with one bit per hash. A window that half the corpus shares costs one hash
-   per chunk. The bucket comes from a second hash, so a hash must agree in
-   64 + log2(buckets) bits to be taken for another.
-3. Each chunk cuts its recurring passages into windows, compiles them into an
-   Aho-Corasick automaton of its own (a shard; one symbol per word) and streams
-   its documents through it. Matches are all of one length, so a place has one
-   at most and the work is linear in the text.
-
-The documents' exchange is shared by steps 1 and 3, so their text moves once.
+1. Texts are dealt to chunks by a hash. A chunk sends each distinct window as
+   48 bits of a hash, in the list of its hash bucket. These bits only name
+   candidates: windows that two chunks sent, or that one chunk holds twice.
+2. A bucket joins the chunks that have a candidate to a ring, and each chunk
+   sends the words of its candidates to the next one, neighbouring windows
+   joined to passages. So every chunk gets each candidate's words from one
+   other, however many have it.
+3. A chunk compiles the passages it was sent, and its own candidates, into an
+   Aho-Corasick automaton (a shard of the corpus's automaton, one symbol or two
+   per word) and streams all its documents through it. A window is confirmed
+   if its words, and not just its hash, come from another chunk or match twice
+   in this one. Only matches remove words.
+
+A window that half the corpus shares is sent once by each chunk.
+The documents' exchange is shared by the steps, so their text moves once.
 
 Null, empty and blank texts have no words and nothing to remove; texts of
 fewer than `size` words are kept whole. Repeated rows count as separate
-documents: each is a copy of the other. Rows with equal ids are all returned.
-An empty table gives an empty result.
+documents: each is a copy of the other. Rows with equal or null ids are all
+returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,114 +39,207 @@ from corpusloom.llm.texts import Words, release
 
 SIZE = 35
 CHUNK = 5_000_000  # characters of text to a chunk, about
+PER_BUCKET = 24_000_000
 SYMBOLS = 0x10FFFF - 0x800 - 0x100  # code points that can stand for words
 
 
-def sharing(texts: list[str | None], size: int, buckets: int, most: int = 1 << 20):
-    """(distinct hashes by bucket, where each bucket's begin, for each window its place among them, whether it recurs in here, the blocks)."""
-    blocks, at = [], 0
-    while at < len(texts):
-        to, room = at, most
-        while to < len(texts) and (to == at or len(texts[to] or "") <= room):
-            room -= len(texts[to] or "")
-            to += 1
-        words = Words(texts[at:to])
-        hashes = words.hashes()
-        blocks.append((at, words, hashes, *words.windows(hashes, size)))
-        at = to
-    one = np.concatenate([b[4] for b in blocks] or [np.zeros(0, np.uint64)])
-    two = np.concatenate([b[5] for b in blocks] or [np.zeros(0, np.uint64)]) % np.uint64(buckets)
-    order = np.lexsort((one, two))
-    one, two = one[order], two[order]
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    place = np.empty(len(one), np.int64)
-    place[order] = np.cumsum(new) - 1
-    distinct, bucket = one[new], two[new]
-    repeated = np.diff(np.append(np.flatnonzero(new), len(one))) > 1
-    return distinct, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)), place, repeated, blocks
-
-
-def confirm(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each chunk's hashes, which of them another chunk has too."""
-    every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    found = np.zeros(len(every), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    return np.split(found, np.cumsum([len(p) for p in parts])[:-1])
-
-
-def covered(words: Words, hashes: np.ndarray, starts: np.ndarray, recurs: np.ndarray, size: int) -> np.ndarray:
-    """Which words lie under a match of the automaton over the recurring passages."""
-    out = np.zeros(len(hashes), bool)
-    hit = starts[recurs]
-    if not len(hit):
-        return out
-    has = np.zeros(len(words.counts), bool)
-    has[words.doc[hit]] = True
-    begins = np.ones(len(hit), bool)
-    begins[1:] = (hit[1:] != hit[:-1] + 1) | (words.doc[hit[1:]] != words.doc[hit[:-1]])
-    firsts = hit[begins]
-    lasts = hit[np.append(np.flatnonzero(begins)[1:], len(hit)) - 1]
-    inside = np.flatnonzero(has[words.doc])
-    known, symbol = np.unique(hashes[inside], return_inverse=True)
-    symbol = symbol % SYMBOLS + 0x100
-    symbol += (symbol >= 0xD800) * 0x800
-    points = np.zeros(len(hashes), "<u4")
-    points[inside] = symbol
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    texts = {d: points[words.first[d] : words.first[d + 1]].tobytes().decode("utf-32-le") for d in np.flatnonzero(has).tolist()}
-    for first, last, d, low in zip(firsts.tolist(), lasts.tolist(), words.doc[firsts].tolist(), words.first[words.doc[firsts]].tolist()):
-        for at in (*range(first - low, last - low, size), last - low):
-            automaton.add_word(texts[d][at : at + size], 1)
-    automaton.make_automaton()
-    exact = len(known) <= SYMBOLS
-    confirmed = np.zeros(len(hashes), bool)
-    confirmed[hit] = True
-    change = np.zeros(len(hashes) + 1, np.int64)
-    for d, text in texts.items():
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) + words.first[d] + 1
-        if not exact:  # two words may share a symbol
-            ends = ends[confirmed[ends - size]]
-        change[ends - size] += 1
-        change[ends] -= 1
-    return np.cumsum(change[:-1]) > 0
+class Chunk:
+    """The windows of a chunk's texts and their places: a hash bucket and 48 bits of a hash."""
+
+    def __init__(self, texts: list[str | None], size: int, buckets: int, most: int = 1 << 20):
+        self.size, self.blocks, found, at = size, [], [], 0
+        while at < len(texts):
+            to, room = at, most
+            while to < len(texts) and (to == at or len(texts[to] or "") <= room):
+                room -= len(texts[to] or "")
+                to += 1
+            words = Words(texts[at:to])
+            hashes = words.hashes()
+            starts, one, two = words.windows(hashes, size)
+            self.blocks.append((words, hashes, starts))
+            found.append((one >> np.uint64(16), two % np.uint64(buckets)))
+            at = to
+        none = [np.zeros(0, np.uint64)]
+        one, two = (np.concatenate(none + [f[k] for f in found]) for k in (0, 1))
+        order = np.lexsort((one, two))
+        one, two = one[order], two[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.back = np.empty(len(one), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+        self.twice = np.diff(np.append(np.flatnonzero(new), len(one))) > 1
+        self.places = one[new]
+        self.bounds = np.searchsorted(two[new], np.arange(buckets + 1, dtype=np.uint64))
+
+    def passages(self, wanted: np.ndarray) -> list[bytes]:
+        """The words of the wanted windows (a flag for each place), neighbours joined, each passage once."""
+        out: dict[bytes, None] = {}
+        low = 0
+        for words, _, starts in self.blocks:
+            hit = starts[wanted[self.back[low : low + len(starts)]]]
+            low += len(starts)
+            if not len(hit):
+                continue
+            begins = np.ones(len(hit), bool)
+            begins[1:] = (hit[1:] != hit[:-1] + 1) | (words.doc[hit[1:]] != words.doc[hit[:-1]])
+            firsts, lasts = hit[begins], hit[np.append(np.flatnonzero(begins)[1:], len(hit)) - 1]
+            for a, b in zip(words.starts[firsts].tolist(), words.ends[lasts + self.size - 1].tolist()):
+                out[b" ".join(words.raw[a:b].split())] = None
+        return list(out)
+
+
+def partners(parts: list[np.ndarray], chunks: list[int]) -> list[np.ndarray]:
+    """For each chunk's hashes of one bucket: (place, chunk to send to) of those that other chunks have.
+
+    The chunks that have a hash form a ring; each sends to the next one.
+    """
+    order = np.argsort(chunks, kind="stable")
+    sizes = [len(parts[k]) for k in order]
+    every, owner = np.concatenate([parts[k] for k in order]), np.repeat(np.arange(len(parts)), sizes)
+    by = np.argsort(every, kind="stable")
+    every = every[by]
+    last = np.append(every[1:] != every[:-1], True)
+    first = np.flatnonzero(np.append(True, last[:-1]))
+    after = np.arange(1, len(every) + 1)
+    after[last] = first
+    target = np.empty(len(every), np.int64)
+    target[by] = by[after]
+    names = np.array([chunks[k] for k in order], np.int32)
+    out: list[np.ndarray] = [np.zeros((0, 2), np.int32)] * len(parts)
+    for k, (low, high) in enumerate(zip(np.cumsum([0, *sizes[:-1]]).tolist(), np.cumsum(sizes).tolist())):
+        shared = np.flatnonzero(target[low:high] != np.arange(low, high))
+        out[order[k]] = np.stack([shared.astype(np.int32), names[owner[target[low:high][shared]]]], axis=1)
+    return out
+
+
+def pack48(values: np.ndarray) -> bytes:
+    """Numbers below 2**48 in six bytes each."""
+    return values.astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def unpack48(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, "<u4", n).astype(np.uint64) | np.frombuffer(packed, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+class Shard:
+    """An automaton over passages of words; a word is one symbol, or two where the alphabet is too small."""
+
+    def __init__(self, known: np.ndarray, size: int):
+        self.known, self.size, self.width = known, size, 1 if len(known) <= SYMBOLS else 2
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.alone: list[bool] = []  # of each pattern: whether another chunk's words confirm it
+
+    def text(self, hashes: np.ndarray) -> str:
+        number = np.searchsorted(self.known, hashes)
+        if self.width == 2:
+            number = np.stack([number // SYMBOLS, number % SYMBOLS], axis=1).ravel()
+        points = number + 0x100
+        points += (points >= 0xD800) * 0x800
+        return points.astype("<u4").tobytes().decode("utf-32-le")
+
+    def add(self, hashes: np.ndarray, confirmed: bool) -> None:
+        """Every window of a passage."""
+        text, step = self.text(hashes), self.width
+        for at in range(0, len(text) - self.size * step + 1, step):
+            window = text[at : at + self.size * step]
+            number = self.automaton.get(window, None)
+            if number is None:
+                self.automaton.add_word(window, len(self.alone))
+                self.alone.append(confirmed)
+            elif confirmed:
+                self.alone[number] = True
+
+    def close(self) -> None:
+        if len(self.alone):
+            self.automaton.make_automaton()
+
+    def matches(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of every window of one document that the automaton knows."""
+        if len(hashes) < self.size or not self.alone:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [(end, k) for end, k in self.automaton.iter(self.text(hashes)) if (end + 1) % self.width == 0]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return (both[:, 0] + 1) // self.width - self.size, both[:, 1]
+
+
+def located(chunk: Chunk, sent: list[bytes]) -> list[np.ndarray]:
+    """For each block of a chunk, which words lie under a confirmed window."""
+    size = chunk.size
+    foreign = Words([p.decode("utf-8", "surrogatepass") for p in sent])
+    own = Words([p.decode("utf-8", "surrogatepass") for p in chunk.passages(chunk.twice)])
+    hashes = foreign.hashes(), own.hashes()
+    shard = Shard(np.unique(np.concatenate([*hashes, *(b[1] for b in chunk.blocks)])), size)
+    for words, found, confirmed in ((foreign, hashes[0], True), (own, hashes[1], False)):
+        for d in range(len(words.counts)):
+            shard.add(found[words.first[d] : words.first[d + 1]], confirmed)
+    shard.close()
+    places = []  # (block, first word in it, pattern) of all matches
+    for k, (words, found, _) in enumerate(chunk.blocks):
+        for d in range(len(words.counts)):
+            starts, patterns = shard.matches(found[words.first[d] : words.first[d + 1]])
+            if len(starts):
+                places.append((np.full(len(starts), k), starts + words.first[d], patterns))
+    block, start, pattern = (np.concatenate(x) if places else np.zeros(0, np.int64) for x in (zip(*places) if places else ((), (), ())))
+    recurs = np.array(shard.alone, bool)[pattern] | (np.bincount(pattern, minlength=1)[pattern] > 1) if len(pattern) else np.zeros(0, bool)
+    out = []
+    for k, (_, found, _) in enumerate(chunk.blocks):
+        hit = start[(block == k) & recurs]
+        change = np.zeros(len(found) + 1, np.int64)
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + size, -1)
+        out.append(np.cumsum(change[:-1]) > 0)
+    return out
 
 
 def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept, *carry): kept words joined by one space."""
     total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    chunks, buckets = max(1, round(total / CHUNK)), max(1, round(total / 24_000_000))
+    chunks, buckets = max(1, round(total / CHUNK)), max(1, round(total / PER_BUCKET))
     names = {c: f"carry_{k}" for k, c in enumerate(carry)}
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
+    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         release()
-        distinct, at, *_ = sharing(table.column("text").to_pylist(), size, buckets)
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets)
+        at = chunk.bounds
         full = np.flatnonzero(np.diff(at))
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([distinct[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([pack48(chunk.places[at[b] : at[b + 1]]) for b in full], pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         release()
-        found = confirm([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("packed")])
-        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": pa.array([np.packbits(x).tobytes() for x in found], pa.binary())})
+        found = partners([unpack48(x.as_py()) for x in table.column("packed")], table.column("chunk").to_pylist())
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets)
+        at, places, targets = chunk.bounds, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("pairs")):
+            pairs = np.frombuffer(packed.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
+            places.append(pairs[:, 0] + at[bucket])
+            targets.append(pairs[:, 1])
+        place, target = np.concatenate(places), np.concatenate(targets)
+        order = np.argsort(target, kind="stable")
+        place, target = place[order], target[order]
+        out: list[list] = [[], []]
+        begins = np.flatnonzero(np.diff(target, prepend=-1))
+        for to, low, high in zip(target[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(target)]):
+            wanted = np.zeros(len(chunk.places), bool)
+            wanted[place[low:high]] = True
+            out[0].append(to)
+            out[1].append(b"\n".join(chunk.passages(wanted)))
+        return pa.table({"chunk": pa.array(out[0], pa.int64()), "passages": pa.array(out[1], pa.binary())})
 
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     schema = T.StructType([T.StructField("id", kinds[id_col]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(T.StructField(n, kinds[c]) for c, n in names.items())])
 
-    def remove(table: pa.Table, bits: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, sent: pa.Table) -> pa.Table:
         release()
-        texts = table.column("text").to_pylist()
-        distinct, at, place, recurs, blocks = sharing(texts, size, buckets)
-        for bucket, packed in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):
-            n = at[bucket + 1] - at[bucket]
-            recurs[at[bucket] : at[bucket + 1]] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
-        n_words, n_removed, kept, low = [], [], [], 0
-        for _, words, hashes, starts, _, _ in blocks:
-            gone = covered(words, hashes, starts, recurs[place[low : low + len(starts)]], size)
-            low += len(starts)
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets)
+        passages = {p: None for x in sent.column("passages").to_pylist() for p in x.split(b"\n")} if sent.num_rows else {}
+        n_words, n_removed, kept = [], [], []
+        for (words, *_), gone in zip(chunk.blocks, located(chunk, list(passages))):
             totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])
             for d, n in enumerate(words.counts.tolist()):
                 a = int(words.first[d])
@@ -157,6 +253,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table([table.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(table.column(n) for n in names.values())], names=schema.names)
 
     sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
-    bits = sent.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, bits binary")
-    out = rows.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(remove, schema)
+    answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, pairs binary")
+    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary")
+    out = rows.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in names.items()))
