@@ -36,11 +36,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected, merge, settle
-from corpusloom.llm.texts import Words, blocks, mix64, release
+from corpusloom.llm.texts import Words, blocks, confirm, mix64, release
 from corpusloom.session import staged
 
 SEED = 42
@@ -48,8 +48,8 @@ SAMPLE = 8192  # fingerprints that the dealing tree is fitted on, whatever the i
 SHARD = 8192  # fingerprints a shard aims at
 MAX_SHARD = 262_144  # beyond it, probe keys
 LEAF = 512  # fingerprints compared directly
-REACH, HALF_REACH = 80, 44  # bits in which similar texts may differ, of 256 and of the first 128
-BLOCK = 8192  # wide fingerprints to a block, about
+REACH = 80  # bits of 256 in which similar texts may differ
+CHUNK, PER_BUCKET = 5_000_000, 24_000_000  # characters of text to a chunk and to a bucket of shingles, about
 TEXTS, SHINGLES = 256, 200_000  # texts and shingles to a block in the exact comparison, about
 OFFSETS = np.random.default_rng(SEED).integers(1, 1 << 63, 4, dtype=np.uint64)
 
@@ -251,23 +251,6 @@ def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
-def wide_pairs(left: np.ndarray, right: np.ndarray | None = None):
-    """(i, j) of the pairs within reach, in parts; i < j within left if there is no right."""
-    other = left if right is None else right
-    for at in range(0, len(left), LEAF):
-        part = left[at : at + LEAF]
-        for to in range(0 if right is not None else at, len(other), LEAF):
-            near = other[to : to + LEAF]
-            d = np.bitwise_count(part[:, None, 0] ^ near[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ near[None, :, 1])
-            i, j = np.nonzero(d <= HALF_REACH)
-            rest = np.bitwise_count(part[i, 2:] ^ near[j, 2:]).sum(axis=1, dtype=np.int64)
-            keep = d[i, j] + rest <= REACH
-            if right is None:
-                keep &= i + at < j + to
-            if keep.any():
-                yield i[keep] + at, j[keep] + to
-
-
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have that Jaccard similarity."""
     both = np.concatenate([a, b])
@@ -276,9 +259,9 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-def similar_links(sets: list[np.ndarray], wide: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """A forest of exact links; between the sides only, if there are any. Pairs that it already joins are not compared."""
-    parent, out = list(range(len(sets))), []
+def similar_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """A forest of exact links; between the sides only, if there are any. Pairs that `known` classes or it already join are not compared."""
+    parent, out = {k: k for k in set(known.tolist())}, []
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -286,88 +269,189 @@ def similar_links(sets: list[np.ndarray], wide: np.ndarray, side: np.ndarray | N
             k = parent[k]
         return k
 
-    left, right = (np.arange(len(sets)), None) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
-    for i, j in wide_pairs(wide[left], None if right is None else wide[right]):
-        for a, b in zip(left[i].tolist(), (left if right is None else right)[j].tolist()):
-            x, y = root(a), root(b)
-            if x != y and similar(sets[a], sets[b], similarity):
-                parent[y] = x
-                out.append((a, b))
+    own = known.tolist()
+    for at in range(0, len(sets), LEAF):
+        for to in range(at, len(sets), LEAF):
+            d = np.bitwise_count(wide[at : at + LEAF, None, :] ^ wide[None, to : to + LEAF, :]).sum(axis=2, dtype=np.int64)
+            near = (d <= REACH) & (known[at : at + LEAF, None] != known[None, to : to + LEAF])
+            if side is not None:
+                near &= side[at : at + LEAF, None] != side[None, to : to + LEAF]
+            i, j = np.nonzero(near)
+            for x, y in zip((i + at).tolist(), (j + to).tolist()):
+                if x < y and root(own[x]) != root(own[y]) and similar(sets[x], sets[y], similarity):
+                    parent[root(own[y])] = root(own[x])
+                    out.append((x, y))
     return out
 
 
-def similar_classes(distinct: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, component) of the rows of distinct(row, n, wide) that are similar to another; texts has (row, text)."""
-    spark = distinct.sparkSession
-    usual = distinct.where(F.col("n") * (1 - similarity) >= similarity - 1e-9)  # lesser sets are similar to equal ones only
-    usual = usual.withColumn("kind", F.floor(F.log("n") / np.log(1.000001 / similarity)).cast("int"))
-    units, pairs, at = {}, {}, 0
-    for kind, count in sorted(tuple(r) for r in usual.groupBy("kind").count().collect()):
-        units[kind] = range(at, at := at + -(-count // BLOCK))
-    for kind in units:
-        pairs[kind] = np.array([u for k in (kind - 1, kind, kind + 1) for u in units.get(k, ())], np.int64)
+def _places(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct places sorted, each shingle's among them, whether two texts have it); a place is a bucket and 32 bits of a hash."""
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = (mix64(every + np.uint64(5)) % np.uint64(buckets)) << np.uint64(32) | every >> np.uint64(32)
+    distinct, back, counts = np.unique(at, return_inverse=True, return_counts=True)
+    return distinct, back, counts > 1
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(distinct >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+SURVIVORS = "id long, h long, g long, n long, digest binary, set binary, bits binary, w0 long, w1 long, w2 long, w3 long"
+
+
+def survivors(known: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of known(id, h, g, text): the texts with `similarity` of their shingles or more also in other texts, and those without any.
+
+    Each chunk of texts sends its distinct shingles, 32 bits each in a bucket's
+    list; the bucket answers one bit for each. Two shingles with equal bits
+    count as shared, so a text can pass too much and never too little.
+    """
+    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks, buckets = max(1, round(total / CHUNK)), max(1, round(total / PER_BUCKET))
+    rows = known.withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
+
+    def all_sets(texts: list[str | None]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):
+            to, room = at, 1 << 20
+            while to < len(texts) and (to == at or len(texts[to] or "") <= room):
+                room -= len(texts[to] or "")
+                to += 1
+            out += shingle_sets(texts[at:to], size)
+            at = to
+        return out
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        release()
+        distinct, _, _ = _places(all_sets(table.column("text").to_pylist()), buckets)
+        at = _bounds(distinct, buckets)
+        full = np.flatnonzero(np.diff(at))
+        short = distinct.astype(np.uint32)
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([short[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        release()
+        found = confirm([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed")])
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": pa.array([np.packbits(x).tobytes() for x in found], pa.binary())})
+
+    def keep(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
+        sets = all_sets(table.column("text").to_pylist())
+        distinct, back, shared = _places(sets, buckets)
+        at = _bounds(distinct, buckets)
+        for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
+            n = at[bucket + 1] - at[bucket]
+            shared[at[bucket] : at[bucket + 1]] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+        flags, ends = shared[back], np.cumsum([len(x) for x in sets])
+        chosen, out = [], [[], [], [], [], []]
+        for k, (own, end) in enumerate(zip(sets, ends.tolist())):
+            bits = flags[end - len(own) : end]
+            if not len(own) or bits.sum() >= similarity * len(own) - 1e-9:
+                chosen.append(k)
+                large = len(own) * (1 - similarity) >= similarity - 1e-9  # lesser sets are similar to equal ones only
+                row = (len(own), xxhash.xxh3_128_digest(own.tobytes(), SEED), own.tobytes() if large else None, np.packbits(bits).tobytes() if large else None, wide_fingerprint(own))
+                for column, value in zip(out, row):
+                    column.append(value)
+        wide = np.array(out[4], np.uint64).reshape(-1, 4).view(np.int64)
+        left = table.select(["id", "h", "g"]).take(pa.array(chosen, pa.int64()))
+        columns = [pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:4]), *(pa.array(wide[:, k]) for k in range(4))]
+        return pa.table([*(x.combine_chunks() for x in left.columns), *columns], names=[x.split()[0] for x in SURVIVORS.split(", ")])
+
+    sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, bits binary")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, SURVIVORS)
+
+
+def shard_keys(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): shards such that two similar sets meet in one at least.
+
+    Of two sets in one order, the first (1 - similarity) * n + 1 shingles have
+    one in common. The order puts shingles that no other text has first; these
+    lead nowhere and are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, rows = np.asarray(batch.column(2)), np.asarray(batch.column(0))
-            for kind in np.unique(kinds).tolist():
-                here, other = np.flatnonzero(kinds == kind), pairs[kind]
-                own = units[kind].start + (mix64(rows[here].view(np.uint64)) % np.uint64(len(units[kind]))).astype(np.int64)
-                for low in range(0, len(here), 256):
-                    part, unit = np.repeat(here[low : low + 256], len(other)), np.repeat(own[low : low + 256], len(other))
-                    to = np.tile(other, len(here[low : low + 256]))
-                    taken = batch.select(["row", "wide"]).take(pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(unit, to)), pa.array(np.maximum(unit, to)), pa.array(unit), *taken.columns], ["i", "j", "own", "row", "wide"])
-
-    def unpack(table: pa.Table) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, 4)
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        rows, wide, own = table.column("row").to_numpy(), unpack(table), table.column("own").to_numpy()
-        parent = np.arange(len(rows))
-        left = np.flatnonzero(own == key[0].as_py())
-        right = None if key[0].as_py() == key[1].as_py() else np.flatnonzero(own == key[1].as_py())
-        for i, j in wide_pairs(wide[left], None if right is None else wide[right]):
-            parent = merge(parent, left[i], (left if right is None else right)[j])
-        root = settle(parent)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": rows[linked], "b": rows[root[linked]]})
-
-    dealt = usual.select("row", "wide", "kind").mapInArrow(deal, "i long, j long, own long, row long, wide binary")
-    near = connected(dealt.groupBy("i", "j").applyInArrow(search, "a long, b long"))
-    members = distinct.join(near, distinct["row"] == near["id"]).select("row", "component", "n", "wide")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").join(texts, "row")
-    block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks").cast("long")).cast("int")
-    paired = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "wide", "text")
+            for node, packed, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own = np.frombuffer(packed.as_buffer(), np.uint64)
+                shared = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(own)).astype(bool)
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 - int((~shared).sum())
+                keys = own[shared][: max(first, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node, np.int64))], ["key", "node"])
+
+    return nodes.where("set is not null").select("node", "set", "bits").mapInArrow(run, "key long, node long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose fingerprints lie within reach and whose sets are similar."""
+    wide = [f"w{k}" for k in range(4)]
+    left = nodes.select(F.col("node").alias("a"), *(F.col(w).alias(f"a_{w}") for w in wide))
+    right = nodes.select(F.col("node").alias("b"), *(F.col(w).alias(f"b_{w}") for w in wide))
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in wide), F.lit(0))
+    near = pairs.join(left, "a").join(right, "b").where(apart <= REACH).select("a", "b")
+    sets = nodes.select("node", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(2), batch.column(3)
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(one, two)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of the nodes (node, n, set, bits, w0 ... w3) that are similar to another.
+
+    Every shard first compares its members with its vantage point, the least
+    node. Where that leaves a shard in more than one class, all pairs of its
+    members in different classes are compared, in blocks; shards of the same
+    members are searched once.
+    """
+    keyed = staged(shard_keys(nodes, similarity), "simhash-keys")
+    points = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
+    rays = keyed.join(points, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    near = staged(verified(rays, nodes, similarity), "simhash-near")
+    labels = connected(near).withColumnRenamed("id", "node")
+    classed = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    mixed = classed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    mixed = staged(mixed.groupBy("size", "members").agg(F.min("key").alias("key")), "simhash-mixed")
+    if mixed.isEmpty():
+        return labels.select(F.col("node").alias("id"), "component")
+    members = classed.join(mixed.select("key", "size"), "key").join(nodes.select("node", "n", "set", "w0", "w1", "w2", "w3"), "node")
+    sums = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")
+    paired = members.join(sums, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "set", "w0", "w1", "w2", "w3")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.column("row").to_numpy()
+        names = table.column("node").to_numpy()
         side = None if key[1].as_py() == key[2].as_py() else table.column("own").to_numpy() == key[2].as_py()
-        found = similar_links(shingle_sets(table.column("text").to_pylist(), size), unpack(table), side, similarity)
+        wide = np.stack([table.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
+        found = similar_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], wide, table.column("class").to_numpy(), side, similarity)
         a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.table({"a": rows[a], "b": rows[b]})
+        return pa.table({"a": names[a], "b": names[b]})
 
-    return connected(paired.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long"))
+    more = staged(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "simhash-more")
+    return connected(near.unionByName(more))
 
 
 def distinct_rows(docs: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one row of each class of similar texts, that of the least id; rows without an id all stay."""
-    rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            sets = shingle_sets(block["text"], size)
-            digests = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
-            wide = [wide_fingerprint(x).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(block["row"], pa.int64()), pa.array(block["id"], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array(wide, pa.binary())], ["row", "id", "n", "digest", "wide"])
-        release()
-
-    known = rows.where(F.col(id_col).isNotNull()).select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = known.mapInArrow(run, "row long, id long, n long, digest binary, wide binary")
-    distinct = staged(marks.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.first("n").alias("n"), F.first("wide").alias("wide")).select("least.id", "least.row", "n", "wide"), "simhash-distinct")
-    labels = similar_classes(distinct.select("row", "n", "wide"), known.select("row", "text"), size, similarity).withColumnRenamed("id", "node")
-    labelled = distinct.join(labels, distinct["row"] == labels["node"], "left").select("id", "row", F.coalesce("component", "row").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least")).select("least.row")
-    return rows.join(kept, "row", "left_semi").unionByName(rows.where(F.col(id_col).isNull())).select(*docs.columns)
+    h, g = (F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), h.alias("h"), g.alias("g"), F.col(text_col).alias("text"))
+    found = staged(survivors(known, size, similarity), "simhash-survivors")
+    first = [F.first(c).alias(c) for c in ("n", "set", "bits", "w0", "w1", "w2", "w3")]
+    nodes = found.groupBy("digest").agg(F.min(F.struct("id", "h", "g")).alias("least"), *first)
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    labels = similar_classes(nodes, similarity)
+    classed = nodes.join(labels, nodes["node"] == labels["id"], "left").select("least", F.coalesce("component", "node").alias("component"))
+    kept = classed.groupBy("component").agg(F.min("least").alias("least")).select("least.*").withColumn("stays", F.lit(True))
+    marks = staged(found.select("id", "h", "g").distinct().join(kept, ["id", "h", "g"], "left").select(F.col("id").alias("mark_id"), F.col("h").alias("mark_h"), F.col("g").alias("mark_g"), F.coalesce("stays", F.lit(False)).alias("stays")), "simhash-marks")
+    names = [f"col_{k}" for k in range(len(docs.columns))]
+    rows = docs.where(F.col(id_col).isNotNull()).select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names)), F.col(id_col).cast("long").alias("row_id"), h.alias("row_h"), g.alias("row_g"))
+    left = rows.join(marks, (F.col("row_id") == F.col("mark_id")) & (F.col("row_h") == F.col("mark_h")) & (F.col("row_g") == F.col("mark_g")), "left").where("stays is null or stays")
+    same = Window.partitionBy("row_id", "row_h", "row_g").orderBy(F.xxhash64(*names))  # equal rows are copies: one of them stays
+    left = left.withColumn("copy", F.row_number().over(same)).where("copy = 1").select(*(F.col(x).alias(c) for c, x in zip(docs.columns, names)))
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

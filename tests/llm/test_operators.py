@@ -19,7 +19,7 @@ from corpusloom.llm.texts import Words
 WORD = re.compile("[^\x20\x09-\x0d]+")
 RNG = random.Random(4)
 LOREM = [f"w{k}x" for k in range(400)]
-PATHS = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+PLACE = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN
 
 
 def prose(n):
@@ -135,24 +135,25 @@ def test_chat_escape_round_trip(text):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "be <s> good"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "assistant", "é\\[INST]"), (2, 0, "tool [/ROLE]", "x" * 30_000), (2, 1, None, ""), (None, 0, "user", "u"), (3, 5, "user", "b"), (3, 5, "user", "b"), (3, 5, "user", "a")]
+    rows = [(1, 0, "system", "be <s> good"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (1, 3, "assistant", "é\\[INST]"), (2, 0, "tool [/ROLE]", "x" * 30_000), (2, 1, None, ""), (None, 0, "user", "u"), (3, 5, "user", "b"), (3, 5, "user", "b"), (3, 5, "user", "a"), (4, 0, "user", " " * 1_100_000), (4, 1, "assistant", "<|endoftext|>" + "\n" * 1_100_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, ids int")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df, *PATHS), *PATHS).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df, PLACE), PLACE).collect()}
     for conv in {r[0] for r in rows}:
         own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0], r[1] or "", r[2] or ""))
         loss = "".join(t or "" for _, role, t in own if role == "assistant")
         assert got[conv]["n_turns"] == len(own)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, r, t in own).encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.formatted(df.where("false"), *PATHS).count() == 0
+    assert chat.formatted(df.where("false"), PLACE).count() == 0
 
 
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    got = packing.pack(docs, *PATHS, capacity=512).collect()
+    odd = docs.sparkSession.createDataFrame([(5000, "a <|endoftext|> b<|endoftext|>"), (5001, " " * 1_200_000 + "x"), (5002, "y" + "\n\t" * 600_000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    got = packing.pack(docs, PLACE, capacity=512).collect()
     want = Counter()
     for key, text in everything(docs):
         ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -169,7 +170,7 @@ def test_packing(docs, empty):
             at += length
         assert at <= 512
     assert len(seqs) <= 1.05 * sum(r["length"] for r in got) / 512 + 1
-    assert packing.pack(empty, *PATHS).count() == 0
+    assert packing.pack(empty, PLACE).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -257,9 +258,32 @@ def test_phrases(docs, empty, spark):
 def test_phrases_over_many_chunks(docs, monkeypatch):
     want = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in phrases.without_recurring(docs).collect())
     monkeypatch.setattr(phrases, "CHUNK", 20_000)
+    monkeypatch.setattr(phrases, "PER_BUCKET", 60_000)
     assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in phrases.without_recurring(docs).collect()) == want
 
 
+def test_phrases_are_found_by_the_automaton():
+    texts = [PASSAGE + " " + prose(50), prose(10) + " " + PASSAGE, prose(100)]
+    chunk = phrases.Chunk(texts, 35, 3)
+    assert [int(x.sum()) for x in phrases.located(chunk, [])] == [120]
+    alone = phrases.Chunk([texts[0], texts[2]], 35, 3)
+    assert phrases.located(alone, [])[0].sum() == 0
+    assert phrases.located(alone, [PASSAGE.encode()])[0].sum() == 60
+    assert phrases.located(alone, [PASSAGE.encode()[:-1] + b"!"])[0].sum() == 59  # words decide, not hashes
+    wide = phrases.Shard(np.unique(alone.blocks[0][1]), 35)
+    wide.width = 2
+    wide.add(alone.blocks[0][1][:60], True)
+    wide.close()
+    assert wide.matches(alone.blocks[0][1])[0].tolist() == list(range(26))
+
+
+def test_phrases_rings():
+    parts = [np.array([1, 5, 9], np.uint64), np.array([2, 5], np.uint64), np.array([5, 9], np.uint64)]
+    assert [x.tolist() for x in phrases.partners(parts, [7, 3, 8])] == [[[1, 8], [2, 8]], [[1, 7]], [[0, 3], [1, 7]]]
+    values = np.array([RNG.getrandbits(48) for _ in range(100)], np.uint64)
+    assert (phrases.unpack48(phrases.pack48(values)) == values).all()
+
+
 def test_fertility(docs, empty):
     import sentencepiece
 
@@ -409,8 +433,9 @@ def test_pipeline_links_similar_texts(spark, monkeypatch):
     label = least_reachable(sets, linked)
     assert 40 < len(set(label.values())) < len(texts) - 40
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    for block, most in ((8192, 256), (20, 3)):
-        monkeypatch.setattr(simhash, "BLOCK", block)
+    for chunk, most in ((5_000_000, 256), (20_000, 3)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "PER_BUCKET", 2 * chunk)
         monkeypatch.setattr(simhash, "TEXTS", most)
         got = [r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect()]
         assert sorted(got) == sorted(set(label.values()))
