@@ -11,6 +11,7 @@ from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, pack
 from corpusloom.llm.texts import documents
 
 PLACE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+FERTILITY = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judged(fertility.measured(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+    return fertility.judged(fertility.measured(documents(spark, sf_dir), *FERTILITY))
 
 
 def op8_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +55,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = toxicity.scored(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (toxicity.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(toxicity.remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predicted(docs, langid.fit(docs))
-    return found.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict:

@@ -288,8 +288,10 @@ def test_fertility(docs, empty):
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
+    place = path, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    byte_level = fertility.bpe(*place[1:])
     own = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = by_id(fertility.judged(fertility.measured(docs, path)))
+    got = by_id(fertility.judged(fertility.measured(docs, *place)))
     for k, text in everything(docs):
         t = text or ""
         w = WORD.findall(t)
@@ -306,8 +308,25 @@ def test_fertility(docs, empty):
         want = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
         assert r["entropy"] == pytest.approx(want, abs=1e-9)
         assert r["base_failed"] == (len(w) < 20 or 100 * len(twice) > 30 * len(w))
-        assert not (r["base_failed"] and r["kept"])
-    assert fertility.measured(empty, path).count() == 0
+        assert r["n_bpe_tokens"] == sum(len(byte_level.encode_ordinary(x)) for x in w)
+        least, low, high, most, bits = fertility.BANDS[r["lang"] or r["script"]]
+        good = sum(map(len, w)) >= least * max(1, len(ids)) and low <= sum(map(len, w)) / max(1, r["n_bpe_tokens"]) <= high and r["n_byte_tokens"] <= most * max(1, len(ids)) and (want >= bits or len(ids) < 64)
+        assert r["kept"] == (good and not r["base_failed"]), k
+    assert fertility.measured(empty, *place).count() == 0
+
+
+def test_fertility_rejects_noise(spark):
+    rng = random.Random(3)
+    letters = lambda pool: " ".join("".join(rng.choice(pool) for _ in range(rng.randint(4, 9))) for _ in range(150))
+    common = "the of and to in that was his with for had not which from they have this were been their would there could other time about people water after first world long great house little under again place where years work".split()
+    clean = [" ".join(rng.choice(common) for _ in range(200)) for _ in range(5)]
+    noise = [letters("bcdfghjklmnpqrstvwxz"), letters("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), letters("\u00c3\u00a9\u00a2\u20ac\u2122\u0153ab")]
+    rows = [(k, t, None) for k, t in enumerate(clean + noise)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    place = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    got = by_id(fertility.judged(fertility.measured(df, *place)))
+    assert [got[k][0]["kept"] for k in range(8)] == [True] * 5 + [False] * 3
+    assert not any(got[k][0]["base_failed"] for k in range(8))
 
 
 def test_pstable(spark):
