@@ -353,10 +353,32 @@ def test_pstable_blocks_count_each_pair_once(spark, monkeypatch):
     rows = [(k, (np.ones(8) + rng.standard_normal(8) * 0.01).tolist(), 0) for k in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     monkeypatch.setattr(pstable, "BLOCK", 17)
+    monkeypatch.setattr(pstable, "SMALL", 6)
+    monkeypatch.setattr(pstable, "ROWS", 200)
     got = pstable.near_duplicates(df).collect()
     assert {r["n_links"] for r in got} == {119} and {r["component_id"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("cosine", [0.98, 0.99])
+def test_pstable_finds_pairs_at_the_threshold_and_compares_few(cosine):
+    rng = np.random.default_rng(5)
+    n = 6000
+    x = rng.standard_normal((n, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    z = rng.standard_normal((n, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.sqrt((z * z).sum(axis=1, keepdims=True))
+    y = cosine * x + math.sqrt(1 - cosine**2) * z
+    tables, hashes = pstable.planned(n, 0.98)
+    label = np.zeros(n, np.int64)
+    a, b = (pstable.keys(v, label, tables, hashes, pstable.WIDTH, 3) for v in (x, y))
+    assert (a == b).any(axis=1).mean() >= 0.995
+    met = sum(sum(c * (c - 1) // 2 for c in Counter(a[:, t].tolist()).values()) for t in range(tables))
+    assert met < 0.01 * n * (n - 1) / 2
+    more = pstable.planned(10**9, 0.98)
+    assert more[0] < 200 and more[1] > hashes
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     syllables = ["ba", "ko", "ri", "tu", "me", "sal", "den", "for"]
