@@ -37,7 +37,7 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = e.vec_id AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
 
-MIXING = f"""WITH RECURSIVE rows AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS src, coalesce(doc_id::VARCHAR, '') AS id, text, (len({_WORDS}) + 1)::BIGINT AS n_tokens FROM documents),
+MIXING = f"""WITH RECURSIVE rows AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS src, coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) AS id, text, (len({_WORDS}) + 1)::BIGINT AS n_tokens FROM documents),
 src AS (SELECT src, count(*) AS docs, sum(n_tokens)::DOUBLE AS t FROM rows GROUP BY src), shares AS (SELECT src, t, t / (SELECT sum(t) FROM src) AS p FROM src),
 bisect(k, low, high) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
     SELECT k + 1, CASE WHEN fits THEN low ELSE mid END, CASE WHEN fits THEN mid ELSE high END FROM (SELECT k, low, high, (low + high) / 2 AS mid,

@@ -237,6 +237,26 @@ def test_mixing_reaches_an_entropy():
     tokens = [900, 50, 30, 20]
     alpha = mixing.temperature(tokens, 1000, None, 1.5)
     assert mixing.bits(mixing.weights(tokens, alpha)) == pytest.approx(1.5, abs=1e-6)
+    low = mixing.temperature(tokens, None, None, 0.3)
+    assert low > 1 and mixing.bits(mixing.weights(tokens, low)) == pytest.approx(0.3, abs=1e-6)
+    with pytest.raises(ValueError):
+        mixing.temperature([5, 5], None, None, 0.5)
+
+
+def test_mixing_keeps_or_refuses_a_repetition():
+    tokens = [900, 50, 30, 20]
+    own = mixing.weights(tokens, mixing.temperature(tokens, 1900, 2.0, None))
+    assert mixing.repetition(tokens, own, 1900) == pytest.approx(2.0, abs=1e-6)
+    assert mixing.temperature(tokens, 2000, 2.0, None) == pytest.approx(1.0, abs=1e-6)
+    with pytest.raises(ValueError):
+        mixing.temperature(tokens, 5000, 2.0, None)
+
+
+def test_mixing_without_ids(spark):
+    rows = [(None, f"text {k} " + prose(k % 9), "s") for k in range(60)] + [(k, "a b", None) for k in range(5)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(df).where("epoch = 0").collect())
+    assert got == Counter(rows)
 
 
 def test_phrases(docs, empty, spark):
