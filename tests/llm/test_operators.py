@@ -200,6 +200,60 @@ def test_brown(docs, empty, spark):
     assert brown.scored(alone).first()["score"] < 0
 
 
+def test_brown_scores_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEADS", 5)
+    rows = [(k, " ".join(RNG.choice(LOREM[:60]) for _ in range(RNG.randint(0, 30)))) for k in range(80)] + [(None, "w1x zz"), (200, None), (200, "W1X unseenword w2x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    train = [(t or "").lower().split() for k, t in rows if k is not None and not held[k]]
+    c = Counter(w for t in train for w in [*t, None])
+    model, words = brown.clustered(df.where("doc_id is not null and crc32(cast(doc_id as string)) % 7 <> 2").select("text"), 2)
+    assert model.gains == sorted(model.gains)
+    kinds = {}
+    for r in words.collect():
+        kinds |= dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), r["classes"]))
+
+    def units(word):
+        w = Words([word])
+        return int(w.hashes()[0]), int(model.own[model.units.of(w, w.hashes())[0]])
+
+    end = int(model.own[model.units.end])
+    kind = lambda w: end if w is None else kinds[units(w)[0]] if c[w] else units(w)[1]
+    assert len(kinds) == len(c) - 1 and {h for h in kinds} == {units(w)[0] for w in c if w}
+    total = Counter()
+    for w, n in c.items():
+        total[kind(w)] += n
+    assert {k: n for k, n in enumerate(model.total.tolist()) if n} == dict(total)
+    among = np.zeros((brown.CLASSES, brown.CLASSES))
+    for t in train:
+        for a, b in zip([None, *t], [*t, None]):
+            among[kind(a), kind(b)] += 1
+    freq = (among.sum(axis=0) + 1) / (among.sum() + brown.CLASSES)
+    walk = (among + brown.PRIOR * freq) / (among.sum(axis=1, keepdims=True) + brown.PRIOR)
+    emit = lambda w: (c[w] - brown.DISCOUNT if c[w] else brown.DISCOUNT) / max(total[kind(w)], 1)
+    assert walk.sum(axis=1) == pytest.approx(np.ones(brown.CLASSES))
+    for k in total:  # seen words, and as many unseen ones, share each class
+        seen = [w for w in c if kind(w) == k]
+        assert sum(map(emit, seen)) + len(seen) * brown.DISCOUNT / total[k] == pytest.approx(1)
+    want = Counter()
+    for k, t in rows:
+        t = (t or "").lower().split()
+        want[k, round(sum(math.log10(walk[kind(a), kind(b)] * emit(b)) for a, b in zip([None, *t], [*t, None])), 6)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in brown.scored(df).collect()) == want
+
+
+def test_brown_sweeps_move_words_to_their_neighbours(spark, monkeypatch):
+    rng = random.Random(9)
+    left, right = [f"l{k}{rng.choice('abc')}" for k in range(40)], [f"r{k}{rng.choice('abc')}" for k in range(40)]
+    texts = [" ".join(w for _ in range(20) for w in ("the", rng.choice(left), "of", rng.choice(right))) for _ in range(60)]
+    monkeypatch.setattr(brown, "HEADS", 2)
+    model, words = brown.clustered(spark.createDataFrame([(t,) for t in texts], "text string"), 1)
+    r = words.first()
+    kinds = dict(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), r["classes"]))
+    of = lambda own: {kinds[int(Words([w]).hashes()[0])] for w in own}
+    assert not of(left) & of(right) and model.gains[-1] > model.gains[0]
+
+
 def test_brown_classes_raise_the_likelihood():
     rng = np.random.default_rng(0)
     kind = np.arange(40) % 2  # two kinds of words that alternate
