@@ -12,8 +12,10 @@ All else covers whole texts of all rows. A null language teaches nothing.
 
 A null or empty text and one without a letter get `und` and score 0. Without
 anything learned every text does. On equal scores the first language in
-alphabetic order wins. Repeated rows are predicted each. Extra columns are
-ignored.
+alphabetic order wins. Repeated rows are predicted each, and rows with a null
+id too. Texts of any length are read whole. Extra columns are ignored; an empty
+table gives an empty result. The matrix and a task's counts take FEATURES
+numbers a language; more than LANGUAGES languages raise a ValueError.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ FEATURES = 1 << 15
 ORDER = 3
 EXAMPLES = 2000
 SMOOTHING = 0.5
+LANGUAGES = 500  # bound of the broadcast matrix: 64 MB
 UNKNOWN = "und"
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -94,6 +97,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col, 4) != 2))
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     shares = usable.groupBy("lang").count().select(F.col("lang").alias("l"), (F.least(F.lit(1.0), EXAMPLES / F.col("count")) * (1 << 20)).alias("most"))
+    if (n := shares.count()) > LANGUAGES:
+        raise ValueError(f"{n} languages are too many for one matrix")
     rows = usable.join(F.broadcast(shares), usable["lang"] == shares["l"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

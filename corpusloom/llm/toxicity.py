@@ -7,14 +7,17 @@ pools its states and a logistic unit scores the window. A text's score is the
 highest of all its windows; these overlap by SPAN - STEP words. Words over PART
 characters are read in parts.
 
-Both networks are trained here, in numpy, on a sample of labelled rows:
-EXAMPLES of either label at most, chosen by a hash of their id, of LONGEST
-characters at most. All else reads whole texts. Words' inputs to the gates are
-worked out once per distinct word and kept, WORDS of them at most.
+Both networks are trained here, in numpy, on a bounded sample of labelled rows:
+EXAMPLES of either label at most, in the order of a hash of id and text, as long
+as CHARACTERS characters hold them; an example that no longer fits is passed
+over. Equal rows teach once. All else reads whole texts of any length. Words'
+inputs to the gates are worked out once per distinct word and kept, WORDS of
+them at most.
 
 Null, empty and blank texts, and those without a letter or digit, score 0. A
 null id is not trained on but is scored. Without examples of both labels every
-score is 0. Repeated rows are scored each. Extra columns are ignored.
+score is 0. Repeated rows are scored each. An empty table gives an empty result.
+Other columns are passed on unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.texts import blocks, release
 
 EXAMPLES = 1500
-LONGEST = 20_000
+CHARACTERS = 30_000_000
 SPAN, STEP = 32, 20
 PART = 32
 WORDS = 100_000
@@ -387,26 +390,36 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Train on labelled rows whose crc32 remainder by 3 is not 1; see the module for the bounds."""
-    usable = labels.where(F.col(id_col).isNotNull() & (remainder(id_col, 3) != 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
-    chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(EXAMPLES) for k in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).distinct()
-    found = docs.where(F.length(text_col) <= LONGEST).join(F.broadcast(ids), docs[id_col] == ids["key"]).select("key", F.col(text_col).alias("text"), "label")
-    rows = sorted(((r["key"], r["text"], r["label"]) for r in found.collect()), key=lambda r: (r[0], r[1], r[2]))[: 4 * EXAMPLES]
-    return train([(t, y) for _, t, y in rows])
+    usable = labels.where(F.col(id_col).isNotNull() & (remainder(id_col, 3) != 1) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("label")).distinct()
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("key", "text"))
+    known = rows.select("key", "hash", F.length("text").alias("size")).join(usable, "key").distinct()
+    picked, room = [], CHARACTERS
+    for label in (1, 0):
+        for r in known.where(F.col("label") == label).orderBy("hash", "key").limit(EXAMPLES).collect():
+            if r["size"] <= room - (label == 1) * CHARACTERS // 2:
+                picked.append((r["key"], r["hash"], label))
+                room -= r["size"]
+    if not picked:
+        return None
+    ids = docs.sparkSession.createDataFrame(picked, "key long, hash long, label int")  # 2 * EXAMPLES rows at most
+    found = rows.join(F.broadcast(ids), ["key", "hash"]).dropDuplicates(["key", "hash", "label"])
+    return train([(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: (r["key"], r["text"], r["label"]))])
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column score; one of that name is replaced."""
-    docs = docs.drop("score")
+    """docs with a column score; one of just that name is replaced."""
+    names = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    at = names.index(text_col)
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
+    schema = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(plain.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             scores = [scorer.scores(block["text"]) for block in blocks([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])], most=1 << 20)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())], [*batch.schema.names, "new_score"])
         release()
 
-    return docs.mapInArrow(run, f"{schema}, score double")
+    found = plain.mapInArrow(run, f"{schema}, new_score double")
+    return found.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), F.col("new_score").alias("score"))

@@ -475,6 +475,53 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values())
     assert toxicity.train([("a b", 0)]) is None
     assert toxicity.scored(df.where("false"), None).count() == 0
+    odd = df.select("doc_id", "text", df["toxic"].alias("a.b"), df["score"].alias("Score")).where("doc_id < 3")
+    named = toxicity.scored(odd.unionAll(odd), model)
+    assert named.columns == ["doc_id", "text", "a.b", "Score", "score"] and sorted(r[4] for r in named.collect()) == pytest.approx(sorted(2 * [got[k] for k in range(3)]), abs=1e-6)
+    assert toxicity.fit(df.where("false"), df.select("doc_id", "toxic")) is None
+
+
+def test_toxicity_scores_by_hand():
+    """A network of random weights, word by word, against a plain loop."""
+    rng = np.random.default_rng(6)
+    hc, h, a = toxicity.HC, toxicity.H, toxicity.A
+    d = 2 * hc + 2
+    g = lambda *shape: rng.standard_normal(shape).astype(np.float32) * 0.5
+    chars = {c: k + 1 for k, c in enumerate("abcde")}
+    model = toxicity.Model(chars, {"abc": 0.7, "dd": -0.4}, {"xf": g(6, 3 * hc), "xb": g(6, 3 * hc), "uf": g(hc, 3 * hc), "ub": g(hc, 3 * hc), "v": g(2 * hc), "b": g(1)}, {"wf": g(d, 3 * h), "wb": g(d, 3 * h), "bf": g(3 * h), "bb": g(3 * h), "uf": g(h, 3 * h), "ub": g(h, 3 * h), "wa": g(2 * h, a), "va": g(a), "v": g(2 * h), "b": g(1)})
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(inputs, u):
+        state, out, n = np.zeros(len(u)), [], len(u)
+        for x in inputs:
+            r_ = state @ u
+            z, r = sig(x[:n] + r_[:n]), sig(x[n : 2 * n] + r_[n : 2 * n])
+            c = np.tanh(x[2 * n :] + r * r_[2 * n :])
+            state = (1 - z) * state + z * c
+            out.append(state)
+        return out
+
+    def word(w):
+        f = run([model.c["xf"][chars.get(c, 0)] for c in w], model.c["uf"])[-1]
+        b = run([model.c["xb"][chars.get(c, 0)] for c in w[::-1]], model.c["ub"])[-1]
+        ends = np.concatenate([f, b])
+        return np.concatenate([ends, [np.tanh((ends @ model.c["v"] + model.c["b"][0]) / 3), model.odds.get(w, 0.0)]])
+
+    def window(words):
+        x = [word(w) for w in words]
+        f = run([v @ model.w["wf"] + model.w["bf"] for v in x], model.w["uf"])
+        b = run([v @ model.w["wb"] + model.w["bb"] for v in x[::-1]], model.w["ub"])[::-1]
+        states = np.array([np.concatenate(p) for p in zip(f, b)])
+        weight = np.exp(np.tanh(states @ model.w["wa"]) @ model.w["va"])
+        return sig((weight / weight.sum()) @ states @ model.w["v"] + model.w["b"][0])
+
+    py = random.Random(2)
+    texts = [" ".join("".join(py.choice("abcdef") for _ in range(py.randint(1, 5))) for _ in range(n)) for n in (1, 5, 31, 32, 33, 52, 53, 90)]
+    for text, got in zip(texts, toxicity.Scorer(model).scores(texts)):
+        w = text.split()
+        starts = [s for s in range(0, len(w), toxicity.STEP) if s == 0 or s < len(w) - toxicity.SPAN + toxicity.STEP]
+        assert starts[-1] + toxicity.SPAN >= len(w)
+        assert got == pytest.approx(max(window(w[s : s + toxicity.SPAN]) for s in starts), abs=1e-4)
 
 
 def test_gru_gradients():
@@ -510,6 +557,39 @@ def test_langid(spark):
     nothing = df.where("false")
     assert langid.predicted(df, langid.fit(nothing)).where("lang_pred <> 'und'").count() == 0
     assert langid.predicted(nothing, langid.fit(df)).count() == 0
+    twice = langid.predicted(df.unionAll(df), langid.fit(df))
+    assert twice.count() == 2 * df.count()
+
+
+def test_langid_by_hand(spark):
+    """Counts, probabilities and posteriors against a dict of n-grams."""
+    rows = [(1, "abc abd", "x"), (3, "Bcd", "y"), (4, "éa, 7 b", "y"), (9, "abc", "x"), (10, "zz", "y")]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    tokens = lambda t: [g for i in range(len(t)) for n in (1, 2, 3) if (g := ("".join(c if c.isalpha() else " " for c in t.lower()) + "   ")[i : i + n]).strip()]
+    feature = {}
+    for text in [t for _, t, _ in rows] + ["abé dz"]:
+        for g in tokens(text):
+            at = langid.grams([g[::1]])[0][0][len(g) - 1]
+            feature[g] = int(at)
+    counts = {k: Counter(feature[g] for _, t, y in rows if y == k for g in tokens(t)) for k in {y for *_, y in rows}}
+    langs = sorted(counts)
+    assert model.languages == langs
+
+    def posterior(text):
+        score = []
+        for k in langs:
+            total = sum(counts[k].values()) + langid.SMOOTHING * langid.FEATURES
+            prior = math.log(sum(y == k for *_, y in rows) / len(rows))
+            score.append(prior + sum(math.log((counts[k][feature[g]] + langid.SMOOTHING) / total) for g in tokens(text)))
+        best = max(range(len(langs)), key=lambda j: score[j])
+        return langs[best], 1 / sum(math.exp(x - score[best]) for x in score)
+
+    for text in [t for _, t, _ in rows] + ["abé dz"]:
+        lang, p = model.predict([text])
+        want = posterior(text)
+        assert lang == [want[0]] and p[0] == pytest.approx(want[1], rel=1e-3)
 
 
 def test_pipeline(spark, tmp_path):
