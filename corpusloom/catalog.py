@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import language, lexical, live, notes, retrieval, scalar, spelling
+from corpusloom.queries import editing, language, lexical, live, notes, retrieval, scalar, spelling
 
 FLAGSHIP = "predict_next"
-MODULES = (language, scalar, retrieval, spelling, notes, live, lexical)
+MODULES = (language, scalar, retrieval, spelling, notes, live, lexical, editing)
 
 
 def queries() -> dict:
