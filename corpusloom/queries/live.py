@@ -10,21 +10,40 @@ from corpusloom.streaming import changes
 
 
 def _feed(spark, sf_dir):
-    """State of the conversations as notes by conversation, then changes: a third set anew, a third removed, some renamed."""
+    """State of the conversations' turns as notes, then up to four changes of each, by conversation.
+
+    By the remainder of the conversation's number: 0 set anew and then renamed; 1 removed, or first renamed and
+    then removed; 2 the first turn renamed twice and its old path set again; 3 the first turn renamed over the second.
+    """
     talk = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("path"), "conv_id", "turn", "text")
     state = changes.path_counts(talk.select("path", "text"))
-    op = F.when(F.col("conv_id") % 3 == 0, "set").when(F.col("conv_id") % 3 == 1, "remove").when(F.col("turn") == 0, "rename")
-    text = F.when(op == "set", F.concat(F.lit("new words here. "), "text")).when(op == "rename", F.concat(F.lit("r/"), "path"))
-    feed = talk.select(op.alias("op"), "path", text.alias("text"), F.lit(1).cast("long").alias("seq")).where("op is not null")
+    kind, path, moved = F.col("conv_id") % 4, F.col("path"), F.concat(F.lit("r/"), "path")
+
+    def change(op: str, at, text, seq: int):
+        return F.struct(F.lit(op).alias("op"), at.alias("path"), text.cast("string").alias("text"), F.lit(seq).cast("long").alias("seq"))
+
+    new, none = F.concat(F.lit("new words here. "), "text"), F.lit(None)
+    first = F.col("turn") == 0
+    steps = (
+        F.when(kind == 0, F.array(change("set", path, F.lit("gone at once"), 1), change("set", path, new, 2), change("rename", path, moved, 3)))
+        .when((kind == 1) & first, F.array(change("remove", path, none, 1)))
+        .when(kind == 1, F.array(change("rename", path, moved, 1), change("remove", moved, none, 2)))
+        .when((kind == 2) & first, F.array(change("rename", path, moved, 1), change("rename", moved, F.concat(F.lit("s/"), "path"), 2), change("set", path, F.lit("set again"), 3)))
+        .when((kind == 3) & first, F.array(change("rename", path, F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit("/1")), 1)))
+    )
+    feed = talk.select(F.explode(steps).alias("x")).select("x.*")
     return changes.applied(state, feed)
 
 
 def change_feed(spark, sf_dir):
-    """Bigrams of the corpus after a batch of changes."""
+    """Bigrams of the corpus after a batch of changes, several of one path among them."""
     return changes.totals(_feed(spark, sf_dir)).bi
 
 
-FEED = f"""WITH {S.tokens("(SELECT conv_id || '/' || turn AS path, CASE WHEN conv_id % 3 = 0 THEN 'new words here. ' || text ELSE text END AS text FROM conversations WHERE conv_id % 3 <> 1)", 'path')}, {S.counts()} SELECT w1, w, c FROM bi"""
+_AFTER = """(SELECT 'c/' || conv_id || '/' || turn AS path, CASE WHEN conv_id % 4 = 0 THEN 'new words here. ' || text ELSE text END AS text FROM conversations t
+    WHERE conv_id % 4 <> 1 AND NOT (conv_id % 4 = 3 AND turn = 1 AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = t.conv_id AND o.turn = 0))
+    UNION ALL SELECT 'again/' || conv_id, 'set again' FROM conversations WHERE conv_id % 4 = 2 AND turn = 0)"""
+FEED = f"""WITH {S.tokens(_AFTER, 'path')}, {S.counts()} SELECT w1, w, c FROM bi"""
 
 
 def change_feed_frequency(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Change feeds: counts that follow a corpus with retraction, and live counters over events.
 
 A change is (op, path, text, seq): op is set, remove or rename (text then holds
-the new path). State is counts per path, in Parquet by version, so replacing a
-document takes its old counts out with the new ones in, and replaying a batch
-gives the same state.
+the new path). Changes of a batch apply in the order of seq; a rename carries
+what its path holds at that point, and one of a path that holds nothing does
+nothing. State is counts per path, in Parquet by version and bucket of paths,
+so replacing a document takes its old counts out with the new ones in, and
+replaying a batch gives the same state.
 """
 
 from __future__ import annotations
@@ -13,16 +15,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import ngram
+from corpusloom.operators.graph import connected
+from corpusloom.session import staged
 
 KEYS = ("n", "w2", "w1", "w")
 STATE = "path string, n int, w2 string, w1 string, w string, c long"
 CHANGE = "op string, path string, text string, seq long"
 
 
-def latest(changes: DataFrame) -> DataFrame:
-    """The last change of each path: a debounce over what came in together."""
-    order = Window.partitionBy("path").orderBy(F.desc("seq"))
-    return changes.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+SET, STATE_OF, GONE = "set", "state", "gone"
+
+
+def folded(changes: list[tuple], present: set[str]) -> dict[str, tuple[str, str | None, int | None]]:
+    """What each touched path holds in the end: (set, path, seq) of a change, (state, path, None), or (gone, None, None)."""
+    holds: dict[str, tuple] = {p: (STATE_OF, p, None) for p in present}
+    touched: dict[str, None] = {}
+    for seq, op, path, to in sorted(changes, key=lambda c: c[:3]):
+        touched[path] = None
+        if op == "set":
+            holds[path] = (SET, path, seq)
+        elif op == "remove":
+            holds.pop(path, None)
+        elif to != path and path in holds:
+            touched[to] = None
+            holds[to] = holds.pop(path)
+    return {p: holds.get(p, (GONE, None, None)) for p in touched}
+
+
+def resolved(changes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, kind, source, at): what every touched path holds after changes, given the paths that hold something now.
+
+    A path that no rename touches holds what its last change says, by a window.
+    The others are grouped with those that renames join them to; a group's
+    changes, without texts, are folded in order.
+    """
+    renames = changes.where("op = 'rename' and path <> text").select(F.col("path").alias("a"), F.col("text").alias("b"))
+    groups = connected(renames)
+    placed = changes.join(groups, changes["path"] == groups["id"], "left")
+    order = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("op"))
+    alone = placed.where("component is null and not (op = 'rename')").withColumn("r", F.row_number().over(order)).where("r = 1")
+    alone = alone.select("path", F.when(F.col("op") == "set", SET).otherwise(GONE).alias("kind"), F.when(F.col("op") == "set", F.col("path")).alias("source"), F.when(F.col("op") == "set", F.col("seq")).alias("at"))
+    own = paths.join(groups, paths["path"] == groups["id"]).select("component", paths["path"], F.lit(None).cast("long").alias("seq"), F.lit("has").alias("op"), F.lit(None).cast("string").alias("to"))
+    mixed = own.unionByName(placed.where("component is not null").select("component", "path", "seq", "op", F.when(F.col("op") == "rename", F.col("text")).alias("to")))
+
+    def fold(pdf):
+        import pandas as pd
+
+        present = set(pdf.loc[pdf["op"] == "has", "path"])
+        rows = pdf[pdf["op"] != "has"]
+        found = folded(list(zip(rows["seq"].astype("int64"), rows["op"], rows["path"], rows["to"])), present)
+        return pd.DataFrame([(p, *x) for p, x in found.items()], columns=["path", "kind", "source", "at"]).astype({"at": "Int64"})
+
+    return alone.unionByName(mixed.groupBy("component").applyInPandas(fold, "path string, kind string, source string, at long"))
 
 
 def path_counts(docs: DataFrame) -> DataFrame:
@@ -36,12 +80,15 @@ def path_counts(docs: DataFrame) -> DataFrame:
 
 
 def applied(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state after a batch of changes. A rename keeps counts; a path's last change decides."""
-    last = latest(changes)
-    renames = last.where("op = 'rename'").select("path", F.col("text").alias("to"))
-    gone = last.select("path").unionByName(renames.select(F.col("to").alias("path"))).distinct()
-    moved = state.join(renames, "path").drop("path").withColumnRenamed("to", "path")
-    return state.join(gone, "path", "left_anti").unionByName(moved.select(*state.columns)).unionByName(path_counts(last.where("op = 'set'").select("path", "text")))
+    """The state after a batch of changes."""
+    changes = changes.where("op in ('set', 'remove', 'rename') and path is not null")
+    plan = staged(resolved(changes, state.select("path").distinct()), "plan")
+    moved = plan.where(F.col("kind") == STATE_OF).select(F.col("source").alias("path"), F.col("path").alias("to"))
+    fresh = plan.where(F.col("kind") == SET).select(F.col("source").alias("from"), F.col("at").alias("seq"), F.col("path").alias("to"))
+    texts = changes.where("op = 'set'").select(F.col("path").alias("from"), "seq", "text").dropDuplicates(["from", "seq"])
+    kept = state.join(plan.select("path"), "path", "left_anti")
+    carried = state.join(moved, "path").drop("path").withColumnRenamed("to", "path").select(*state.columns)
+    return kept.unionByName(carried).unionByName(path_counts(texts.join(fresh, ["from", "seq"]).select(F.col("to").alias("path"), "text")))
 
 
 def totals(state: DataFrame) -> ngram.Counts:
@@ -55,22 +102,57 @@ def document_frequency(state: DataFrame) -> DataFrame:
 
 
 class CorpusState:
-    """Versions of the state below a folder; version b + 1 is the state after batch b."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.version = 0
+    """Versions of the state below a folder that all executors share; version b + 1 is the state after batch b.
+
+    A version holds the buckets of paths that its batch touched; the others
+    are those of versions before. A version counts once its write is complete,
+    so a restart goes on from the last one that is.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    def _listed(self, path: str) -> list[str]:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+    def versions(self) -> list[int]:
+        """Complete versions, the newest first."""
+        found = sorted((int(n[1:]) for n in self._listed(self.folder) if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+        return [v for v in found if "_SUCCESS" in self._listed(f"{self.folder}/v{v}")]
+
+    @property
+    def version(self) -> int:
+        return next(iter(self.versions()), 0)
+
+    def _rows(self, version: int | None) -> DataFrame:
+        """Rows with their bucket, and a row without a path for every bucket that was ever written."""
+        taken: set[str] = set()
+        out = self.spark.createDataFrame([], f"{STATE}, bucket int")
+        for v in self.versions():
+            if version is not None and v > version:
+                continue
+            fresh = [n for n in self._listed(f"{self.folder}/v{v}") if n.startswith("bucket=") and n not in taken]
+            taken.update(fresh)
+            for n in fresh:
+                rows = self.spark.read.schema(STATE).parquet(f"{self.folder}/v{v}/{n}")
+                out = out.unionByName(rows.withColumn("bucket", F.lit(int(n.split("=")[1]))))
+        return out
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version if version is None else version
-        if version == 0:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/v{version}")
+        return self._rows(version).where("path is not null").drop("bucket")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """For foreachBatch: safe to run again for a batch."""
-        applied(self.read(batch), changes).write.mode("overwrite").parquet(f"{self.folder}/v{batch + 1}")
-        self.version = batch + 1
+        """For foreachBatch: safe to run again for a batch. Only buckets of touched paths are read and written."""
+        bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+        changes = staged(changes, "changes")
+        paths = changes.select("path").unionByName(changes.where("op = 'rename'").select(F.col("text").alias("path")))
+        touched = [r[0] for r in paths.select(bucket.alias("b")).distinct().collect()]  # a number for each bucket
+        old = self._rows(batch).where(F.col("bucket").isin(touched) & F.col("path").isNotNull()).drop("bucket")
+        marks = self.spark.createDataFrame([(None, 0, None, None, None, 0, b) for b in touched], f"{STATE}, bucket int")
+        new = applied(old, changes).withColumn("bucket", bucket).unionByName(marks)
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{batch + 1}")
 
 
 def follow(changes: DataFrame, state: CorpusState, checkpoint: str, every: str | None = None) -> StreamingQuery:

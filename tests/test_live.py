@@ -1,5 +1,7 @@
 """Change feeds, sources and the façade."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,46 @@ def test_stream_equals_a_rebuild(spark, tmp_path):
     assert rows(state.read()) == again
 
 
+def rebuilt(spark, texts):
+    return rows(changes.totals(changes.path_counts(spark.createDataFrame(sorted(texts.items()), "path string, text string"))).tri)
+
+
+@pytest.mark.parametrize("batch", [[("rename", "a", "b", 1), ("set", "b", "new b", 2)], [("set", "a", "new a", 1), ("rename", "a", "b", 2)], [("rename", "a", "b", 1), ("rename", "b", "c", 2)], [("rename", "x", "a", 1), ("set", "x", "late", 2)], [("rename", "a", "a", 1), ("remove", "b", None, 2)], [("rename", "a", "b", 1), ("rename", "c", "a", 2), ("rename", "b", "c", 3)]])
+def test_changes_of_one_path_in_a_batch(spark, batch):
+    texts = {"a": "one two", "b": "three four five", "c": "six"}
+    state = changes.path_counts(spark.createDataFrame(sorted(texts.items()), "path string, text string"))
+    got = changes.applied(state, spark.createDataFrame(batch, changes.CHANGE))
+    for op, path, text, _ in batch:
+        if op == "set":
+            texts[path] = text
+        elif op == "remove":
+            texts.pop(path, None)
+        elif path in texts and text != path:
+            texts[text] = texts.pop(path)
+    assert rows(changes.totals(got).tri) == rebuilt(spark, texts)
+
+
+def test_random_changes_equal_a_rebuild_across_a_restart(spark, tmp_path):
+    rng, texts = random.Random(3), {}
+    for batch in range(4):
+        feed = []
+        for seq in range(40):
+            path, op = f"p{rng.randint(0, 9)}", rng.choice(["set", "set", "remove", "rename"])
+            to = f"p{rng.randint(0, 9)}" if op == "rename" else f"text {rng.randint(0, 99)} of {path}" if op == "set" else None
+            feed.append((op, path, to, seq))
+            if op == "set":
+                texts[path] = to
+            elif op == "remove":
+                texts.pop(path, None)
+            elif path in texts and to != path:
+                texts[to] = texts.pop(path)
+        state = changes.CorpusState(spark, str(tmp_path / "s"), buckets=3)  # anew for each batch, as after a restart
+        assert state.version == batch
+        for _ in range(2):  # a batch may be replayed
+            state.apply(spark.createDataFrame(feed, changes.CHANGE), batch)
+        assert rows(changes.totals(state.read()).tri) == rebuilt(spark, texts)
+
+
 def test_live_counters_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01 10:05:00", "view", 2.5), (1, "2024-01-01 10:05:00", "view", 2.5), (2, "2024-01-01 10:50:00", "view", 1.0)], "event_id long, t string, event_type string, value double").select("event_id", F.to_timestamp("t").alias("ts"), "event_type", "value")
     df.write.parquet(str(tmp_path / "ev"))
