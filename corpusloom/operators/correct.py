@@ -38,8 +38,9 @@ def neighbours(typed: DataFrame, vocab: DataFrame, most: float = MOST, limit: in
 
 def completions(prefixes: DataFrame, vocab: DataFrame, limit: int = 400) -> DataFrame:
     """(prefix, w, rank): words that begin so, shortest first among the first 4 * limit in order."""
-    heads = prefixes.select("prefix", F.substring("prefix", 1, 1).alias("head"))
-    pairs = heads.join(vocab.withColumn("head", F.substring("w", 1, 1)), "head").where(F.col("w").startswith(F.col("prefix")) & (F.col("w") != F.col("prefix")))
+    from corpusloom.operators.predict import begun
+
+    pairs = begun(prefixes.select("prefix"), vocab.select("w"), "prefix").where(F.col("w") != F.col("prefix"))
     first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("prefix").orderBy("w"))).where(F.col("r") <= 4 * limit)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.length("w"), "w")))
     return ranked.where(F.col("rank") <= limit).select("prefix", "w", "rank")
@@ -90,8 +91,14 @@ def peers(counts: ngram.Counts, asked: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("query_id", "typed", "w2", "w1", "w", "cost", "lm")
 
 
-def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta: float = BETA, threshold: float = GAIN) -> DataFrame:
-    """(query_id, correct, from, to, reason) for asked(query_id, token, w2, w1); the first rule that fits decides."""
+def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta: float = BETA, threshold: float = GAIN, lexicon: DataFrame | None = None, split: bool = True) -> DataFrame:
+    """(query_id, correct, from, to, reason) for asked(query_id, token, w2, w1); the first rule that fits decides.
+
+    lexicon(w) holds real words that the model may lack; those, and words with a
+    stem that model or lexicon has, are left as they are.
+    """
+    from corpusloom.operators.predict import suggest_split
+
     vocab = counts.uni.select("w")
     asked = staged(asked.withColumn("typed", F.lower("token")), "asked")
     real = asked.join(vocab.select(F.col("w").alias("typed"), F.lit(True).alias("real")), "typed", "left").withColumn("real", F.coalesce("real", F.lit(False)))
@@ -105,6 +112,15 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
     pool = pool.where(close)
     best = pool.groupBy("query_id").agg(F.max_by("w", F.struct(F.round("post", 9), F.expr("transform(split(w, ''), c -> -ascii(c))"))).alias("best"), F.max("post").alias("best_post"))
     df = base.join(any_, "query_id", "left").join(best, "query_id", "left")
+    words = vocab if lexicon is None else vocab.unionByName(lexicon.select("w")).distinct()
+    unknown = base.where("not real").select("typed").distinct()
+    stems = unknown.select("typed", F.explode(X.stem_candidates("typed")).alias("w")).join(words, "w", "left_semi").select("typed")
+    rare = stems if lexicon is None else stems.unionByName(unknown.join(lexicon.select(F.col("w").alias("typed")), "typed", "left_semi"))
+    df = df.join(rare.distinct().withColumn("rare", F.lit(True)), "typed", "left")
+    if split:
+        df = df.join(suggest_split(counts, asked.select("query_id", "typed", "w2", "w1")).select("query_id", F.array_join("pieces", " ").alias("split")), "query_id", "left")
+    else:
+        df = df.withColumn("split", F.lit(None).cast("string"))
     alone = _lm(counts, _lm(counts, _lm(counts, df, "best", "lm_best"), "best", "u_best", False), "typed", "u_typed", False)
     evidence = (F.col("lm_best") - F.col("lm_typed")) - (F.col("u_best") - F.col("u_typed"))
     bar = F.when(~F.col("real") & ~F.col("token").rlike("[A-Z]"), threshold * NONWORD).otherwise(threshold)
@@ -114,6 +130,8 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
         .when(F.col("typed").isin(list(learned)), "learn-listed")
         .when(X.is_acronym("token"), "acronym")
         .when(contraction.isNotNull(), "contraction")
+        .when(F.col("rare"), "real-word-rare")
+        .when(F.col("split").isNotNull(), "split")
         .when(F.col("any").isNull(), "no-candidate")
         .when(F.col("best").isNull() | (F.col("best") == F.col("typed")), "already-best")
         .when(F.col("best_post") - F.col("typed_post") < bar, "insufficient-info-gain")
@@ -121,8 +139,8 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
         .otherwise("corrected")
     )
     df = alone.withColumn("reason", reason)
-    correct = F.col("reason").isin("contraction", "corrected")
-    to = F.when(F.col("reason") == "contraction", contraction).otherwise(F.col("best"))
+    correct = F.col("reason").isin("contraction", "split", "corrected")
+    to = F.when(F.col("reason") == "contraction", contraction).when(F.col("reason") == "split", F.col("split")).otherwise(F.col("best"))
     return df.select("query_id", correct.alias("correct"), F.col("token").alias("from"), F.when(correct, X.match_case(F.col("token"), to)).otherwise(F.col("token")).alias("to"), "reason")
 
 
@@ -195,14 +213,17 @@ def segmented(counts: ngram.Counts, asked: DataFrame, unknown: float = 6.0, long
 
 
 def evaluated(counts: ngram.Counts, words: DataFrame, k: int = 5) -> DataFrame:
-    """One row: how often a corrupted word is put right, found among k candidates, and keys saved."""
-    asked = words.select("query_id", F.col("w").alias("intended"), C.corrupt_udf("w").alias("typed"), "w2", "w1").where("typed <> intended")
+    """One row for words(query_id, w, w2, w1): how often a corrupted word is put right, or found among k, and the share of keys saved."""
+    from corpusloom.operators.predict import keys_saved
+
+    own = staged(words.where(F.length("w") >= 2), "eval-words")
+    asked = own.select("query_id", F.col("w").alias("intended"), C.corrupt_udf("w").alias("typed"), "w2", "w1").where("typed <> intended")
     asked = staged(asked, "eval")
     found = candidates(counts, asked.select("query_id", "typed", "w2", "w1"), k)
     hits = found.join(asked.select("query_id", "intended"), "query_id").groupBy("query_id").agg(F.max((F.col("w") == F.col("intended")).cast("int")).alias("hit"), F.max(((F.col("w") == F.col("intended")) & (F.col("rank") == 1)).cast("int")).alias("top"))
-    df = asked.join(hits, "query_id", "left")
-    saved = F.sum(F.when(F.col("hit") == 1, F.greatest(F.length("intended") - 2, F.lit(0))).otherwise(0)) / F.sum(F.length("intended"))
-    return df.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("top", F.lit(0))), 6).alias("accuracy"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.round(saved, 6).alias("saved"))
+    rates = asked.join(hits, "query_id", "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("top", F.lit(0))), 6).alias("accuracy"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    keys = keys_saved(counts, own.withColumnRenamed("query_id", "word_id")).agg(F.round(F.sum("saved") / F.sum("length"), 6).alias("saved"))
+    return rates.join(keys)
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

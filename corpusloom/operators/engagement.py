@@ -49,22 +49,23 @@ def snapshot(rows: DataFrame, events: DataFrame) -> DataFrame:
     return wide.withColumn("next_milestone", nexts.cast("long"))
 
 
-def best_menu(items: list[tuple[float, float, str]]) -> list[str]:
-    """The menu that saves most: items (p, saved, name) in order of p, each slot above costing one unit.
+def best_menu(items: list[tuple[float, float, str]], k: int | None = None) -> list[str]:
+    """The menu of k items at most that saves most: items (p, saved, name) in order of p, each slot above costing one unit.
 
-    Taking the i-th item at slot s earns p * (saved - s); best[s] is what the
-    items from here on can earn when s are shown.
+    Taking the i-th item at slot s earns p * (saved - s); gain[i][s] is what the
+    items from i on can earn when s are shown.
     """
-    ranked = sorted((x for x in items if x[1] > 0), key=lambda x: (-x[0], x[2]))
+    ranked = sorted((x for x in items if x[1] > 0), key=lambda x: (-round(x[0], 12), x[2]))  # equal but for rounding: by name
     n = len(ranked)
-    gain = [[0.0] * (n + 2) for _ in range(n + 1)]
+    most = n if k is None else min(k, n)
+    gain = [[0.0] * (most + 2) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         p, own, _ = ranked[i]
-        for s in range(i, -1, -1):
-            gain[i][s] = max(gain[i + 1][s], p * (own - s) + gain[i + 1][s + 1])
+        for s in range(min(i, most), -1, -1):
+            gain[i][s] = gain[i + 1][s] if s >= most else max(gain[i + 1][s], p * (own - s) + gain[i + 1][s + 1])
     out, s = [], 0
     for i, (p, own, name) in enumerate(ranked):
-        if p * (own - s) + gain[i + 1][s + 1] > gain[i + 1][s]:
+        if s < most and p * (own - s) + gain[i + 1][s + 1] > gain[i + 1][s] + 1e-10:
             out.append(name)
             s += 1
     return out
