@@ -259,29 +259,42 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-def similar_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """A forest of exact links; between the sides only, if there are any. Pairs that `known` classes or it already join are not compared."""
-    parent, out = {k: k for k in set(known.tolist())}, []
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    own = known.tolist()
-    for at in range(0, len(sets), LEAF):
-        for to in range(at, len(sets), LEAF):
-            d = np.bitwise_count(wide[at : at + LEAF, None, :] ^ wide[None, to : to + LEAF, :]).sum(axis=2, dtype=np.int64)
-            near = (d <= REACH) & (known[at : at + LEAF, None] != known[None, to : to + LEAF])
-            if side is not None:
-                near &= side[at : at + LEAF, None] != side[None, to : to + LEAF]
-            i, j = np.nonzero(near)
-            for x, y in zip((i + at).tolist(), (j + to).tolist()):
-                if x < y and root(own[x]) != root(own[y]) and similar(sets[x], sets[y], similarity):
-                    parent[root(own[y])] = root(own[x])
-                    out.append((x, y))
-    return out
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
+    """How many shingles each of the sets `left` shares with each of the sets `right`, by products of incidence tables."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[column] > 1
+    owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at, to = np.searchsorted(column, [low, low + width])
+        table = np.zeros((len(sets), width), np.float32)
+        table[owner[at:to], column[at:to] - low] = 1
+        out += table[left] @ table[right].T
+    return out.astype(np.int64)
+
+
+def similar_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of exact links between sets of different `known` classes; between the sides only, if there are any."""
+    left, right = (np.arange(len(sets)),) * 2 if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    distance = np.zeros((len(left), len(right)), np.int64)
+    for k in range(wide.shape[1]):
+        distance += np.bitwise_count(wide[left, k][:, None] ^ wide[right, k][None, :])
+    near = (distance <= REACH) & (known[left][:, None] != known[right][None, :])
+    if not near.any():
+        return left[:0], right[:0]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = overlaps(sets, left, right)
+    near &= both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+    i, j = np.nonzero(near)
+    root = settle(merge(np.arange(len(sets)), left[i], right[j]))
+    linked = np.flatnonzero(root != np.arange(len(sets)))
+    return linked, root[linked]
 
 
 def _places(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,7 +376,7 @@ def survivors(known: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def shard_keys(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(key, node): shards such that two similar sets meet in one at least.
+    """(key, node, own): shards such that two similar sets meet in one at least; own is how many shingles no other text has.
 
     Of two sets in one order, the first (1 - similarity) * n + 1 shingles have
     one in common. The order puts shingles that no other text has first; these
@@ -375,11 +388,12 @@ def shard_keys(nodes: DataFrame, similarity: float) -> DataFrame:
             for node, packed, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 own = np.frombuffer(packed.as_buffer(), np.uint64)
                 shared = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(own)).astype(bool)
-                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 - int((~shared).sum())
+                alone = int((~shared).sum())
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 - alone
                 keys = own[shared][: max(first, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node, np.int64))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, alone))], ["key", "node", "own"])
 
-    return nodes.where("set is not null").select("node", "set", "bits").mapInArrow(run, "key long, node long")
+    return nodes.where("set is not null").select("node", "set", "bits").mapInArrow(run, "key long, node long, own long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -404,13 +418,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
     """(id, component) of the nodes (node, n, set, bits, w0 ... w3) that are similar to another.
 
-    Every shard first compares its members with its vantage point, the least
-    node. Where that leaves a shard in more than one class, all pairs of its
+    Every shard first compares its members with its vantage point, the member
+    with the fewest shingles of its own, as the text is that others were copied
+    from. Where that leaves a shard in more than one class, all pairs of its
     members in different classes are compared, in blocks; shards of the same
     members are searched once.
     """
     keyed = staged(shard_keys(nodes, similarity), "simhash-keys")
-    points = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
+    points = keyed.groupBy("key").agg(F.min_by("node", F.struct("own", "node")).alias("b"), F.count("*").alias("size")).where("size > 1")
     rays = keyed.join(points, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     near = staged(verified(rays, nodes, similarity), "simhash-near")
     labels = connected(near).withColumnRenamed("id", "node")
@@ -429,8 +444,7 @@ def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
         names = table.column("node").to_numpy()
         side = None if key[1].as_py() == key[2].as_py() else table.column("own").to_numpy() == key[2].as_py()
         wide = np.stack([table.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-        found = similar_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], wide, table.column("class").to_numpy(), side, similarity)
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        a, b = similar_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], wide, table.column("class").to_numpy(), side, similarity)
         return pa.table({"a": names[a], "b": names[b]})
 
     more = staged(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "simhash-more")
