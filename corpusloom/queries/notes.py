@@ -137,16 +137,9 @@ def currency_amounts(spark, sf_dir):
     """Document lengths as amounts with currency words, formatted in three styles."""
     words = F.array(*(F.lit(w) for w in ("dollars", "euro", "zloty", "yen", "kr")))
 
-    def shown(own: C.Style):
-        @F.pandas_udf(T.StringType())
-        def run(before: pd.Series) -> pd.Series:
-            return before.map(lambda b: (C.detect(b, own) or (0, b))[1])
-
-        return run
-
     before = F.concat(F.lit("for "), F.col("n_chars").cast("string"), F.lit(".5 "), F.element_at(words, (F.col("doc_id") % 5 + 1).cast("int")))
     df = table(spark, sf_dir, "documents").select("doc_id", before.alias("before"))
-    return df.select("doc_id", "before", shown(C.style("comma"))("before").alias("comma"), shown(C.style("comma", use_code=True))("before").alias("code"))
+    return df.select("doc_id", "before", *(F.coalesce(C.detected(F.col("before"), own)["text"], F.col("before")).alias(name) for name, own in (("comma", C.style("comma")), ("code", C.style("comma", use_code=True)))))
 
 
 AMOUNTS = """WITH a AS (SELECT doc_id, 'for ' || n_chars || '.5 ' || ['dollars', 'euro', 'zloty', 'yen', 'kr'][doc_id % 5 + 1] AS before, format('{:,}', n_chars) || '.50' AS n, doc_id % 5 AS k FROM documents)
