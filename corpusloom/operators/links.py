@@ -71,16 +71,86 @@ def tag_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def suggest_tags(tf: DataFrame, counts: DataFrame, applied: DataFrame, id_col: str, limit: int = 8) -> DataFrame:
-    """(id, tag, score, rank): hits * ln(1 + n); a tag without a slash is its own leaf and counts twice."""
+def raw_counts(notes: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, term, tf): how often a note has each lower-case run of three letters, digits and hyphens or more; terms leave hyphens out."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9][a-z0-9-]{2,}"), F.lit(0))
+    return notes.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def suggest_tags(tf: DataFrame, raw: DataFrame, counts: DataFrame, applied: DataFrame, id_col: str, limit: int = 8) -> DataFrame:
+    """(id, tag, score, rank): hits * ln(1 + n), hits being terms and raw words that are the tag or its leaf.
+
+    A tag without a slash is its own leaf and counts twice.
+    """
     named = counts.withColumn("leaf", F.regexp_extract("tag", r"([^/]*)\z", 1))
     keys = named.select("tag", "n", F.explode(F.array("tag", "leaf")).alias("term"))
-    hits = tf.join(keys, "term").groupBy(id_col, "tag", "n").agg(F.sum("tf").alias("hits"))
+    every = tf.select(id_col, "term", "tf").unionByName(raw.select(id_col, "term", "tf")).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"))
+    hits = every.join(keys, "term").groupBy(id_col, "tag", "n").agg(F.sum("tf").alias("hits"))
     scored = hits.join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti").withColumn("score", F.col("hits") * F.log(F.col("n") + 1))
     order = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(id_col, "tag", "score", "rank")
 
 
+def tag_popup(tf: DataFrame, counts: DataFrame, applied: DataFrame, rarity: DataFrame, asked: DataFrame, id_col: str, existing: int = 5, total: int = 8, least_new: int = 3) -> DataFrame:
+    """(id, tag, is_new, score, rank) for asked(id, query): known tags that match what is typed, then a note's own words.
+
+    A known tag scores match * (0.5 + hits) * rarity * ln(2 + n), match being 2
+    where it or its leaf begins with the query; a word that is no tag scores
+    0.8 * tf * rarity, 1.4 times as much if it begins so, and needs a rarity of
+    0.4. Words without a rarity(w, rarity) have 0.5. A query matches what has
+    its letters in order. Notes meet only tags that they have a hit for, and
+    the best tags of their query besides: as many as can be shown or applied.
+    """
+    letters = F.array_join(F.transform(F.filter(F.split(F.lower("query"), ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), ".*")
+    named = counts.where(X.is_valid_tag("tag")).withColumn("leaf", F.regexp_extract("tag", r"([^/]*)\z", 1))
+    named = named.join(rarity.select(F.col("w").alias("leaf"), "rarity"), "leaf", "left").withColumn("rarity", F.coalesce("rarity", F.lit(0.5)))
+    begins = lambda c: F.col(c).startswith(F.lower("query"))
+    match = F.when((F.col("query") != "") & (begins("tag") | begins("leaf")), 2).otherwise(1)
+    fits = F.expr("tag rlike letters") | F.expr("leaf rlike letters")
+    own = asked.withColumn("letters", letters)
+    most = existing + (applied.groupBy(id_col).count().agg(F.max("count")).first()[0] or 0)
+    queries = own.select("query", "letters").distinct()  # what is typed is a few letters
+    general = queries.join(F.broadcast(named) if named.count() <= 100_000 else named, fits).withColumn("score", match * 0.5 * F.col("rarity") * F.log(F.col("n") + 2))
+    general = general.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= most).select("query", "tag", "leaf", "n", "rarity")
+    terms = tf.select(id_col, F.col("term"), "tf")
+    hit = named.select("tag", "leaf", "n", "rarity", F.explode(F.array("tag", "leaf")).alias("term")).join(terms, "term").groupBy(id_col, "tag", "leaf", "n", "rarity").agg(F.sum("tf").alias("hits"))
+    hit = own.join(hit, id_col).where(fits).select(id_col, "query", "tag", "leaf", "n", "rarity", "hits")
+    rest = own.join(general, "query").select(id_col, "query", "tag", "leaf", "n", "rarity", F.lit(0).cast("long").alias("hits")).join(hit.select(id_col, "tag"), [id_col, "tag"], "left_anti")
+    known = hit.unionByName(rest).join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti")
+    known = known.withColumn("score", match * (0.5 + F.col("hits")) * F.col("rarity") * F.log(F.col("n") + 2))
+    known = known.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= existing).select(id_col, "tag", F.lit(False).alias("is_new"), "score", "r")
+    fresh = own.join(terms.withColumnRenamed("term", "tag"), id_col).where((F.length("tag") >= 4) & X.is_valid_tag("tag") & F.expr("tag rlike letters"))
+    fresh = fresh.join(counts.select("tag"), "tag", "left_anti").join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti")
+    fresh = fresh.join(rarity.select(F.col("w").alias("tag"), "rarity"), "tag", "left").withColumn("rarity", F.coalesce("rarity", F.lit(0.5))).where("rarity >= 0.4")
+    lift = F.when((F.col("query") != "") & begins("tag"), 1.4).otherwise(1.0)
+    fresh = fresh.withColumn("score", F.col("tf") * F.col("rarity") * lift * 0.8)
+    shown = known.groupBy(id_col).agg(F.count("*").alias("shown"))
+    fresh = fresh.join(shown, id_col, "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
+    fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= F.greatest(F.lit(least_new), total - F.col("shown")))
+    return known.unionByName(fresh.select(id_col, "tag", F.lit(True).alias("is_new"), "score", (F.col("r") + F.col("shown")).cast("int").alias("r"))).withColumnRenamed("r", "rank")
+
+
+def picker(recommended: DataFrame, notes: DataFrame, asked: DataFrame, cap: int = 500) -> DataFrame:
+    """(query_id, target, related, rank) for asked(query_id, path): recommended(query_id, target, rank) first, then notes(path, target, mtime), the newest first.
+
+    Only the `cap` newest notes, and as many more as recommendations may repeat, are dealt to every question.
+    """
+    first = recommended.withColumn("r", F.row_number().over(Window.partitionBy("query_id", F.lower("target")).orderBy("rank"))).where("r = 1").drop("r")
+    most = first.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    newest = notes.withColumn("age", F.row_number().over(Window.orderBy(F.desc("mtime"), "path"))).where(F.col("age") <= cap + most + 1)
+    rest = asked.join(F.broadcast(newest), asked["path"] != newest["path"]).select("query_id", "target", "age")
+    rest = rest.withColumn("low", F.lower("target")).join(first.select("query_id", F.lower("target").alias("low")), ["query_id", "low"], "left_anti")
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "low").orderBy("age"))).where("r = 1")
+    every = first.select("query_id", "target", F.lit(True).alias("related"), F.col("rank").alias("at")).unionByName(rest.select("query_id", "target", F.lit(False).alias("related"), F.col("age").alias("at")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("related"), "at", "target")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("related") | (F.col("rank") <= cap)).select("query_id", "target", "related", "rank")
+
+
+def listed(dictionary: DataFrame) -> DataFrame:
+    """(w, added, rank) of dictionary(w, added): the words that the user added, then those learned, each in alphabetical order."""
+    return dictionary.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("added"), F.lower("w"), "w")))
+
+
 def new_tags(tf: DataFrame, counts: DataFrame, id_col: str, limit: int = 3) -> DataFrame:
     """(id, term, tf, rank): frequent words of four letters or more that are no tag yet."""
     fresh = tf.where((F.col("tf") >= 2) & (F.length("term") >= 4)).join(counts.select(F.col("tag").alias("term")), "term", "left_anti")
@@ -93,10 +163,12 @@ def tag_diff(before: str, after: str) -> tuple:
     return F.array_sort(F.array_except(after, before)).alias("added"), F.array_sort(F.array_except(before, after)).alias("removed")
 
 
-def dictionary_kept(dictionary: DataFrame, vocab: DataFrame, df: DataFrame) -> DataFrame:
-    """Entries the engine does not know and the corpus still uses; without a frequency (null) an entry stays."""
-    joined = dictionary.join(vocab.select("w", F.lit(True).alias("known")), "w", "left").join(df, "w", "left")
-    return joined.where(F.col("known").isNull() & (F.col("df").isNull() | (F.col("df") > 0))).select("w")
+def dictionary_kept(dictionary: DataFrame, vocab: DataFrame, df: DataFrame | None) -> DataFrame:
+    """Entries that the engine does not know and the corpus still uses, in any case; without a corpus (None) unknown ones stay."""
+    out = dictionary.withColumn("low", F.lower("w")).join(vocab.select(F.col("w").alias("low")), "low", "left_anti")
+    if df is not None:
+        out = out.join(df.where("df > 0").select(F.col("w").alias("low")), "low", "left_semi")
+    return out.select("w")
 
 
 def pinned(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:

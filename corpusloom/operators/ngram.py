@@ -119,10 +119,11 @@ def prune(counts: Counts, min_uni: int, min_ngram: int = 1) -> Counts:
     return Counts(uni, only(counts.bi, ["w1", "w"]), only(counts.tri, ["w2", "w1", "w"]))
 
 
-def merged(old: DataFrame, new: DataFrame, sign: int = 1) -> DataFrame:
-    """Counts plus (or minus) a delta; what falls to zero goes."""
+def merged(old: DataFrame, new: DataFrame, sign: int = 1, keep: bool = False) -> DataFrame:
+    """Counts plus (or minus) a delta; what falls to zero goes, or stays with zero where it must be kept (unigrams are the vocabulary)."""
     keys = [c for c in old.columns if c != "c"]
-    return old.unionByName(new.withColumn("c", F.col("c") * sign)).groupBy(*keys).agg(F.sum("c").alias("c")).where("c > 0")
+    total = old.unionByName(new.withColumn("c", F.col("c") * sign)).groupBy(*keys).agg(F.sum("c").alias("c"))
+    return total.withColumn("c", F.greatest("c", F.lit(0))) if keep else total.where("c > 0")
 
 
 def _unigram(counts: Counts, continuation: bool) -> DataFrame:
@@ -211,6 +212,41 @@ def packed(counts: Counts, k: int = 16) -> DataFrame:
     return top.join(F.broadcast(bounds)).select("w2", "w1", "w", q.alias("q"), "rank")
 
 
+def dequantised(q: Column, low: Column, high: Column) -> Column:
+    return low + q / 255 * (high - low)
+
+
+def packed_uni(counts: Counts, k: int = 256) -> DataFrame:
+    """(w, q, rank): the k likeliest single words in 8 bits, in the range of packed()."""
+    empty = F.lit(None).cast("string")
+    ones = log_prob(counts, counts.uni.select(empty.alias("w2"), empty.alias("w1"), "w"))
+    low, high = packed_range(counts)
+    q = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round((F.col("log_prob") - low) / (high - low) * 255, 6) + 0.5))).cast("int")
+    return ones.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("log_prob", 9)), "w"))).where(F.col("rank") <= k).select("w", q.alias("q"), "rank")
+
+
+def packed_range(counts: Counts) -> tuple[float, float]:
+    """The least and the greatest log-probability that packed() quantises."""
+    empty = F.lit(None).cast("string")
+    words = counts.uni.select("w").unionByName(counts.uni.sparkSession.createDataFrame([(L.SOS,)], "w string"))
+    every = counts.bi.where(F.col("w") != L.SOS).select(empty.alias("w2"), "w1", "w").unionByName(counts.tri.where(F.col("w") != L.SOS).select("w2", "w1", "w")).unionByName(words.select(empty.alias("w2"), empty.alias("w1"), "w"))
+    return tuple(log_prob(counts, every).agg(F.min("log_prob"), F.max("log_prob")).first())
+
+
+def packed_predict(packed: DataFrame, uni: DataFrame, low: float, high: float, contexts: DataFrame, k: int) -> DataFrame:
+    """(w2, w1, w, log_prob, rank) from packed(w2, w1, w, q, rank) and uni(w, q, rank): the first list there is, of two words, of one, or of none."""
+    asked = contexts.select("w2", "w1").distinct()
+    two = asked.join(packed.where("w2 is not null"), ["w2", "w1"]).select("w2", "w1", "w", "q", "rank", F.lit(0).alias("choice"))
+    one = asked.join(packed.where("w2 is null").drop("w2"), "w1").select("w2", "w1", "w", "q", "rank", F.lit(1).alias("choice"))
+    seen = two.unionByName(one)
+    none = asked.alias("c").join(seen.select("w2", "w1").distinct().alias("s"), F.expr("c.w2 <=> s.w2 and c.w1 <=> s.w1"), "left_anti")
+    top = uni.where(F.col("rank") <= k + 1)
+    every = seen.unionByName(none.join(F.broadcast(top)).select("w2", "w1", "w", "q", "rank", F.lit(2).alias("choice")))
+    first = every.withColumn("least", F.min("choice").over(Window.partitionBy("w2", "w1"))).where("choice = least").where(F.col("w") != L.SOS)
+    order = Window.partitionBy("w2", "w1").orderBy("rank")
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("w2", "w1", "w", dequantised(F.col("q"), F.lit(low), F.lit(high)).alias("log_prob"), "rank")
+
+
 def beam_phrases(counts: Counts, contexts: DataFrame, words: int = 4, width: int = 4, step_k: int = 8, reward: float = 0.6, min_avg: float = float("-inf")) -> DataFrame:
     """(query_id, phrase, n, log_prob, score, rank) for contexts(query_id, w2, w1): a step per word, all queries at once."""
     counts = Counts(staged(counts.uni, "uni"), staged(counts.bi, "bi"), staged(counts.tri, "tri"))

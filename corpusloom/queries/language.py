@@ -185,6 +185,33 @@ PACKED = f"""WITH {S.tokens('benchmark', 'item_id')}, {S.counts()}, {S.model()},
     SELECT w2, w1, w, greatest(0, least(255, floor(round((log_prob - lo) / (hi - lo) * 255, 6) + 0.5)))::BIGINT AS q, rank FROM ranked, lim WHERE rank <= 16"""
 
 
+def packed_predictions(spark, sf_dir):
+    """The five first words of the packed lists for the conversations' contexts; no list is mixed with another."""
+    counts = ngram.model(table(spark, sf_dir, "benchmark"))
+    low, high = ngram.packed_range(counts)
+    contexts = _asked(spark, sf_dir).select("w2", "w1").distinct()
+    found = ngram.packed_predict(ngram.packed(counts), ngram.packed_uni(counts), low, high, contexts, 5)
+    return found.select("w2", "w1", "w", F.round("log_prob", 5).alias("log_prob"), F.col("rank").cast("long").alias("rank"))
+
+
+PACKED_PREDICT = f"""{PACKED.split('SELECT w2, w1, w, greatest')[0]}, quant AS (SELECT w2, w1, w, greatest(0, least(255, floor(round((log_prob - lo) / (hi - lo) * 255, 6) + 0.5))) AS q, rank FROM ranked, lim WHERE rank <= 16),
+    ones AS (SELECT w, greatest(0, least(255, floor(round((log_prob - lo) / (hi - lo) * 255, 6) + 0.5))) AS q, row_number() OVER (ORDER BY round(log_prob, 9) DESC, w) AS rank FROM scored, lim WHERE kind = 0 AND w <> '<s>'),
+    {ASKED.replace('asked AS (', 'asked2 AS (')}, ctx AS (SELECT DISTINCT w2, w1 FROM asked2),
+    lists AS (SELECT c.w2, c.w1, q.w, q.q, q.rank, 0 AS choice FROM ctx c JOIN quant q ON q.w2 = c.w2 AND q.w1 = c.w1 UNION ALL SELECT c.w2, c.w1, q.w, q.q, q.rank, 1 FROM ctx c JOIN quant q ON q.w2 IS NULL AND q.w1 = c.w1
+      UNION ALL SELECT c.w2, c.w1, o.w, o.q, o.rank, 2 FROM ctx c, ones o WHERE o.rank <= 6),
+    best AS (SELECT *, min(choice) OVER (PARTITION BY w2, w1) AS least FROM lists), r AS (SELECT w2, w1, w, q, row_number() OVER (PARTITION BY w2, w1 ORDER BY rank) AS rank FROM best WHERE choice = least)
+    SELECT w2, w1, w, round(lo + q / 255 * (hi - lo), 5) AS log_prob, rank FROM r, lim WHERE rank <= 5"""
+
+
+def vocabulary_after_removal(spark, sf_dir):
+    """Unigrams of documents once a third of these are out again: words that fall to zero stay in the vocabulary."""
+    docs = _docs(spark, sf_dir)
+    return ngram.merged(ngram.count(docs).uni, ngram.count(docs.where("doc_id % 3 = 0")).uni, -1, keep=True)
+
+
+REMOVAL = f"WITH {S.tokens('documents', 'doc_id')} SELECT w, count(*) FILTER (id % 3 <> 0) AS c FROM words GROUP BY w"
+
+
 def _pruned(name: str):
     def run(spark, sf_dir):
         return getattr(ngram.prune(ngram.count(_docs(spark, sf_dir)), 3, 2), name)
@@ -233,6 +260,8 @@ QUERIES = {
     "mixture": mixture,
     "document_cache": document_cache,
     "packed_model": packed_model,
+    "packed_predictions": packed_predictions,
+    "vocabulary_after_removal": vocabulary_after_removal,
     "pruned_uni": _pruned("uni"),
     "pruned_bi": _pruned("bi"),
     "pruned_tri": _pruned("tri"),
@@ -260,6 +289,8 @@ SQL = {
     "mixture": MIXTURE,
     "document_cache": CACHE,
     "packed_model": PACKED,
+    "packed_predictions": PACKED_PREDICT,
+    "vocabulary_after_removal": REMOVAL,
     "pruned_uni": f"{KEPT} SELECT w, c FROM uni WHERE c >= 3",
     "pruned_bi": f"{KEPT} SELECT w1, w, c FROM bi WHERE c >= 2 AND w1 IN (FROM kept) AND w IN (FROM kept)",
     "pruned_tri": f"{KEPT} SELECT w2, w1, w, c FROM tri WHERE c >= 2 AND w2 IN (FROM kept) AND w1 IN (FROM kept) AND w IN (FROM kept)",

@@ -79,12 +79,13 @@ def tag_counts(spark, sf_dir):
 
 def suggest_tags(spark, sf_dir):
     tf, tags = _tags(spark, sf_dir)
-    found = K.suggest_tags(tf, K.tag_counts(tags), tags, "doc_id")
+    found = K.suggest_tags(tf, K.raw_counts(_docs(spark, sf_dir), "doc_id"), K.tag_counts(tags), tags, "doc_id")
     return found.select("doc_id", "tag", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 SUGGEST = f"""WITH {TAGS}, keys AS (SELECT tag, n, tag AS term FROM counts UNION ALL SELECT tag, n, string_split(tag, '/')[-1] FROM counts),
-h AS (SELECT doc_id, tag, n, sum(tf) AS hits FROM tf JOIN keys USING (term) GROUP BY ALL), s AS (SELECT doc_id, tag, hits * ln(n + 1) AS score FROM h WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.doc_id = h.doc_id AND t.tag = h.tag)),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}')) AS term FROM documents), every AS (SELECT doc_id, term, tf FROM tf UNION ALL SELECT doc_id, term, count(*) FROM w GROUP BY ALL),
+h AS (SELECT doc_id, tag, n, sum(tf) AS hits FROM every JOIN keys USING (term) GROUP BY ALL), s AS (SELECT doc_id, tag, hits * ln(n + 1) AS score FROM h WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.doc_id = h.doc_id AND t.tag = h.tag)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, tag) AS rank FROM s) SELECT doc_id, tag, round(score, 6) AS score, rank FROM r WHERE rank <= 8"""
 
 
@@ -116,8 +117,55 @@ def dictionary_kept(spark, sf_dir):
     return K.dictionary_kept(words, ngram.count(table(spark, sf_dir, "conversations")).uni.select("w"), ngram.document_frequency(_docs(spark, sf_dir)))
 
 
-DICTIONARY = f"""WITH {S.tokens('benchmark', 'item_id', 'q')}, {S.tokens('conversations', 'conv_id', 'c')}
-SELECT DISTINCT w FROM qwords WHERE w NOT IN (SELECT w FROM cwords)"""
+DICTIONARY = f"""WITH {S.tokens('documents', 'doc_id', 'd')}, {S.tokens('benchmark', 'item_id', 'q')}, {S.tokens('conversations', 'conv_id', 'c')}
+SELECT DISTINCT w FROM qwords WHERE w NOT IN (SELECT w FROM cwords) AND w IN (SELECT w FROM dwords)"""
+
+
+def tag_popup(spark, sf_dir):
+    """What is offered once a tag's first letter, that of the note's language, is typed."""
+    tf, tags = _tags(spark, sf_dir)
+    asked = _docs(spark, sf_dir).select("doc_id", F.substring("lang", 1, 1).alias("query")).where("query is not null")
+    rarity = ngram.document_frequency(_docs(spark, sf_dir)).select("w", (1 / F.sqrt("df")).alias("rarity"))
+    found = K.tag_popup(tf, K.tag_counts(tags), tags, rarity, asked, "doc_id")
+    return found.select("doc_id", "tag", "is_new", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+POPUP = f"""WITH {TAGS}, {S.tokens('documents', 'doc_id')}, rar AS (SELECT w, 1 / sqrt(count(DISTINCT id)) AS rarity FROM words GROUP BY w),
+asked AS (SELECT doc_id, left(lang, 1) AS q FROM documents WHERE lang IS NOT NULL),
+named AS (SELECT tag, n, string_split(tag, '/')[-1] AS leaf FROM counts WHERE regexp_full_match(tag, '[\\p{{L}}\\p{{N}}_/-]+') AND regexp_matches(tag, '[^\\p{{N}}/_-]')), nr AS (SELECT named.*, coalesce(rarity, 0.5) AS rarity FROM named LEFT JOIN rar ON rar.w = leaf),
+k AS (SELECT a.doc_id, nr.tag, CASE WHEN starts_with(tag, q) OR starts_with(leaf, q) THEN 2 ELSE 1 END * (0.5 + coalesce(t1.tf, 0) + coalesce(t2.tf, 0)) * rarity * ln(n + 2) AS score
+    FROM asked a JOIN nr ON contains(tag, q) OR contains(leaf, q) LEFT JOIN tf t1 ON t1.doc_id = a.doc_id AND t1.term = nr.tag LEFT JOIN tf t2 ON t2.doc_id = a.doc_id AND t2.term = nr.leaf
+    WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.doc_id = a.doc_id AND t.tag = nr.tag)),
+kr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, tag) AS rank FROM k), known AS (SELECT * FROM kr WHERE rank <= 5),
+f AS (SELECT a.doc_id, term AS tag, tf * coalesce(rarity, 0.5) * CASE WHEN starts_with(term, q) THEN 1.4 ELSE 1 END * 0.8 AS score FROM asked a JOIN tf ON tf.doc_id = a.doc_id LEFT JOIN rar ON rar.w = term
+    WHERE contains(term, q) AND length(term) >= 4 AND coalesce(rarity, 0.5) >= 0.4 AND regexp_full_match(term, '[\\p{{L}}\\p{{N}}_/-]+') AND regexp_matches(term, '[^\\p{{N}}/_-]') AND term NOT IN (SELECT tag FROM counts)),
+fr AS (SELECT f.*, coalesce(s.n, 0) AS shown, row_number() OVER (PARTITION BY f.doc_id ORDER BY round(score, 9) DESC, tag) AS r FROM f LEFT JOIN (SELECT doc_id, count(*) AS n FROM known GROUP BY ALL) s ON s.doc_id = f.doc_id)
+SELECT doc_id, tag, false AS is_new, round(score, 6) AS score, rank FROM known UNION ALL SELECT doc_id, tag, true, round(score, 6), r + shown FROM fr WHERE r <= greatest(3, 8 - shown)"""
+
+
+def picker_list(spark, sf_dir):
+    """Notes to link each benchmark item to: documents whose second language tag matches, then the newest of all."""
+    notes = table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), "doc_id").alias("path"), F.concat(F.lit("N"), (F.col("doc_id") % 700).cast("string")).alias("target"), F.col("n_chars").alias("mtime"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("n"), "item_id").alias("path"))
+    near = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).withColumn("target", F.concat(F.lit("n"), ((F.col("query_id") * 7 + F.col("rank")) % 700).cast("string")))
+    found = K.picker(near, notes, asked, 50)
+    return found.select("query_id", "target", "related", F.col("rank").cast("long").alias("rank"))
+
+
+PICKER = """WITH notes AS (SELECT 'n' || doc_id AS path, 'N' || doc_id % 700 AS target, n_chars AS mtime FROM documents), asked AS (SELECT item_id AS query_id, 'n' || item_id AS path FROM benchmark),
+rec AS (SELECT query_id, rank, 'n' || (query_id * 7 + rank) % 700 AS target FROM asked, (SELECT unnest([1, 2, 3]) AS rank)), first AS (SELECT query_id, lower(target) AS low, arg_min(target, rank) AS target, min(rank) AS rank FROM rec GROUP BY ALL),
+age AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, path) AS age FROM notes), rest AS (SELECT a.query_id, lower(target) AS low, arg_min(target, age) AS target, min(age) AS age FROM asked a JOIN age n ON n.path <> a.path
+    WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = a.query_id AND f.low = lower(n.target)) GROUP BY ALL),
+every AS (SELECT query_id, target, true AS related, rank AS pos FROM first UNION ALL SELECT query_id, target, false, age FROM rest),
+r AS (SELECT query_id, target, related, row_number() OVER (PARTITION BY query_id ORDER BY related DESC, pos, target) AS rank FROM every) SELECT * FROM r WHERE related OR rank <= 50"""
+
+
+def dictionary_listing(spark, sf_dir):
+    forms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    return K.listed(forms.withColumn("added", F.length("w") % 3 == 0)).withColumn("rank", F.col("rank").cast("long"))
+
+
+LISTING = "SELECT w, length(w) % 3 = 0 AS added, row_number() OVER (ORDER BY length(w) % 3 = 0 DESC, lower(w), w) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)"
 
 
 def pinned_forms(spark, sf_dir):
@@ -177,6 +225,9 @@ QUERIES = {
     "new_tags": new_tags,
     "tag_changes": tag_changes,
     "dictionary_kept": dictionary_kept,
+    "tag_popup": tag_popup,
+    "picker_list": picker_list,
+    "dictionary_listing": dictionary_listing,
     "pinned_forms": pinned_forms,
     "currency_amounts": currency_amounts,
     "anchor_spans": anchor_spans,
@@ -190,6 +241,9 @@ SQL = {
     "new_tags": NEW,
     "tag_changes": CHANGES,
     "dictionary_kept": DICTIONARY,
+    "tag_popup": POPUP,
+    "picker_list": PICKER,
+    "dictionary_listing": LISTING,
     "pinned_forms": PINNED,
     "currency_amounts": AMOUNTS,
 }

@@ -26,14 +26,17 @@ def local_session(cpus: int = 8, name: str = "corpusloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset (tests, local mode) does it fall back to a local
-    temporary folder, and it sets that for checkpoint() too.
+    Only where it is unset and the session is a local one (tests) does it fall
+    back to a local temporary folder, and it sets that for checkpoint() too. On
+    a cluster it is a ValueError: executors could not read each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext.getCheckpointDir()
         if found:
             return found
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext.getCheckpointDir()
