@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lists as L
+from corpusloom.session import staged
 from corpusloom.functions import text as X
 from corpusloom.operators.ngram import held
 
@@ -167,6 +168,19 @@ def floors(sims: DataFrame) -> DataFrame:
     return levels.join(ranked, F.col("k") == F.least(F.col("n") - 1, F.floor(F.round(F.col("p") * F.col("n"), 9))), "left").select("sensitivity", F.coalesce("s", F.lit(1.0)).alias("floor"))
 
 
+def note_shortlist(queries: DataFrame, sections: DataFrame, k: int = 30) -> DataFrame:
+    """(query_id, path): the k notes whose summed section vectors are nearest to each query; these may share no word with it."""
+    notes = staged(group_vectors(sections, "path", "cen").withColumn("vec_id", F.monotonically_increasing_id()), "note-vectors")
+    asked = staged(queries.select("query_id", F.col("q_cen").alias("embedding")).withColumn("vec_id", -1 - F.monotonically_increasing_id()), "note-queries")
+    found = nearest(asked, notes.select("vec_id", F.col("vec").alias("embedding")), k).select(F.col("query_id").alias("asked"), "id")
+    return found.join(asked.select("query_id", F.col("vec_id").alias("asked")), "asked").join(notes.select("path", F.col("vec_id").alias("id")), "id").select("query_id", "path")
+
+
+def suggest_links(queries: DataFrame, sections: DataFrame, levels: dict[int, float]) -> DataFrame:
+    """The twelve best sections of each query at the middle sensitivity."""
+    return related(queries, sections, levels[3], levels[1], 12)
+
+
 def related(queries: DataFrame, sections: DataFrame, floor: float, strong_floor: float, limit: int, corroborate: bool = False) -> DataFrame:
     """Sections that belong to each query, best first.
 
@@ -179,7 +193,9 @@ def related(queries: DataFrame, sections: DataFrame, floor: float, strong_floor:
     """
     asked = queries.select("query_id", "q_path", F.explode(F.map_keys("q_terms")).alias("term"))
     listed = sections.select("sec_id", "path", F.explode(F.map_keys("terms")).alias("term"))
-    short = asked.join(listed, "term").where(F.col("path") != F.col("q_path")).select("query_id", "sec_id").distinct()
+    by_term = asked.join(listed, "term").where(F.col("path") != F.col("q_path")).select("query_id", "sec_id")
+    by_note = note_shortlist(queries, sections).join(sections.select("sec_id", "path"), "path").join(queries.select("query_id", "q_path"), "query_id").where(F.col("path") != F.col("q_path")).select("query_id", "sec_id")
+    short = by_term.unionByName(by_note).distinct()
     df = short.join(queries, "query_id").join(sections, "sec_id")
     sem = dot(F.col("q_cen"), F.col("cen"))
     shared = F.array_intersect(F.map_keys("terms"), F.map_keys("q_terms"))

@@ -6,6 +6,8 @@ unknown word. Any table of vectors will do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ COMMON, POOL_COSINE, KEEP_COSINE, DROP = 0.66, 0.36, 0.42, 0.22
 CONTEXT, RARER, FORMAL, MIRROR, MIRROR_GATE = 0.55, 0.08, 0.10, 16.0, 0.008
 POOL_RARER, POOL_FORMAL = 0.1, 0.12
 
+ASKED = 20_000  # words asked for in one broadcast
+
 
 def ranked(uni: DataFrame) -> DataFrame:
     """(w, id): words by falling count. Ranks come from counts per count and letter, so no task sorts all words."""
@@ -57,14 +61,16 @@ def direction(words: DataFrame, pairs: DataFrame) -> DataFrame:
 def pool(queries: DataFrame, words: DataFrame, formal: DataFrame, keep: int = 40) -> DataFrame:
     """(w, other, cosine, rarer, formal, rank): words near each asked word w that are no form or negation of it.
 
-    Queries are a checked, small set; all words are scanned once against them.
+    All words are scanned once against a block of asked words, as many as a
+    broadcast may hold; more are asked in several blocks.
     """
     unit = V.with_unit(words, "u", F.col("vec").cast("array<double>")).select("w", "id", "u")
     size = words.agg((F.count("*") + 1).alias("size"))
     asked = unit.join(queries, "w").withColumnsRenamed({"id": "q_id", "u": "q_u"})
-    n = asked.count()
-    if n > 20_000:
-        raise ValueError(f"{n} words asked for at once; ask in blocks of 20,000")
+    blocks = -(-asked.count() // ASKED)
+    if blocks > 1:
+        parts = [queries.where(F.pmod(F.xxhash64("w"), F.lit(2 * blocks)) == k) for k in range(2 * blocks)]
+        return reduce(DataFrame.unionByName, (pool(part, words, formal, keep) for part in parts))
     other = unit.withColumnsRenamed({"w": "other", "id": "o_id", "u": "o_u"}).where(F.col("other").rlike(r"^[a-z]{3,}\z")).join(F.broadcast(size)).where(F.col("o_id") <= COMMON * F.col("size"))
     pairs = other.join(F.broadcast(asked), F.col("other") != F.col("w")).withColumn("cosine", V.dot(F.col("q_u"), F.col("o_u"))).where(F.col("cosine") >= POOL_COSINE)
     pairs = pairs.where((X.inflection_class("other") == X.inflection_class("w")) & ~X.same_lemma(F.col("w"), F.col("other")) & ~X.is_negation_of(F.col("w"), F.col("other")))

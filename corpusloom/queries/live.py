@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.queries import sql as S
 from corpusloom.queries.language import table
-from corpusloom.streaming import changes
+from corpusloom.streaming import changes, learning
 
 
 def _feed(spark, sf_dir):
@@ -56,9 +56,45 @@ def live_counters(spark, sf_dir):
 
 COUNTERS = "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n, sum(floor(value))::BIGINT AS saved FROM events GROUP BY ALL"
 
-QUERIES = {"change_feed": change_feed, "change_feed_frequency": change_feed_frequency, "live_counters": live_counters}
+def _actions(spark, sf_dir):
+    """The events table as interactions: purchases are corrections, errors are undos, clicks are accepted items."""
+    kind = F.when(F.col("event_type") == "purchase", "correct").when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "click", "accept").otherwise("edit")
+    source, target = (F.concat(F.lit(x), (F.floor("value") % 3).cast("string")) for x in "st")
+    shown = F.array(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.col("event_id") % (i + 1)).cast("double")), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.col("event_id") % (i + 3)).cast("double")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), source.alias("source"), target.alias("target"), (F.col("event_id") % 4 != 0).alias("kept"), shown.alias("shown"), (F.col("event_id") % 2).cast("int").alias("accepted"))
+
+
+def one_shot_reverts(spark, sf_dir):
+    return learning.one_shot_reverts(_actions(spark, sf_dir))
+
+
+REVERTS = """WITH l AS (SELECT user_id::VARCHAR AS user, event_id AS seq, event_type, lag(event_type) OVER o AS last, lag(floor(value)) OVER o AS v FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user, seq, 's' || (v % 3)::BIGINT AS source, 't' || (v % 3)::BIGINT AS target FROM l WHERE event_type = 'error' AND last = 'purchase'"""
+
+
+def deferred_learning(spark, sf_dir):
+    return learning.folded(_actions(spark, sf_dir), learning.deferred_step, learning.deferred_idle)
+
+
+def ranking_weights(spark, sf_dir):
+    return learning.folded(_actions(spark, sf_dir), learning.weights_step)
+
+
+def accept_streaks(spark, sf_dir):
+    """The run of days with an accepted item after each one, events taken in the order of time."""
+    df = _actions(spark, sf_dir).withColumn("seq", F.unix_micros("at") * 1000 + F.col("seq") % 1000)
+    found = learning.folded(df, learning.streak_step)
+    return found.groupBy("user").agg(F.max(F.col("word").cast("long")).alias("longest"), F.count("*").alias("accepts"))
+
+
+STREAKS = """WITH d AS (SELECT user_id::VARCHAR AS user, ts::DATE AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY ALL), i AS (SELECT *, day - (row_number() OVER (PARTITION BY user ORDER BY day))::INTEGER AS island FROM d),
+r AS (SELECT user, island, count(*) AS days, sum(n) AS n FROM i GROUP BY ALL) SELECT user, max(days) AS longest, sum(n)::BIGINT AS accepts FROM r GROUP BY user"""
+
+QUERIES = {"one_shot_reverts": one_shot_reverts, "deferred_learning": deferred_learning, "ranking_weights": ranking_weights, "accept_streaks": accept_streaks, "change_feed": change_feed, "change_feed_frequency": change_feed_frequency, "live_counters": live_counters}
 
 SQL = {
+    "one_shot_reverts": REVERTS,
+    "accept_streaks": STREAKS,
     "change_feed": FEED,
     "change_feed_frequency": FEED.split(f", {S.counts()}")[0] + " SELECT w, count(DISTINCT id) AS df FROM words GROUP BY w",
     "live_counters": COUNTERS,
