@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import editing, language, lexical, live, notes, retrieval, scalar, spelling, typing
+from corpusloom.queries import editing, language, lexical, live, notes, recurrent, retrieval, scalar, spelling, typing
 
 FLAGSHIP = "predict_next"
-MODULES = (language, scalar, retrieval, spelling, notes, live, lexical, editing, typing)
+MODULES = (language, scalar, retrieval, spelling, notes, live, lexical, editing, typing, recurrent)
 
 
 def queries() -> dict:
