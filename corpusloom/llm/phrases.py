@@ -10,11 +10,13 @@ also starts anywhere else are recurring; every word under one is removed.
    sends the words of its candidates to the next one, neighbouring windows
    joined to passages. So every chunk gets each candidate's words from one
    other, however many have it.
-3. A chunk compiles the passages it was sent, and its own candidates, into an
-   Aho-Corasick automaton (a shard of the corpus's automaton, one symbol or two
-   per word) and streams all its documents through it. A window is confirmed
-   if its words, and not just its hash, come from another chunk or match twice
-   in this one. Only matches remove words.
+3. A chunk cuts its candidates' runs into windows that cover them and compiles
+   these into an Aho-Corasick automaton (a shard of the corpus's automaton, one
+   symbol or two per word). It streams the passages it was sent and all its
+   documents through it. A window is confirmed if its words, and not just its
+   hash, occur in another chunk's passage or twice in this chunk; a run with a
+   window that is not is cut into all its windows and tried again. Only matches
+   of confirmed windows remove words.
 
 A window that half the corpus shares is sent once by each chunk.
 The documents' exchange is shared by the steps, so their text moves once.
@@ -80,9 +82,7 @@ class Chunk:
             low += len(starts)
             if not len(hit):
                 continue
-            begins = np.ones(len(hit), bool)
-            begins[1:] = (hit[1:] != hit[:-1] + 1) | (words.doc[hit[1:]] != words.doc[hit[:-1]])
-            firsts, lasts = hit[begins], hit[np.append(np.flatnonzero(begins)[1:], len(hit)) - 1]
+            firsts, lasts = _runs(hit, words.doc)
             for a, b in zip(words.starts[firsts].tolist(), words.ends[lasts + self.size - 1].tolist()):
                 out[b" ".join(words.raw[a:b].split())] = None
         return list(out)
@@ -123,12 +123,11 @@ def unpack48(packed: bytes) -> np.ndarray:
 
 
 class Shard:
-    """An automaton over passages of words; a word is one symbol, or two where the alphabet is too small."""
+    """An automaton over windows of words; a word is one symbol, or two where the alphabet is too small."""
 
     def __init__(self, known: np.ndarray, size: int):
         self.known, self.size, self.width = known, size, 1 if len(known) <= SYMBOLS else 2
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.alone: list[bool] = []  # of each pattern: whether another chunk's words confirm it
 
     def text(self, hashes: np.ndarray) -> str:
         number = np.searchsorted(self.known, hashes)
@@ -138,58 +137,79 @@ class Shard:
         points += (points >= 0xD800) * 0x800
         return points.astype("<u4").tobytes().decode("utf-32-le")
 
-    def add(self, hashes: np.ndarray, confirmed: bool) -> None:
-        """Every window of a passage."""
-        text, step = self.text(hashes), self.width
-        for at in range(0, len(text) - self.size * step + 1, step):
-            window = text[at : at + self.size * step]
-            number = self.automaton.get(window, None)
-            if number is None:
-                self.automaton.add_word(window, len(self.alone))
-                self.alone.append(confirmed)
-            elif confirmed:
-                self.alone[number] = True
-
-    def close(self) -> None:
-        if len(self.alone):
-            self.automaton.make_automaton()
+    def add(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The pattern of each window that begins at `starts`."""
+        text, step, n = self.text(hashes), self.width, self.size * self.width
+        out = np.empty(len(starts), np.int64)
+        for k, at in enumerate((starts * step).tolist()):
+            window = text[at : at + n]
+            number = self.automaton.get(window, -1)
+            if number < 0:
+                number = len(self.automaton)
+                self.automaton.add_word(window, number)
+            out[k] = number
+        return out
 
     def matches(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, pattern) of every window of one document that the automaton knows."""
-        if len(hashes) < self.size or not self.alone:
+        """(first word, pattern) of every window of one text that the automaton knows."""
+        if len(hashes) < self.size or not len(self.automaton):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = [(end, k) for end, k in self.automaton.iter(self.text(hashes)) if (end + 1) % self.width == 0]
+        found = [x for x in self.automaton.iter(self.text(hashes)) if (x[0] + 1) % self.width == 0]
         both = np.array(found, np.int64).reshape(-1, 2)
         return (both[:, 0] + 1) // self.width - self.size, both[:, 1]
 
 
-def located(chunk: Chunk, sent: list[bytes]) -> list[np.ndarray]:
-    """For each block of a chunk, which words lie under a confirmed window."""
+def _runs(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs of neighbouring windows within one text."""
+    begins = np.ones(len(starts), bool)
+    begins[1:] = (starts[1:] != starts[:-1] + 1) | (doc[starts[1:]] != doc[starts[:-1]])
+    at = np.flatnonzero(begins)
+    return starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts
+
+
+def located(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> list[np.ndarray]:
+    """For each block of a chunk, which words lie under a confirmed window; `shared` are the places that other chunks have."""
     size = chunk.size
+    wanted = chunk.twice.copy()
+    wanted[shared] = True
     foreign = Words([p.decode("utf-8", "surrogatepass") for p in sent])
-    own = Words([p.decode("utf-8", "surrogatepass") for p in chunk.passages(chunk.twice)])
-    hashes = foreign.hashes(), own.hashes()
-    shard = Shard(np.unique(np.concatenate([*hashes, *(b[1] for b in chunk.blocks)])), size)
-    for words, found, confirmed in ((foreign, hashes[0], True), (own, hashes[1], False)):
-        for d in range(len(words.counts)):
-            shard.add(found[words.first[d] : words.first[d + 1]], confirmed)
-    shard.close()
-    places = []  # (block, first word in it, pattern) of all matches
-    for k, (words, found, _) in enumerate(chunk.blocks):
-        for d in range(len(words.counts)):
-            starts, patterns = shard.matches(found[words.first[d] : words.first[d + 1]])
-            if len(starts):
-                places.append((np.full(len(starts), k), starts + words.first[d], patterns))
-    block, start, pattern = (np.concatenate(x) if places else np.zeros(0, np.int64) for x in (zip(*places) if places else ((), (), ())))
-    recurs = np.array(shard.alone, bool)[pattern] | (np.bincount(pattern, minlength=1)[pattern] > 1) if len(pattern) else np.zeros(0, bool)
-    out = []
-    for k, (_, found, _) in enumerate(chunk.blocks):
-        hit = start[(block == k) & recurs]
-        change = np.zeros(len(found) + 1, np.int64)
-        np.add.at(change, hit, 1)
-        np.add.at(change, hit + size, -1)
-        out.append(np.cumsum(change[:-1]) > 0)
-    return out
+    passages = foreign.hashes()
+    known = np.unique(np.concatenate([passages, *(b[1] for b in chunk.blocks)]))
+    todo, low = [], 0  # (first, last) of the candidates' runs of each block
+    for words, _, starts in chunk.blocks:
+        hit = starts[wanted[chunk.back[low : low + len(starts)]]]
+        low += len(starts)
+        todo.append(_runs(hit, words.doc))
+    changes = [np.zeros(len(b[1]) + 1, np.int64) for b in chunk.blocks]
+    for stride in (size, 1):
+        if not any(len(first) for first, _ in todo):
+            break
+        shard, cuts = Shard(known, size), []
+        for (_, hashes, _), (first, last) in zip(chunk.blocks, todo):
+            n = (last - first) // stride + 1
+            starts = np.repeat(first, n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            run = np.concatenate([np.repeat(np.arange(len(n)), n), np.arange(len(n))])
+            starts = np.concatenate([starts, last])
+            cuts.append((run, shard.add(hashes, starts)))
+        shard.automaton.make_automaton()
+        count = np.zeros(len(shard.automaton), np.int64)
+        for d in np.flatnonzero(foreign.counts).tolist():
+            count[shard.matches(passages[foreign.first[d] : foreign.first[d + 1]])[1]] = 2
+        places = []
+        for words, hashes, _ in chunk.blocks:
+            own = [shard.matches(hashes[words.first[d] : words.first[d + 1]]) for d in range(len(words.counts))]
+            starts = np.concatenate([np.zeros(0, np.int64), *(x + words.first[d] for d, (x, _) in enumerate(own))])
+            patterns = np.concatenate([np.zeros(0, np.int64), *(y for _, y in own)])
+            count += np.bincount(patterns, minlength=len(count))
+            places.append((starts, patterns))
+        for k, (starts, patterns) in enumerate(places):
+            hit = starts[count[patterns] > 1]
+            np.add.at(changes[k], hit, 1)
+            np.add.at(changes[k], hit + size, -1)
+        for k, (run, pattern) in enumerate(cuts):
+            again = np.unique(run[count[pattern] < 2])
+            todo[k] = todo[k][0][again], todo[k][1][again]
+    return [np.cumsum(x[:-1]) > 0 for x in changes]
 
 
 def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -211,7 +231,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found = partners([unpack48(x.as_py()) for x in table.column("packed")], table.column("chunk").to_pylist())
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    def pass_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def pass_on(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         release()
         chunk = Chunk(table.column("text").to_pylist(), size, buckets)
         at, places, targets = chunk.bounds, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -222,14 +242,15 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         place, target = np.concatenate(places), np.concatenate(targets)
         order = np.argsort(target, kind="stable")
         place, target = place[order], target[order]
-        out: list[list] = [[], []]
+        out: list[list] = [[key[0].as_py()], [None], [place.astype("<i4").tobytes()]]  # to itself: what others have of it
         begins = np.flatnonzero(np.diff(target, prepend=-1))
         for to, low, high in zip(target[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(target)]):
             wanted = np.zeros(len(chunk.places), bool)
             wanted[place[low:high]] = True
             out[0].append(to)
             out[1].append(b"\n".join(chunk.passages(wanted)))
-        return pa.table({"chunk": pa.array(out[0], pa.int64()), "passages": pa.array(out[1], pa.binary())})
+            out[2].append(None)
+        return pa.table({"chunk": pa.array(out[0], pa.int64()), "passages": pa.array(out[1], pa.binary()), "shared": pa.array(out[2], pa.binary())})
 
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     schema = T.StructType([T.StructField("id", kinds[id_col]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(T.StructField(n, kinds[c]) for c, n in names.items())])
@@ -237,9 +258,10 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def remove(table: pa.Table, sent: pa.Table) -> pa.Table:
         release()
         chunk = Chunk(table.column("text").to_pylist(), size, buckets)
-        passages = {p: None for x in sent.column("passages").to_pylist() for p in x.split(b"\n")} if sent.num_rows else {}
+        passages = {p: None for x in sent.column("passages").to_pylist() if x is not None for p in x.split(b"\n")}
+        shared = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4") for x in sent.column("shared").to_pylist() if x is not None)]).astype(np.int64)
         n_words, n_removed, kept = [], [], []
-        for (words, *_), gone in zip(chunk.blocks, located(chunk, list(passages))):
+        for (words, *_), gone in zip(chunk.blocks, located(chunk, shared, list(passages))):
             totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])
             for d, n in enumerate(words.counts.tolist()):
                 a = int(words.first[d])
@@ -254,6 +276,6 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, pairs binary")
-    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary")
+    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary, shared binary")
     out = rows.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in names.items()))

@@ -336,19 +336,22 @@ def test_phrases_over_many_chunks(docs, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in phrases.without_recurring(docs).collect()) == want
 
 
-def test_phrases_are_found_by_the_automaton():
+def test_phrases_are_found_by_the_automaton(monkeypatch):
+    none = np.zeros(0, np.int64)
     texts = [PASSAGE + " " + prose(50), prose(10) + " " + PASSAGE, prose(100)]
     chunk = phrases.Chunk(texts, 35, 3)
-    assert [int(x.sum()) for x in phrases.located(chunk, [])] == [120]
+    assert [int(x.sum()) for x in phrases.located(chunk, none, [])] == [120]
     alone = phrases.Chunk([texts[0], texts[2]], 35, 3)
-    assert phrases.located(alone, [])[0].sum() == 0
-    assert phrases.located(alone, [PASSAGE.encode()])[0].sum() == 60
-    assert phrases.located(alone, [PASSAGE.encode()[:-1] + b"!"])[0].sum() == 59  # words decide, not hashes
-    wide = phrases.Shard(np.unique(alone.blocks[0][1]), 35)
-    wide.width = 2
-    wide.add(alone.blocks[0][1][:60], True)
-    wide.close()
-    assert wide.matches(alone.blocks[0][1])[0].tolist() == list(range(26))
+    assert phrases.located(alone, none, [])[0].sum() == 0
+    every = np.arange(len(alone.places))  # as if all hashes met another chunk's: words decide
+    assert phrases.located(alone, every, [])[0].sum() == 0
+    assert phrases.located(alone, every, [PASSAGE.encode()])[0].sum() == 60
+    assert phrases.located(alone, every, [PASSAGE.encode()[:-1] + b"!"])[0].sum() == 59
+    assert phrases.located(alone, every, [b" ".join(PASSAGE.encode().split()[7:50])])[0].sum() == 43
+    monkeypatch.setattr(phrases, "SYMBOLS", 50)  # two symbols a word
+    assert [int(x.sum()) for x in phrases.located(chunk, none, [])] == [120]
+    monkeypatch.setattr(phrases.Shard, "matches", lambda self, hashes: (none, none))
+    assert [int(x.sum()) for x in phrases.located(chunk, none, [])] == [0]
 
 
 def test_phrases_rings():
