@@ -10,22 +10,29 @@ with d(x, p) > m to the outer one. By the triangle inequality two fingerprints
 within the radius differ by at most that in d(., p), so they meet in at least
 one branch; only the ring in between goes to both. Shards repeat this with
 pivots of their own, then compare exactly. A shard returns a star for each of
-its components and never the pairs. Shards over MAX_SHARD fingerprints are
-resolved by probe keys instead: balls of radius 1 around two fingerprints meet
-exactly if these differ in 2 bits at most.
+its components and never the pairs. A ball too dense for bounds to cut, and for
+the radius of 2 a shard over MAX_SHARD fingerprints, is resolved by probe keys:
+balls of radius 1 around two fingerprints meet exactly if these differ in 2
+bits at most. Other radii compare such a ball in full.
 
 `distinct_rows` is the search for a pipeline: rows whose sets of word shingles
 have a Jaccard similarity of `similarity` or more are linked. Its fingerprint
 has 256 bits. A pair at 0.8 differs in 39 of them (deviation 6) and unrelated
-texts in 128 (deviation 8), so a reach of 80 bits parts the two. A ring of 80
-bits around such medians holds everything, so trees cut nothing here; texts are
-dealt by the size of their sets instead, as sets of which one is below 0.8 of
-the other can't be similar. Blocks of neighbouring sizes are compared in full,
-and what is found is held against the shingle sets themselves.
+texts in 128 (deviation 8), so a reach of 80 bits parts the two, but a ring of
+80 bits holds everything and trees cut nothing. So texts are told apart by
+their shingles first: one that shares less than `similarity` of them with all
+other texts is like none and stays. The others are dealt to shards by those
+shared shingles that come first in one order of all, of which similar sets
+have one in common. A shard's vantage point is compared with its members;
+where that leaves more than one class, blocks of members are compared in full.
+Fingerprints decide what is compared, the sets themselves what is linked.
 
 Null, empty and blank texts have fingerprint zero and are linked like others.
-Equal rows are each returned. Extra columns are ignored. An empty table gives
-an empty result.
+Equal rows are each returned by near_duplicates; distinct_rows keeps one of
+them. Rows with a null id have no class in near_duplicates and all stay in
+distinct_rows. Ties between rows of one id go to the lesser hash of the text.
+Texts of any length are read whole. Extra columns are ignored, or passed on by
+distinct_rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -186,7 +193,7 @@ def classes(found: DataFrame, radius: int = 2) -> DataFrame:
     known = distinct.where("rep is not null")
     dealt = staged(known.mapInArrow(deal, "shard long, fp long, rep long"), "simhash-dealt")
     sizes = dealt.groupBy("shard").count()
-    large = [r[0] for r in sizes.where(F.col("count") > MAX_SHARD).collect()] if n > MAX_SHARD else []
+    large = [r[0] for r in sizes.where(F.col("count") > MAX_SHARD).collect()] if n > MAX_SHARD and radius == 2 else []
 
     def shard_stars(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_numpy()
@@ -199,8 +206,6 @@ def classes(found: DataFrame, radius: int = 2) -> DataFrame:
     usual = dealt.where(~F.col("shard").isin(large)) if large else dealt
     edges = usual.groupBy("shard").applyInArrow(shard_stars, "a long, b long")
     if large:
-        if radius != 2:
-            raise ValueError("probe keys need radius 2")
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
