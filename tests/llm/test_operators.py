@@ -595,19 +595,62 @@ def test_langid_by_hand(spark):
         assert lang == [want[0]] and p[0] == pytest.approx(want[1], rel=1e-3)
 
 
-def test_pipeline(spark, tmp_path):
+@pytest.mark.parametrize("name", ["full", "empty"])
+def test_pipeline(spark, tmp_path, name):
+    """Every stage against its brute-force version, on odd rows and on none."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     rows = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(TEXTS)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [(None, prose(50), "en", "s0", 1), (None, None, None, None, None), rows[20], rows[20], (20, prose(30), "en", None, 1), (900, " " * 1_100_000 + "end", "en", "s1", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    (df if name == "full" else df.where("false")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "substring", "mixing", "packing"]
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == list(corpus_pipeline.COLUMNS), name
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in got.select("doc_id").collect()} <= {k for k, *_ in rows} and got.count() > 10
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+        out = f(spark, docs, str(tmp_path))
+        assert stage == "packing" or out.columns == list(corpus_pipeline.COLUMNS), stage
+        out.write.parquet(f"{tmp_path}/{stage}")
+        docs = spark.read.parquet(f"{tmp_path}/{stage}")
+        seen[stage] = [tuple(r) for r in docs.collect()]
+    if name == "empty":
+        assert not any(seen.values())
+        return
+    assert Counter(seen["toxicity"]) == Counter(rows)  # no label is toxic, so nothing is learned and nothing goes
+
+    def shingles(text):
+        w = WORD.findall((text or "").lower())
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    known = [r for r in rows if r[0] is not None]
+    sets = [shingles(r[1]) for r in known]
+    label = least_reachable(range(len(known)), [(a, b) for a in range(len(known)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    groups = {}
+    for k, r in enumerate(known):
+        groups.setdefault(label[k], []).append(r)
+    left = Counter(seen["simhash"])
+    assert sum(left.values()) == len(groups) + 2 and all(sum(left[r] for r in set(g)) == 1 and min(r[0] for r in g) in [r[0] for r in g if left[r]] for g in groups.values())
+    words = [WORD.findall(r[1] or "") for r in seen["simhash"]]
+    count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = Counter()
+    for r, w in zip(seen["simhash"], words):
+        gone = {i + j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        if not w or len(gone) < len(w):
+            text = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else r[1]
+            want[r[0], text, r[3]] += 1
+    assert Counter((r[0], r[1], r[3]) for r in seen["substring"]) == want
+    mixed = Counter((r[0], r[1], r[3]) for r in seen["mixing"])
+    assert set(mixed) == set(want) and all(want[k] <= n <= 2 * want[k] for k, n in mixed.items())
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = Counter()
+    for (key, text, _), n in mixed.items():
+        ids[key] += n * (len(own.encode(text or "", add_special_tokens=False).ids) + 1)
+    packed = Counter()
+    for r in docs.collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == ids
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
 def test_pipeline_links_similar_texts(spark, monkeypatch):
