@@ -171,8 +171,8 @@ def should_capitalize_next(preceding: Column | str, abbreviations=L.ABBREVIATION
     return (trimmed == "") | preceding.rlike(markers) | last.rlike(r"^[.!?…]+\z") | is_sentence_terminator(last, F.lit(None).cast("string"), abbreviations)
 
 
-def auto_capitalized(word: Column, preceding: Column, canonical: Column, abbreviations=L.ABBREVIATIONS) -> Column:
-    """Double capitals, the lone i, the canonical spelling and sentence starts, in this order."""
+def auto_capitalized(word: Column, preceding: Column, canonical: Column, abbreviations=L.ABBREVIATIONS, begins: Column | None = None) -> Column:
+    """Double capitals, the lone i, the canonical spelling and sentence starts, in this order; `begins`, where known, says if a sentence starts."""
     out = fix_double_capital(word)
     out = F.when(out == "i", F.lit("I")).otherwise(out)
     before = F.lower(F.regexp_extract(preceding, rf"(?:^|{L.SPACE})([A-Za-z][A-Za-z.]*)\.{L.SPACE}*\z", 1))
@@ -181,7 +181,8 @@ def auto_capitalized(word: Column, preceding: Column, canonical: Column, abbrevi
     rest, other = out.substr(F.lit(2), F.length(out)), canonical.substr(F.lit(2), F.length(canonical))
     only_lead = (rest == other) & (first == F.lower(first)) & (lead == F.upper(lead)) & (F.length(out) == F.length(canonical))
     out = F.when(canonical.isNull() | (canonical == "") | (only_lead & after_abbreviation), out).otherwise(canonical)
-    return F.when(should_capitalize_next(preceding, abbreviations), capitalize_first(out)).otherwise(out)
+    begins = should_capitalize_next(preceding, abbreviations) if begins is None else begins
+    return F.when(begins, capitalize_first(out)).otherwise(out)
 
 
 def upper_from_text(before: Column | str) -> Column:

@@ -138,23 +138,26 @@ SELECT doc_id, line_no, len(regexp_extract_all(line, {S.text(L.BLOCK_WORD)})) AS
 
 
 def case_rules(spark, sf_dir):
-    """Case repairs of every raw token, with the token before as what precedes it."""
+    """Case repairs of every raw token, with the token before as what precedes it.
+
+    What depends on one of both alone is worked out once per distinct token.
+    """
     t, p = F.col("token"), F.coalesce("previous", F.lit(""))
-    df = places(spark, sf_dir).select("token", p.alias("previous")).distinct()
-    start = X.should_capitalize_next("previous")
-    return df.select(
+    pairs = places(spark, sf_dir).select("token", p.alias("previous")).distinct()
+    tokens = pairs.select("token").distinct().select(
         "token",
-        "previous",
         X.fix_double_capital(t).alias("double_capital"),
         X.capitalize_first(t).alias("capitalized"),
         X.fix_contraction(t).alias("contraction"),
-        start.alias("starts"),
-        X.auto_capitalized(t, F.col("previous"), F.lit(None).cast("string")).alias("auto"),
-        X.apply_suggestion_case(t, X.suggestion_case(F.col("previous"), F.lit(False))).alias("suggested"),
-        X.match_case(F.col("previous"), F.lower(t)).alias("matched"),
         X.ordinal_suffix(F.length(t).cast("string")).alias("ordinal"),
         X.edit_budget(F.length(t)).cast("long").alias("budget"),
     )
+    before = F.col("previous")
+    befores = pairs.select("previous").distinct().select("previous", X.should_capitalize_next("previous").alias("starts"), X.suggestion_case(before, F.lit(False)).alias("case"))
+    auto = X.auto_capitalized(t, before, F.lit(None).cast("string"), begins=F.col("starts")).alias("auto")
+    suggested = X.apply_suggestion_case(t, F.col("case")).alias("suggested")
+    df = pairs.join(befores, "previous").join(tokens, "token")
+    return df.select("token", "previous", "double_capital", "capitalized", "contraction", "starts", auto, suggested, X.match_case(before, F.lower(t)).alias("matched"), "ordinal", "budget")
 
 
 def _case_sql() -> str:
