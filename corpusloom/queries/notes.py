@@ -215,6 +215,16 @@ def anchor_spans(spark, sf_dir):
     return df.select("doc_id", "item_id", _anchors("text", "words").alias("anchor"))
 
 
+ANCHORS = f"""WITH {TF}, {TF.replace('documents', 'benchmark').replace('doc_id', 'item_id').replace('tf AS (', 'itf AS (')},
+n AS (SELECT doc_id, item_id, count(*) AS n FROM tf JOIN itf USING (term) GROUP BY ALL), best AS (SELECT doc_id, arg_max(item_id, (n, -item_id)) AS item_id FROM n GROUP BY doc_id),
+p AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*|[^A-Za-z]+') AS parts FROM documents), t AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM p),
+w AS (SELECT t.doc_id, part, pos, row_number() OVER (PARTITION BY t.doc_id ORDER BY pos) AS k FROM t WHERE regexp_matches(part, '^[A-Za-z]')),
+s AS (SELECT w.*, k - row_number() OVER (PARTITION BY w.doc_id ORDER BY k) AS island FROM w JOIN best b ON b.doc_id = w.doc_id JOIN itf ON itf.item_id = b.item_id AND itf.term = lower(w.part)),
+r AS (SELECT doc_id, island, count(*) AS n, min(pos) AS low, max(pos) AS high FROM s GROUP BY ALL HAVING count(*) > 1 OR max(length(part)) >= 4),
+one AS (SELECT doc_id, arg_max(struct_pack(low := low, high := high), (n, -low)) AS x FROM r GROUP BY doc_id),
+a AS (SELECT t.doc_id, string_agg(part, '' ORDER BY pos) AS anchor FROM t JOIN one ON one.doc_id = t.doc_id AND pos BETWEEN x.low AND x.high GROUP BY t.doc_id)
+SELECT b.doc_id, item_id, anchor FROM best b LEFT JOIN a ON a.doc_id = b.doc_id"""
+
 QUERIES = {
     "note_sections": note_sections,
     "title_index": title_index,
@@ -246,4 +256,5 @@ SQL = {
     "dictionary_listing": LISTING,
     "pinned_forms": PINNED,
     "currency_amounts": AMOUNTS,
+    "anchor_spans": ANCHORS,
 }
