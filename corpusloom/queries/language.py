@@ -29,6 +29,20 @@ def _talk(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(key.alias("path"), "text")
 
 
+_MODELS: dict[tuple, ngram.Counts] = {}
+
+
+def model_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> ngram.Counts:
+    """The model of a table's texts, written once per session and state of its files: models are artefacts that many questions share."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = [files.getFileStatus(path), *(files.listStatus(path) if files.getFileStatus(path).isDirectory() else [])]
+    key = (spark.sparkContext.applicationId, name, *((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in own))
+    if key not in _MODELS:
+        _MODELS[key] = ngram.model(table(spark, sf_dir, name).select("text"))
+    return _MODELS[key]
+
+
 def tokenize_words(spark, sf_dir):
     found = X.tokenize_words("text")
     return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("tokens"))
@@ -101,7 +115,7 @@ ASKED = f"""{S.tokens('(SELECT conv_id || chr(47) || turn AS path, text FROM con
 
 def _log_prob(continuation: bool):
     def run(spark, sf_dir):
-        counts = ngram.model(_docs(spark, sf_dir))
+        counts = model_of(spark, sf_dir)
         scored = ngram.log_prob(counts, _asked(spark, sf_dir), continuation)
         return scored.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum("log_prob"), 4).alias("log_prob"))
 
@@ -124,7 +138,7 @@ CONTEXTS = f"""{S.tokens('benchmark', 'item_id', 'q')}, qs AS (SELECT list(w ORD
 
 
 def predict_next(spark, sf_dir):
-    found = ngram.predict(ngram.model(_docs(spark, sf_dir)), _contexts(spark, sf_dir), 5)
+    found = ngram.predict(model_of(spark, sf_dir), _contexts(spark, sf_dir), 5)
     return found.select("w2", "w1", F.col("rank").cast("long").alias("rank"), "w", F.round("log_prob", 5).alias("log_prob"))
 
 
@@ -141,8 +155,8 @@ PREDICT = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()},
 def mixture(spark, sf_dir):
     """Next words of the conversations under the mixture of a global and a personal model."""
     asked = _asked(spark, sf_dir)
-    one = ngram.log_prob(ngram.model(_docs(spark, sf_dir)), asked, name="g")
-    both = ngram.log_prob(ngram.model(_talk(spark, sf_dir)), one, name="p")
+    one = ngram.log_prob(model_of(spark, sf_dir), asked, name="g")
+    both = ngram.log_prob(model_of(spark, sf_dir, "conversations"), one, name="p")
     return both.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(ngram.mixed(F.col("g"), F.col("p"))), 4).alias("log_prob"))
 
 
@@ -154,7 +168,7 @@ MIXTURE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()},
 def document_cache(spark, sf_dir):
     """Words of the conversations, lifted by how often their own turn uses them."""
     asked = _asked(spark, sf_dir)
-    counts = ngram.model(_docs(spark, sf_dir))
+    counts = model_of(spark, sf_dir)
     base = ngram.log_prob(counts, asked, name="b")
     empty = F.lit(None).cast("string")
     words = asked.select("w").distinct().select(empty.alias("w2"), empty.alias("w1"), "w")
@@ -174,7 +188,7 @@ CACHE = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {S.model()}, {
 
 def packed_model(spark, sf_dir):
     """The benchmark's model, packed to 8 bits."""
-    found = ngram.packed(ngram.model(table(spark, sf_dir, "benchmark")))
+    found = ngram.packed(model_of(spark, sf_dir, "benchmark"))
     return found.select("w2", "w1", "w", F.col("q").cast("long").alias("q"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -187,7 +201,7 @@ PACKED = f"""WITH {S.tokens('benchmark', 'item_id')}, {S.counts()}, {S.model()},
 
 def packed_predictions(spark, sf_dir):
     """The five first words of the packed lists for the conversations' contexts; no list is mixed with another."""
-    counts = ngram.model(table(spark, sf_dir, "benchmark"))
+    counts = model_of(spark, sf_dir, "benchmark")
     low, high = ngram.packed_range(counts)
     contexts = _asked(spark, sf_dir).select("w2", "w1").distinct()
     found = ngram.packed_predict(ngram.packed(counts), ngram.packed_uni(counts), low, high, contexts, 5)
@@ -236,7 +250,7 @@ DELTA = f"""WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, {ASKED}, {S.co
 def phrase_beams(spark, sf_dir):
     """Phrases of up to three words after each benchmark context, by beam search."""
     contexts = _contexts(spark, sf_dir).withColumn("query_id", F.concat_ws(" ", "w2", "w1"))
-    found = ngram.beam_phrases(ngram.model(table(spark, sf_dir, "benchmark")), contexts, words=3)
+    found = ngram.beam_phrases(model_of(spark, sf_dir, "benchmark"), contexts, words=3)
     return found.where("rank <= 5").select("query_id", "phrase", "n", F.round("score", 6).alias("score"), "rank")
 
 

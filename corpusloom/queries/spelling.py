@@ -8,17 +8,16 @@ from corpusloom.functions import channel as C
 from corpusloom.operators import correct as K
 from corpusloom.operators import ngram
 from corpusloom.queries import sql as S
-from corpusloom.queries.language import table
-from corpusloom.session import staged
+from corpusloom.queries.language import model_of, table
 
 
 def _model(spark, sf_dir):
     """The model of documents; the benchmark only asks."""
-    return ngram.model(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return model_of(spark, sf_dir)
 
 
 def _vocabulary(spark, sf_dir):
-    return staged(ngram.count(table(spark, sf_dir, "documents").select("doc_id", "text")).uni, "vocabulary")
+    return model_of(spark, sf_dir).uni
 
 
 def _typed(spark, sf_dir):
