@@ -99,6 +99,7 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
     """
     from corpusloom.operators.predict import suggest_split
 
+    counts = ngram.Counts(staged(counts.uni, "uni"), staged(counts.bi, "bi"), staged(counts.tri, "tri"))  # they are read many times over
     vocab = counts.uni.select("w")
     asked = staged(asked.withColumn("typed", F.lower("token")), "asked")
     real = asked.join(vocab.select(F.col("w").alias("typed"), F.lit(True).alias("real")), "typed", "left").withColumn("real", F.coalesce("real", F.lit(False)))
