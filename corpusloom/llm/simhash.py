@@ -24,7 +24,9 @@ their shingles first: one that shares less than `similarity` of them with all
 other texts is like none and stays. The others are dealt to shards by those
 shared shingles that come first in one order of all, of which similar sets
 have one in common. A shard's vantage point is compared with its members;
-where that leaves more than one class, blocks of members are compared in full.
+where that leaves more than one class, fingerprints and counts are compared
+for the pairs that they leave open. These make cells, each text
+in one at most, and a cell compares its sets in full.
 Fingerprints decide what is compared, the sets themselves what is linked.
 
 Null, empty and blank texts have fingerprint zero and are linked like others.
@@ -57,7 +59,8 @@ MAX_SHARD = 262_144  # beyond it, probe keys
 LEAF = 512  # fingerprints compared directly
 REACH = 80  # bits of 256 in which similar texts may differ
 CHUNK, PER_BUCKET = 5_000_000, 24_000_000  # characters of text to a chunk and to a bucket of shingles, about
-TEXTS, SHINGLES = 256, 200_000  # texts and shingles to a block in the exact comparison, about
+TEXTS, SHINGLES = 4096, 2_000_000  # texts and shingles to a block that a task holds in the exact comparison, about
+PART = 256  # texts to a product of incidence tables
 OFFSETS = np.random.default_rng(SEED).integers(1, 1 << 63, 4, dtype=np.uint64)
 
 
@@ -282,26 +285,56 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width:
     return out.astype(np.int64)
 
 
-def similar_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b) of exact links between sets of different `known` classes; between the sides only, if there are any."""
-    left, right = (np.arange(len(sets)),) * 2 if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
-    if not len(left) or not len(right):
-        return left[:0], right[:0]
-    distance = np.zeros((len(left), len(right)), np.int64)
+def _open(wide: np.ndarray, known: np.ndarray, n: np.ndarray, alone: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets of different `known` classes can be similar, by their fingerprints and by how many shingles they can share."""
+    distance = np.zeros((len(left), len(right)), np.int16)
     for k in range(wide.shape[1]):
         distance += np.bitwise_count(wide[left, k][:, None] ^ wide[right, k][None, :])
-    near = (distance <= REACH) & (known[left][:, None] != known[right][None, :])
-    if not near.any():
-        return left[:0], right[:0]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    both = overlaps(sets, left, right)
-    near &= both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
-    i, j = np.nonzero(near)
-    root = settle(merge(np.arange(len(sets)), left[i], right[j]))
-    linked = np.flatnonzero(root != np.arange(len(sets)))
+    most = np.minimum((n - alone)[left][:, None], (n - alone)[right][None, :])
+    total = n[left][:, None] + n[right][None, :]
+    return (distance <= REACH) & (known[left][:, None] != known[right][None, :]) & (most >= similarity * (total - most) - 1e-9)
+
+
+def open_links(wide: np.ndarray, known: np.ndarray, n: np.ndarray, alone: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the pairs that _open leaves, block by block."""
+    parent, todo = np.arange(len(wide)), [np.arange(len(wide))]
+    while todo:
+        own = todo.pop()
+        if (known[own] == known[own[0]]).all():
+            continue
+        for at in range(0, len(own), LEAF):
+            for to in range(at, len(own), LEAF):
+                left, right = own[at : at + LEAF], own[to : to + LEAF]
+                i, j = np.nonzero(_open(wide, known, n, alone, left, right, similarity))
+                if len(i):
+                    parent = merge(parent, left[i], right[j])
+    root = settle(parent)
+    linked = np.flatnonzero(root != np.arange(len(root)))
     return linked, root[linked]
 
 
+def similar_links(sets: list[np.ndarray], wide: np.ndarray, known: np.ndarray, alone: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of exact links between sets of different `known` classes; between the sides only, if there are any."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes - alone, kind="stable")  # those that can share much with each other meet in few products
+    lefts, rights = (order, order) if side is None else (order[~side[order]], order[side[order]])
+    parent = np.arange(len(sets))
+    for at in range(0, len(lefts), PART):
+        for to in range(at if side is None else 0, len(rights), PART):
+            left, right = lefts[at : at + PART], rights[to : to + PART]
+            near = _open(wide, known, sizes, alone, left, right, similarity)
+            near &= parent[left][:, None] != parent[right][None, :]
+            if not near.any():
+                continue
+            left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+            both = overlaps([sets[k] for k in (*left, *right)], np.arange(len(left)), np.arange(len(left), len(left) + len(right)))
+            near &= both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9
+            i, j = np.nonzero(near)
+            parent = settle(merge(parent, left[i], right[j]))
+    linked = np.flatnonzero(parent != np.arange(len(sets)))
+    return linked, parent[linked]
+
+
 def _places(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct places sorted, each shingle's among them, whether two texts have it); a place is a bucket and 32 bits of a hash."""
     every = np.concatenate([*sets, np.zeros(0, np.uint64)])
@@ -314,7 +347,7 @@ def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(distinct >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-SURVIVORS = "id long, h long, g long, n long, digest binary, set binary, bits binary, w0 long, w1 long, w2 long, w3 long"
+SURVIVORS = "id long, h long, g long, n long, alone long, digest binary, set binary, bits binary, w0 long, w1 long, w2 long, w3 long"
 
 
 def survivors(known: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -361,18 +394,18 @@ def survivors(known: DataFrame, size: int, similarity: float) -> DataFrame:
             n = at[bucket + 1] - at[bucket]
             shared[at[bucket] : at[bucket + 1]] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
         flags, ends = shared[back], np.cumsum([len(x) for x in sets])
-        chosen, out = [], [[], [], [], [], []]
+        chosen, out = [], [[], [], [], [], [], []]
         for k, (own, end) in enumerate(zip(sets, ends.tolist())):
             bits = flags[end - len(own) : end]
             if not len(own) or bits.sum() >= similarity * len(own) - 1e-9:
                 chosen.append(k)
                 large = len(own) * (1 - similarity) >= similarity - 1e-9  # lesser sets are similar to equal ones only
-                row = (len(own), xxhash.xxh3_128_digest(own.tobytes(), SEED), own.tobytes() if large else None, np.packbits(bits).tobytes() if large else None, wide_fingerprint(own))
+                row = (len(own), int((~bits).sum()), xxhash.xxh3_128_digest(own.tobytes(), SEED), own.tobytes() if large else None, np.packbits(bits).tobytes() if large else None, wide_fingerprint(own))
                 for column, value in zip(out, row):
                     column.append(value)
-        wide = np.array(out[4], np.uint64).reshape(-1, 4).view(np.int64)
+        wide = np.array(out[5], np.uint64).reshape(-1, 4).view(np.int64)
         left = table.select(["id", "h", "g"]).take(pa.array(chosen, pa.int64()))
-        columns = [pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:4]), *(pa.array(wide[:, k]) for k in range(4))]
+        columns = [*(pa.array(x, pa.int64()) for x in out[:2]), *(pa.array(x, pa.binary()) for x in out[2:5]), *(pa.array(wide[:, k]) for k in range(4))]
         return pa.table([*(x.combine_chunks() for x in left.columns), *columns], names=[x.split()[0] for x in SURVIVORS.split(", ")])
 
     sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
@@ -420,14 +453,44 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+WIDE = ("w0", "w1", "w2", "w3")
+
+
+def _wide(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(w).to_numpy() for w in WIDE], axis=1).view(np.uint64)
+
+
+def cells(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, cell) of the members (key, node, class, n, alone, w0 ... w3) of shards that can be similar to one of another class.
+
+    All such pairs lie within a cell, and a node is in one cell.
+    """
+
+    def search(table: pa.Table) -> pa.Table:
+        names = table.column("node").to_numpy()
+        a, b = open_links(_wide(table), *(table.column(c).to_numpy() for c in ("class", "n", "alone")), similarity)
+        return pa.table({"a": names[a], "b": names[b]})
+
+    found = connected(members.groupBy("key").applyInArrow(search, "a long, b long").distinct())
+    return found.select(F.col("id").alias("node"), F.col("component").alias("cell"))
+
+
+def dealt(celled: DataFrame) -> DataFrame:
+    """Rows (cell, n, ...) by pairs (i, j) of blocks of their cell; a cell of up to TEXTS texts and SHINGLES shingles is one block."""
+    sums = celled.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")
+    paired = celled.join(sums, "cell").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
 def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(id, component) of the nodes (node, n, set, bits, w0 ... w3) that are similar to another.
+    """(id, component) of the nodes (node, n, alone, set, bits, w0 ... w3) that are similar to another.
 
     Every shard first compares its members with its vantage point, the member
     with the fewest shingles of its own, as the text is that others were copied
-    from. Where that leaves a shard in more than one class, all pairs of its
-    members in different classes are compared, in blocks; shards of the same
-    members are searched once.
+    from. Where that leaves a shard in more than one class, fingerprints and counts name the
+    members to compare in full; shards of the same members are searched once.
+    Sets are sent to cells, not to shards, so once each where a cell is a block.
     """
     keyed = staged(shard_keys(nodes, similarity), "simhash-keys")
     points = keyed.groupBy("key").agg(F.min_by("node", F.struct("own", "node")).alias("b"), F.count("*").alias("size")).where("size > 1")
@@ -439,20 +502,18 @@ def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
     mixed = staged(mixed.groupBy("size", "members").agg(F.min("key").alias("key")), "simhash-mixed")
     if mixed.isEmpty():
         return labels.select(F.col("node").alias("id"), "component")
-    members = classed.join(mixed.select("key", "size"), "key").join(nodes.select("node", "n", "set", "w0", "w1", "w2", "w3"), "node")
-    sums = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")
-    paired = members.join(sums, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "set", "w0", "w1", "w2", "w3")
+    members = classed.join(mixed.select("key"), "key").join(nodes.select("node", "n", "alone", *WIDE), "node")
+    found = cells(members, similarity)
+    celled = found.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component").join(nodes.select("node", "n", "alone", "set", *WIDE), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         names = table.column("node").to_numpy()
         side = None if key[1].as_py() == key[2].as_py() else table.column("own").to_numpy() == key[2].as_py()
-        wide = np.stack([table.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-        a, b = similar_links([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")], wide, table.column("class").to_numpy(), side, similarity)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        a, b = similar_links(sets, _wide(table), table.column("class").to_numpy(), table.column("alone").to_numpy(), side, similarity)
         return pa.table({"a": names[a], "b": names[b]})
 
-    more = staged(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "simhash-more")
+    more = staged(dealt(celled).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "simhash-more")
     return connected(near.unionByName(more))
 
 
@@ -461,7 +522,7 @@ def distinct_rows(docs: DataFrame, size: int, similarity: float, id_col: str = "
     h, g = (F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2))
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), h.alias("h"), g.alias("g"), F.col(text_col).alias("text"))
     found = staged(survivors(known, size, similarity), "simhash-survivors")
-    first = [F.first(c).alias(c) for c in ("n", "set", "bits", "w0", "w1", "w2", "w3")]
+    first = [F.first(c).alias(c) for c in ("n", "alone", "set", "bits", "w0", "w1", "w2", "w3")]
     nodes = found.groupBy("digest").agg(F.min(F.struct("id", "h", "g")).alias("least"), *first)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     labels = similar_classes(nodes, similarity)

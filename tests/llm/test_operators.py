@@ -703,3 +703,33 @@ def test_components_of_long_chains(spark, shape):
     edges = [(ids[0], x) for x in ids[1:]] if shape == "star" else [(RNG.choice(ids), RNG.choice(ids)) for _ in range(n)] if shape == "random" else list(zip(ids, ids[1:]))
     got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == least_reachable({k for e in edges for k in e}, edges)
+
+
+def test_pipeline_sends_sets_once(spark):
+    """Many near copies in several classes: rows for the exact comparison don't grow with the square of their number."""
+    import corpus_pipeline
+
+    rng, words = random.Random(3), prose(120).split()
+    texts = set()
+    while len(texts) < 600:
+        cut = set(rng.sample(range(0, 120, 5), rng.randint(2, 5)))
+        texts.add(" ".join("zz" + w if k in cut else w for k, w in enumerate(words)))
+    texts = sorted(texts)
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = sorted(r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, df, "").collect())
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, every = [], store.executionsList()
+    for k in range(before, every.size()):
+        at = every.apply(k).executionId()
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate":
+                of = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in of if m.name() == "number of output rows"]
+    assert made and max(made) <= len(texts)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(116)) for w in (t.split() for t in texts)]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label = least_reachable(range(len(sets)), linked)
+    assert 1 < len(set(label.values())) < len(texts) and got == sorted(set(label.values()))
