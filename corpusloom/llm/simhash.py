@@ -24,8 +24,8 @@ their shingles first: one that shares less than `similarity` of them with all
 other texts is like none and stays. The others are dealt to shards by those
 shared shingles that come first in one order of all, of which similar sets
 have one in common. A shard's vantage point is compared with its members;
-where that leaves more than one class, fingerprints and counts are compared
-for the pairs that they leave open. These make cells, each text
+where that leaves more than one class, a vantage-point tree of the shard finds
+the pairs that fingerprints and counts leave open. These make cells, each text
 in one at most, and a cell compares its sets in full.
 Fingerprints decide what is compared, the sets themselves what is linked.
 
@@ -296,12 +296,32 @@ def _open(wide: np.ndarray, known: np.ndarray, n: np.ndarray, alone: np.ndarray,
 
 
 def open_links(wide: np.ndarray, known: np.ndarray, n: np.ndarray, alone: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b) of the pairs that _open leaves, block by block."""
-    parent, todo = np.arange(len(wide)), [np.arange(len(wide))]
+    """A forest (a, b) of the pairs that _open leaves, searched by a vantage-point tree.
+
+    A node's vantage point is a fingerprint or the empty set, whichever cut m
+    leaves the least pairs in the inner branch, d(x, p) <= m + REACH, and the
+    outer one, d(x, p) > m. From the empty set a set is as far as it is large,
+    and similar ones differ by the factor `similarity` at most. Balls that no
+    cut makes smaller are compared directly.
+    """
+    parent, rng, todo = np.arange(len(wide)), np.random.default_rng(11), [np.arange(len(wide))]
     while todo:
         own = todo.pop()
         if (known[own] == known[own[0]]).all():
             continue
+        if len(own) > LEAF:
+            d = np.bitwise_count(wide[own] ^ wide[own[rng.integers(len(own))]]).sum(axis=1, dtype=np.int64)
+            sizes = np.unique(n[own])
+            least, cut = 0.85 * len(own) ** 2, None
+            for x, ms, fars in ((d, np.arange(256), np.arange(256) + REACH), (n[own], sizes, sizes / similarity + 1e-6)):
+                order = np.sort(x)
+                pairs = np.searchsorted(order, fars, "right").astype(float) ** 2 + (len(own) - np.searchsorted(order, ms, "right")).astype(float) ** 2
+                if pairs.min() <= least:
+                    k = int(np.argmin(pairs))
+                    least, cut = pairs[k], (x <= fars[k], x > ms[k])
+            if cut:
+                todo += [own[side] for side in cut if side.any()]
+                continue
         for at in range(0, len(own), LEAF):
             for to in range(at, len(own), LEAF):
                 left, right = own[at : at + LEAF], own[to : to + LEAF]
@@ -463,7 +483,7 @@ def _wide(table: pa.Table) -> np.ndarray:
 def cells(members: DataFrame, similarity: float) -> DataFrame:
     """(node, cell) of the members (key, node, class, n, alone, w0 ... w3) of shards that can be similar to one of another class.
 
-    All such pairs lie within a cell, and a node is in one cell.
+    Each shard searches its own tree. All such pairs lie within a cell, and a node is in one cell.
     """
 
     def search(table: pa.Table) -> pa.Table:
@@ -488,7 +508,7 @@ def similar_classes(nodes: DataFrame, similarity: float) -> DataFrame:
 
     Every shard first compares its members with its vantage point, the member
     with the fewest shingles of its own, as the text is that others were copied
-    from. Where that leaves a shard in more than one class, fingerprints and counts name the
+    from. Where that leaves a shard in more than one class, its tree finds the
     members to compare in full; shards of the same members are searched once.
     Sets are sent to cells, not to shards, so once each where a cell is a block.
     """

@@ -733,3 +733,24 @@ def test_pipeline_sends_sets_once(spark):
     linked = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     label = least_reachable(range(len(sets)), linked)
     assert 1 < len(set(label.values())) < len(texts) and got == sorted(set(label.values()))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_pipeline_tree_leaves_out_no_pair(monkeypatch, few):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    base = rng.integers(0, 1 << 63, (4 if few else 150, 4), dtype=np.uint64)
+    wide = base[rng.integers(0, len(base), 900)]
+    for _ in range(30):
+        wide[np.arange(900), rng.integers(0, 4, 900)] ^= np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)
+    n, known = np.exp(rng.normal(5, 1, 900)).astype(np.int64) + 5, rng.integers(0, 700, 900)
+    alone = (n * rng.uniform(0, 0.2, 900)).astype(np.int64)
+    pairs = []
+    for a in range(900):
+        for b in range(a):
+            most, apart = min(n[a] - alone[a], n[b] - alone[b]), np.bitwise_count(wide[a] ^ wide[b]).sum()
+            if known[a] != known[b] and apart <= simhash.REACH and 5 * most >= 4 * (n[a] + n[b] - most):
+                pairs.append((a, b))
+    want = least_reachable(range(900), pairs)
+    got = least_reachable(range(900), list(zip(*(x.tolist() for x in simhash.open_links(wide, known, n, alone, 0.8)))))
+    assert pairs and got == want
