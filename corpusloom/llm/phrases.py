@@ -12,8 +12,10 @@ also starts anywhere else are recurring; every word under one is removed.
    other, however many have it.
 3. A chunk cuts its candidates' runs into windows that cover them and compiles
    these into an Aho-Corasick automaton (a shard of the corpus's automaton, one
-   symbol or two per word). It streams the passages it was sent and all its
-   documents through it. A window is confirmed if its words, and not just its
+   symbol or two per word of theirs). It streams the passages it was sent and
+   all its documents through it, each up to the next word that no candidate
+   has, as that leads back to the root; stretches shorter than a window can't
+   match and are passed over. A window is confirmed if its words, and not just its
    hash, occur in another chunk's passage or twice in this chunk; a run with a
    window that is not is cut into all its windows and tried again. Only matches
    of confirmed windows remove words.
@@ -129,17 +131,22 @@ class Shard:
         self.known, self.size, self.width = known, size, 1 if len(known) <= SYMBOLS else 2
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
-    def text(self, hashes: np.ndarray) -> str:
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for words that no window has."""
         number = np.searchsorted(self.known, hashes)
+        number[number == len(self.known)] = 0
+        return np.where(self.known[number] == hashes, number, -1) if len(self.known) else np.full(len(hashes), -1)
+
+    def text(self, numbers: np.ndarray) -> str:
         if self.width == 2:
-            number = np.stack([number // SYMBOLS, number % SYMBOLS], axis=1).ravel()
-        points = number + 0x100
+            numbers = np.stack([numbers // SYMBOLS, numbers % SYMBOLS], axis=1).ravel()
+        points = numbers + 0x100
         points += (points >= 0xD800) * 0x800
         return points.astype("<u4").tobytes().decode("utf-32-le")
 
-    def add(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def add(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The pattern of each window that begins at `starts`."""
-        text, step, n = self.text(hashes), self.width, self.size * self.width
+        text, step, n = self.text(np.maximum(numbers, 0)), self.width, self.size * self.width
         out = np.empty(len(starts), np.int64)
         for k, at in enumerate((starts * step).tolist()):
             window = text[at : at + n]
@@ -150,14 +157,29 @@ class Shard:
             out[k] = number
         return out
 
-    def matches(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, pattern) of every window of one text that the automaton knows."""
-        if len(hashes) < self.size or not len(self.automaton):
+    def matches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, pattern) of every window that the automaton knows in one stretch of its words."""
+        if not len(self.automaton):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = [x for x in self.automaton.iter(self.text(hashes)) if (x[0] + 1) % self.width == 0]
+        found = [x for x in self.automaton.iter(self.text(numbers)) if (x[0] + 1) % self.width == 0]
         both = np.array(found, np.int64).reshape(-1, 2)
         return (both[:, 0] + 1) // self.width - self.size, both[:, 1]
 
+    def stream(self, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matches in texts one after the other; `doc` is the text of each word."""
+        known = np.flatnonzero(numbers >= 0)
+        new = np.ones(len(known), bool)
+        new[1:] = (known[1:] != known[:-1] + 1) | (doc[known[1:]] != doc[known[:-1]])
+        begins = np.flatnonzero(new)
+        lengths = np.diff(np.append(begins, len(known)))
+        full = lengths >= self.size
+        starts, patterns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, n in zip(known[begins[full]].tolist(), lengths[full].tolist()):
+            first, pattern = self.matches(numbers[at : at + n])
+            starts.append(first + at)
+            patterns.append(pattern)
+        return np.concatenate(starts), np.concatenate(patterns)
+
 
 def _runs(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) of the runs of neighbouring windows within one text."""
@@ -173,33 +195,36 @@ def located(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> list[np.ndar
     wanted = chunk.twice.copy()
     wanted[shared] = True
     foreign = Words([p.decode("utf-8", "surrogatepass") for p in sent])
-    passages = foreign.hashes()
-    known = np.unique(np.concatenate([passages, *(b[1] for b in chunk.blocks)]))
-    todo, low = [], 0  # (first, last) of the candidates' runs of each block
-    for words, _, starts in chunk.blocks:
+    todo, used, low = [], [np.zeros(0, np.uint64)], 0  # (first, last) of the candidates' runs of each block, and their words
+    for words, hashes, starts in chunk.blocks:
         hit = starts[wanted[chunk.back[low : low + len(starts)]]]
         low += len(starts)
-        todo.append(_runs(hit, words.doc))
+        first, last = _runs(hit, words.doc)
+        todo.append((first, last))
+        under = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(under, first, 1)
+        np.add.at(under, last + size, -1)
+        used.append(hashes[np.cumsum(under[:-1]) > 0])
+    known = np.unique(np.concatenate(used))
+    numbers = [Shard(known, size).numbers(b[1]) for b in chunk.blocks]
+    passages = Shard(known, size).numbers(foreign.hashes())
     changes = [np.zeros(len(b[1]) + 1, np.int64) for b in chunk.blocks]
     for stride in (size, 1):
         if not any(len(first) for first, _ in todo):
             break
         shard, cuts = Shard(known, size), []
-        for (_, hashes, _), (first, last) in zip(chunk.blocks, todo):
+        for number, (first, last) in zip(numbers, todo):
             n = (last - first) // stride + 1
             starts = np.repeat(first, n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             run = np.concatenate([np.repeat(np.arange(len(n)), n), np.arange(len(n))])
             starts = np.concatenate([starts, last])
-            cuts.append((run, shard.add(hashes, starts)))
+            cuts.append((run, shard.add(number, starts)))
         shard.automaton.make_automaton()
         count = np.zeros(len(shard.automaton), np.int64)
-        for d in np.flatnonzero(foreign.counts).tolist():
-            count[shard.matches(passages[foreign.first[d] : foreign.first[d + 1]])[1]] = 2
+        count[shard.stream(passages, foreign.doc)[1]] = 2
         places = []
-        for words, hashes, _ in chunk.blocks:
-            own = [shard.matches(hashes[words.first[d] : words.first[d + 1]]) for d in range(len(words.counts))]
-            starts = np.concatenate([np.zeros(0, np.int64), *(x + words.first[d] for d, (x, _) in enumerate(own))])
-            patterns = np.concatenate([np.zeros(0, np.int64), *(y for _, y in own)])
+        for (words, *_), number in zip(chunk.blocks, numbers):
+            starts, patterns = shard.stream(number, words.doc)
             count += np.bincount(patterns, minlength=len(count))
             places.append((starts, patterns))
         for k, (starts, patterns) in enumerate(places):

@@ -754,3 +754,21 @@ def test_pipeline_tree_leaves_out_no_pair(monkeypatch, few):
     want = least_reachable(range(900), pairs)
     got = least_reachable(range(900), list(zip(*(x.tolist() for x in simhash.open_links(wide, known, n, alone, 0.8)))))
     assert pairs and got == want
+
+
+def test_phrases_automaton_streams_only_its_words(monkeypatch):
+    """Stretches that can't hold a window never reach the automaton, and the words removed are those of brute force."""
+    rng, lexicon = random.Random(6), [f"r{k}" for k in range(5000)]
+    few = [f"q{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(400)) for _ in range(20)]
+    texts += [" ".join([*few[:k], rng.choice(lexicon), *few, "tail", *few[k:]]) for k in (0, 5, 20)]
+    texts += [" ".join(few[:34]), " ".join(few[:20]), " ".join(few[20:]), "", None]  # joined with the next they would be windows
+    seen, matches = [], phrases.Shard.matches
+    monkeypatch.setattr(phrases.Shard, "matches", lambda self, numbers: seen.append(len(numbers)) or matches(self, numbers))
+    chunk = phrases.Chunk(texts, 35, 2)
+    got = [int(x.sum()) for x in phrases.located(chunk, np.zeros(0, np.int64), [])]
+    words = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = sum(len({i + j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(35)}) for w in words)
+    assert sum(got) == want > 0
+    assert seen and all(35 <= n <= 100 for n in seen) and sum(seen) < 500
