@@ -55,4 +55,26 @@ read AS (SELECT p.*, l.epoch, l.room, md5('{mixing.SEED}|' || l.epoch || '|' ||
 inside AS (SELECT *, row_number() OVER i AS place, sum(n_tokens) OVER (i ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM read WINDOW i AS (PARTITION BY src, block, epoch ORDER BY key, id, text))
 SELECT doc_id, source, n_tokens, epoch, block, place FROM inside WHERE before < room"""
 
-SQL = {"op2_chat": CHAT, "op5_mixing": MIXING, "op6_phrases": PHRASES, "op8_pstable": VECTORS}
+_SPACE = r"[\x20\x09-\x0D]"
+_TEXT = "coalesce(text, ' ')"
+REPAIR = rf"""WITH RECURSIVE bits(i, c, k) AS (SELECT range::UINTEGER, range::UINTEGER, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+keyed AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, {_TEXT} AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT k.*, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::UINTEGER), lambda h, b: xor(t[xor(h, b) % 256 + 1], h >> 8), 4294967295::UINTEGER), 4294967295::UINTEGER) % 20 AS d FROM keyed k, tab),
+broken AS (SELECT conv, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE d <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '{_SPACE}+$', '') AS bare FROM broken),
+f AS (SELECT *, role[1] AS ini, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS dup, bare[-1] NOT IN ('.', '!', '?') AS cut, lag(role[1]) OVER (PARTITION BY conv ORDER BY i) AS before FROM r),
+sums AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (NOT blank AND NOT dup AND cut) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+put(p, q, letters, price, lines) AS (VALUES ('e', 'e', '', 0, ''), ('s', 's', '', 0, ''), ('u', 'u', '', 0, ''), ('a', 'a', '', 0, ''), ('e', 'u', 'I', 5, chr(10) || 'user:'), ('s', 'u', 'I', 5, chr(10) || 'user:'), ('a', 'u', 'I', 5, chr(10) || 'user:'),
+    ('u', 'a', 'I', 5, chr(10) || 'assistant:'), ('e', 'a', 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:')),
+op(q, nxt, letter, ini, price, role) AS (VALUES ('e', 'e', 'D', NULL, 2, NULL), ('s', 's', 'D', NULL, 2, NULL), ('u', 'u', 'D', NULL, 2, NULL), ('a', 'a', 'D', NULL, 2, NULL), ('e', 's', 'K', 's', 0, NULL), ('e', 'u', 'K', 'u', 0, NULL), ('s', 'u', 'K', 'u', 0, NULL), ('a', 'u', 'K', 'u', 0, NULL), ('u', 'a', 'K', 'a', 0, NULL),
+    ('e', 'u', 'R', NULL, 1, 'user'), ('s', 'u', 'R', NULL, 1, 'user'), ('a', 'u', 'R', NULL, 1, 'user'), ('u', 'a', 'R', NULL, 1, 'assistant')),
+w(conv, i, st, best) AS (SELECT conv, 0::BIGINT, 'e', {{'cost': 0::BIGINT, 'audit': '', 'out': ''}} FROM sums UNION ALL
+    SELECT w.conv, w.i + 1, op.nxt, min({{'cost': best.cost + put.price + op.price + CASE WHEN letter <> 'D' AND cut THEN 5 ELSE 0 END, 'audit': best.audit || letters || letter, 'out': best.out || lines || CASE letter WHEN 'D' THEN '' ELSE chr(10) || coalesce(op.role, f.role) || ':' || f.text END}})
+    FROM w JOIN f ON f.conv = w.conv AND f.i = w.i + 1 JOIN put ON put.p = w.st JOIN op ON op.q = put.q AND (letter = 'D' OR NOT (blank OR dup)) AND (op.ini IS NULL OR op.ini = f.ini) GROUP BY w.conv, w.i, op.nxt),
+done AS (SELECT w.conv, min({{'cost': best.cost + price, 'audit': best.audit || letters, 'out': best.out || lines}}) AS best FROM w JOIN sums ON sums.conv = w.conv AND w.i = n JOIN put ON p = st WHERE q IN ('e', 'a') GROUP BY w.conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.out, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) k LEFT JOIN sums ON sums.conv = k.conv LEFT JOIN done ON done.conv = k.conv"""
+
+SQL = {"op2_chat": CHAT, "op11_repair": REPAIR, "op5_mixing": MIXING, "op6_phrases": PHRASES, "op8_pstable": VECTORS}

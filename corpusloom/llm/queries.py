@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, packing, phrases, pstable, simhash, toxicity
+from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, packing, phrases, pstable, repair, simhash, toxicity
 from corpusloom.llm.texts import documents
 
 PLACE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -64,8 +64,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damaged(rows), rows)
+
+
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op5_mixing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid)}
+    found = {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op5_mixing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid, op11_repair)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
