@@ -77,4 +77,23 @@ done AS (SELECT w.conv, min({{'cost': best.cost + price, 'audit': best.audit ||
 SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.out, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, conv FROM keyed) k LEFT JOIN sums ON sums.conv = k.conv LEFT JOIN done ON done.conv = k.conv"""
 
-SQL = {"op2_chat": CHAT, "op11_repair": REPAIR, "op5_mixing": MIXING, "op6_phrases": PHRASES, "op8_pstable": VECTORS}
+
+
+def _clusters(rounds: int) -> str:
+    """Assignments and means, a pair of tables a round."""
+    squares = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = f"SELECT vec_id, v.x, arg_min(n, {{'d': {squares}, 'n': n}}) AS n, min({squares}) AS d FROM v, SEEDS c GROUP BY vec_id, v.x"
+    floor = "((s - ((s % k) + k) % k) // k)::BIGINT"
+    text = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS n, x FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16))"""
+    for k in range(rounds):
+        text += f""",
+a{k} AS ({near.replace('SEEDS', f'c{k}')}), u{k} AS (SELECT n, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}), s{k} AS (SELECT n, i, sum(y) AS s, count(*) AS k FROM u{k} GROUP BY n, i),
+c{k + 1} AS (SELECT c.n, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT n, list({floor} ORDER BY i) AS x FROM s{k} GROUP BY n) m ON m.n = c.n)"""
+    return text + f""", a AS ({near.replace('SEEDS', f'c{rounds}')})
+SELECT vec_id, a.n::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c ON c.n = a.n"""
+
+
+CENTROIDS = _clusters(3)
+
+SQL = {"op2_chat": CHAT, "op13_centroids": CENTROIDS, "op11_repair": REPAIR, "op5_mixing": MIXING, "op6_phrases": PHRASES, "op8_pstable": VECTORS}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from corpusloom.llm import brown, chat, fertility, langid, mixing, oracles, packing, phrases, pstable, repair, simhash, toxicity
-from corpusloom.llm.texts import documents
+from corpusloom.llm import brown, centroids, chat, fertility, langid, mixing, oracles, orcids, packing, phrases, pstable, repair, simhash, toxicity
+from corpusloom.llm.texts import bound_batches, documents
+from corpusloom.session import shared_dir
 
 PLACE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 FERTILITY = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -69,8 +72,20 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(rows), rows)
 
 
+def op12_orcids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/staged/token-ids-{uuid.uuid4().hex}"
+    orcids.write(documents(spark, sf_dir), PLACE, path)
+    return orcids.digests(orcids.read(spark, path))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    vectors = centroids.whole(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return centroids.report(centroids.cluster(vectors))
+
+
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op5_mixing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid, op11_repair)}
+    found = {f.__name__: f for f in (op1_simhash, op2_chat, op3_packing, op4_brown, op5_mixing, op6_phrases, op7_fertility, op8_pstable, op9_toxicity, op10_langid, op11_repair, op12_orcids, op13_centroids)}
     return found | {"pipeline": corpus_pipeline.run}
 
 

@@ -30,7 +30,7 @@ Null ids form one conversation; a null role or text counts as one space. A role
 that is empty or has another initial must change or go. Ties in turn are taken
 by role and text; equal rows are duplicates of the first. Very long texts are
 moved as they are, never folded. A result row of `repaired` holds one repaired
-conversation; `turns` gives it as rows. An empty table gives an empty result.
+conversation; `turns` gives it as rows. Gaps that no long can hold are 0. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
