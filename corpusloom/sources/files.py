@@ -16,7 +16,9 @@ from corpusloom.operators.ngram import Counts
 # fixed values: the magic number of a word-list file
 WORD_LIST = 0x57444C31
 
-STATE = "version int, confusion map<string,map<string,double>>, reranker struct<weights:array<double>,updates:int>, learnList array<string>, stats map<string,double>, updatedAt double"
+# fixed values: the maps of a saved confusion model, beside its number of observations
+CONFUSION = ("sub", "del", "ins", "trans", "seen", "subCtx", "seenCtx")
+STATE = f"version int, confusion struct<{', '.join(f'{k}: map<string,double>' for k in CONFUSION)}, observations: double>, reranker struct<weights:array<double>,updates:int>, learnList array<string>, stats map<string,double>, updatedAt double"
 
 
 def notes(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
@@ -66,8 +68,9 @@ def read_global(spark: SparkSession, packed: str | None = None, text: str | None
 
 
 def word_list_bytes(words: list[str]) -> bytes:
-    blob = "\n".join(sorted({w.lower() for w in words})).encode()
-    return struct.pack("<III", WORD_LIST, len(set(words)), len(blob)) + blob
+    own = sorted({w.lower() for w in words})
+    blob = "\n".join(own).encode()
+    return struct.pack("<III", WORD_LIST, len(own), len(blob)) + blob
 
 
 def parse_word_list(data: bytes) -> list[str]:
@@ -95,9 +98,11 @@ def learned_state(spark: SparkSession, path: str) -> DataFrame:
     """Personalisation state, put right: a malformed file counts as empty, non-strings leave the learn list."""
     raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", STATE, {"mode": "PERMISSIVE"}).alias("s")).select("s.*")
+    seen = F.when(F.col("confusion.observations").isNotNull(), F.create_map(F.lit(""), F.col("confusion.observations")))
+    kinds = F.map_from_arrays(F.array(*map(F.lit, (*CONFUSION, "observations"))), F.array(*(F.col(f"confusion.{k}") for k in CONFUSION), seen))
     return parsed.select(
         F.coalesce("version", F.lit(1)).alias("version"),
-        F.coalesce("confusion", F.create_map().cast("map<string,map<string,double>>")).alias("confusion"),
+        F.map_filter(kinds, lambda _, v: v.isNotNull()).alias("confusion"),
         "reranker",
         F.coalesce(F.filter("learnList", lambda w: w.isNotNull()), F.array().cast("array<string>")).alias("learn_list"),
         F.coalesce("stats", F.create_map().cast("map<string,double>")).alias("stats"),

@@ -9,7 +9,8 @@ Events are (user, seq, at, kind, source, target, kept, shown, accepted): a
 correction of source to target; an undo that put source back in place of
 target; an edit, with `kept` false where it took the word away that was last
 put back; an accept, with what was shown (a feature array for each item) and
-which item it was.
+which item it was. An undo without a time is learned at the user's next event
+unless that takes the word away; an accept without one counts for no day.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def deferred_step(state: dict, event: dict) -> tuple[dict, list[tuple]]:
     """
     rows, recent, pending = [], list(state.get("recent", [])), state.get("pending")
     if pending is not None:
-        waited = event["at"] is not None and event["at"] - datetime.fromisoformat(pending[1]) >= IDLE
+        waited = event["at"] is not None and pending[1] is not None and event["at"] - datetime.fromisoformat(pending[1]) >= IDLE
         if waited or event["kept"] is not False:
             rows.append(("learn", pending[0]))
         pending = None
@@ -58,7 +59,7 @@ def deferred_step(state: dict, event: dict) -> tuple[dict, list[tuple]]:
     elif event["kind"] == "undo" and [event["source"], event["target"]] in recent:
         recent.remove([event["source"], event["target"]])
         rows.append(("revert", event["source"]))
-        pending = [event["source"], event["at"].isoformat()]
+        pending = [event["source"], event["at"].isoformat() if event["at"] else None]
     return {"recent": recent, "pending": pending}, rows
 
 
@@ -79,7 +80,7 @@ def weights_step(state: dict, event: dict) -> tuple[dict, list[tuple]]:
 
 def streak_step(state: dict, event: dict) -> tuple[dict, list[tuple]]:
     """Rows (action, days): the run of days with an accept, after each one."""
-    if event["kind"] != "accept":
+    if event["kind"] != "accept" or event["at"] is None:
         return state, []
     day, last = event["at"].date(), state.get("last")
     run = state.get("run", 0)
