@@ -43,6 +43,7 @@ from corpusloom.session import staged
 
 BLOCK = 64
 SALTS = 64
+TASK = 10_000  # rows to a task of the fold, about
 SPACE = " \t\n\x0b\x0c\r"
 STATES = "esua"
 INSERT, DELETE, REROLE, TRUNCATED = 5, 2, 1, 5
@@ -76,11 +77,14 @@ def _from(state: Column, cost: Column | int, letters: Column | str) -> Column:
     return _state(state["cost"] + cost, F.concat(state["audit"], letters if isinstance(letters, Column) else F.lit(letters)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once; an expression that is named twice would be worked out twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _step(acc: Column, row: Column) -> Column:
     """The four states after one row, and the copies of it that must go."""
     e, s = acc["e"], acc["s"]
-    u = F.least(acc["u"], *(_from(acc[k], INSERT, "I") for k in "esa"))
-    a = F.least(acc["a"], _from(u, INSERT, "J"))
     more = row["more"]
     more_cost = DELETE * F.length(more)
     stays = F.when(row["fault"] == 2, F.lit(NEVER)).when(row["fault"] == 1, F.lit(TRUNCATED)).otherwise(F.lit(0)) + more_cost
@@ -94,12 +98,17 @@ def _step(acc: Column, row: Column) -> Column:
         return _from(state, DELETE + more_cost, F.concat(F.lit("D"), more))
 
     first = _from(e, stays + F.when(row["initial"] == "s", F.lit(0)).otherwise(F.lit(NEVER)), F.concat(F.lit("K"), more))
-    return F.struct(
-        gone(e).alias("e"),
-        F.least(gone(s), first).alias("s"),
-        F.least(gone(u), *(to(k, "u", "R") for k in (e, s, a))).alias("u"),
-        F.least(gone(a), to(u, "a", "S")).alias("a"),
-    )
+
+    def after(u: Column, a: Column) -> Column:
+        return F.struct(
+            gone(e).alias("e"),
+            F.least(gone(s), first).alias("s"),
+            F.least(gone(u), *(to(k, "u", "R") for k in (e, s, a))).alias("u"),
+            F.least(gone(a), to(u, "a", "S")).alias("a"),
+        )
+
+    inserted = F.least(acc["u"], *(_from(acc[k], INSERT, "I") for k in "esa"))
+    return _let(inserted, lambda u: _let(F.least(acc["a"], _from(u, INSERT, "J")), lambda a: after(u, a)))
 
 
 def _start(state: str, path: str | None = None) -> Column:
@@ -152,6 +161,7 @@ def flagged(rows: DataFrame) -> DataFrame:
     ahead = ahead.withColumn("group", F.when(F.col("ahead"), -1).otherwise(F.col("group")))
     first = ahead.withColumn("first", F.col("ahead") & (F.row_number().over(Window.partitionBy("conv", "said", "group").orderBy("at")) == 1))
     number = F.row_number().over(Window.partitionBy("conv", "part").orderBy("at"))
+    first = first.repartition(rows.count() // TASK + 1, "conv", "part")  # the fold that follows is work for few bytes
     return first.withColumn("block", ((number - 1) / BLOCK).cast("long")).drop("said", "group", "ahead")
 
 
@@ -171,12 +181,8 @@ def folded(rows: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice(initials, 1, F.size(initials) - 1), F.slice(initials, 2, F.size(initials)), _illegal)
 
     def row(i: str) -> Column:
-        """A row of the table; the array of one names the fold's result, so it is worked out once."""
-
-        def named(t: Column) -> Column:
-            return F.struct(*(_state(t[j]["cost"], t[j]["audit"], str(STATES.index(i))).alias(j) for j in STATES))
-
-        return F.transform(F.array(F.aggregate("rows", _start(i), _step)), named)[0]
+        """A row of the table: the fold from one state."""
+        return _let(F.aggregate("rows", _start(i), _step), lambda t: F.struct(*(_state(t[j]["cost"], t[j]["audit"], str(STATES.index(i))).alias(j) for j in STATES)))
 
     table = F.struct(*(row(k).alias(k) for k in STATES))
     return staged(
