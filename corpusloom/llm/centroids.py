@@ -1,13 +1,13 @@
 """Clustering of whole-number vectors by centroids, screened by block norms.
 
-A vector is cut into SEGMENTS of equal length. Beside its components it keeps,
-for each segment, the sum s and the norm r of what is left when the segment's
-mean is taken off. Both are worked out once. For a centroid with S and R, the
-Cauchy-Schwarz inequality on what is left gives in each segment of m components
+A vector x is compressed to a whole number from -LEVELS to LEVELS, four bits, for each
+component, times a step of its own: y. Of what that leaves out, x - y, the norm of
+each of SEGMENTS equal segments is kept, and all are worked out once. With the
+norms of a centroid's segments, the Cauchy-Schwarz inequality gives
 
-    distance >= (s - S)**2 / m + (r - R)**2
+    |x - c|**2 >= |x|**2 + |c|**2 - 2 * (y * c + sum of norm(x - y) * norm(c) over segments)
 
-and these bounds come for all centroids from one product of small matrices. The
+and these bounds come for all centroids from two products of small matrices. The
 centroid with the least bound is measured first; of the others only those whose
 bound is not above that distance are measured, in whole numbers. Bounds are
 lowered by more than floating point can err, so no nearest centroid, and no tie,
@@ -39,22 +39,52 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import staged
 
-DIMENSIONS, SCALE, K, ROUNDS, SEGMENTS = 64, 64, 16, 3, 16
+DIMENSIONS, SCALE, K, ROUNDS, SEGMENTS, LEVELS = 64, 64, 16, 3, 16, 7
 LIMIT = 1 << 27
 ROWS = 4096  # vectors to a block of bounds
 
 
-def shapes(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """(sum / sqrt(m), norm of the rest) of each segment, side by side: distances of these are bounds."""
+def norms(vectors: np.ndarray, segments: int) -> np.ndarray:
     parts = vectors.reshape(len(vectors), segments, -1).astype(np.float64)
-    root = np.sqrt(parts.shape[2])
-    sums = parts.sum(axis=2)
-    rest = parts - (sums / parts.shape[2])[:, :, None]
-    return np.concatenate([sums / root, np.sqrt((rest * rest).sum(axis=2))], axis=1)
+    return np.sqrt((parts * parts).sum(axis=2))
+
+
+@dataclass
+class Compressed:
+    """Vectors as code * step, with the norms of each segment of what that leaves out, and the squares' sums."""
+
+    code: np.ndarray  # int8, a row a vector
+    step: np.ndarray
+    rest: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(vectors: np.ndarray, segments: int) -> Compressed:
+        step = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1) / LEVELS
+        code = np.rint(vectors / step[:, None]).astype(np.int8)
+        wide = vectors.astype(np.float64)
+        return Compressed(code, step, norms(wide - code * step[:, None], segments), (wide * wide).sum(axis=1))
+
+    def columns(self) -> list[pa.Array]:
+        code = pa.array([row.tobytes() for row in self.code], pa.binary())
+        rest = pa.ListArray.from_arrays(pa.array(np.arange(len(self.rest) + 1) * self.rest.shape[1], pa.int32()), pa.array(self.rest.ravel()))
+        return [code, pa.array(self.step), rest, pa.array(self.size)]
+
+    @staticmethod
+    def read(columns: list[pa.Array], width: int, segments: int) -> Compressed:
+        code = np.frombuffer(b"".join(columns[0].to_pylist()), np.int8).reshape(-1, width)
+        return Compressed(code, np.asarray(columns[1]), _matrix(columns[2], segments), np.asarray(columns[3]))
+
+    def part(self, low: int, high: int) -> Compressed:
+        return Compressed(*(x[low:high] for x in (self.code, self.step, self.rest, self.size)))
+
+
+COMPRESSED = "code binary, step double, rest array<double>, size double"
+STORED = ["v", "code", "step", "rest", "size"]
 
 
 def whole(embeddings: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCALE, segments: int = SEGMENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v, shape): floor(scale * x) of each component x, and the segments' sums and norms; written once."""
+    """(id, v, code, step, rest, size): floor(scale * x) of each component x, and its compressed form; written once."""
     if dimensions % segments:
         raise ValueError("segments must be of equal length")
     x = F.col("x")
@@ -64,12 +94,11 @@ def whole(embeddings: DataFrame, dimensions: int = DIMENSIONS, scale: int = SCAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shapes(_matrix(batch.column(1), dimensions), segments)
-            shape = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * 2 * segments, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shape], ["id", "v", "shape"])
+            found = Compressed.of(_matrix(batch.column(1), dimensions), segments)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found.columns()], ["id", *STORED])
 
     kind = ints.schema["id"].dataType.simpleString()
-    return staged(ints.mapInArrow(run, f"id {kind}, v array<int>, shape array<double>"), "vectors")
+    return staged(ints.mapInArrow(run, f"id {kind}, v array<int>, {COMPRESSED}"), "vectors")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -85,19 +114,20 @@ class Screen:
     measured: int = 0
     asked: int = 0
 
-    def nearest(self, vectors: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vectors: np.ndarray, short: Compressed) -> tuple[np.ndarray, np.ndarray]:
         """(number of the nearest centroid, squared distance) of each vector; the smaller number of equally near ones."""
-        own = shapes(self.centroids, self.segments)
         numbers, distances = np.empty(len(vectors), np.int64), np.empty(len(vectors), np.int64)
         for low in range(0, len(vectors), ROWS):
             part = slice(low, low + ROWS)
-            numbers[part], distances[part] = self._block(vectors[part].astype(np.int64), shape[part], own)
+            numbers[part], distances[part] = self._block(vectors[part].astype(np.int64), short.part(low, low + ROWS))
         return numbers, distances
 
-    def _block(self, v: np.ndarray, shape: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size, own_size = (shape * shape).sum(axis=1), (own * own).sum(axis=1)
-        bound = size[:, None] + own_size[None, :] - 2 * shape @ own.T
-        bound -= 1e-9 * (size[:, None] + own_size[None, :]) + 1e-6  # far more than the rounding of the lines above
+    def _block(self, v: np.ndarray, short: Compressed) -> tuple[np.ndarray, np.ndarray]:
+        wide = self.centroids.astype(np.float64)
+        sizes = short.size[:, None] + (wide * wide).sum(axis=1)[None, :]
+        most = (short.code @ wide.T) * short.step[:, None] + short.rest @ norms(wide, self.segments).T
+        bound = sizes - 2 * most
+        bound -= 1e-9 * sizes + 1e-6  # far more than the rounding of the lines above
         first = bound.argmin(axis=1)
         best = ((v - self.centroids[first]) ** 2).sum(axis=1)
         number = first.copy()
@@ -131,14 +161,14 @@ def moved(vectors: DataFrame, centroids: np.ndarray, segments: int = SEGMENTS) -
         counts, sums = np.zeros(len(shared.value), np.int64), np.zeros(shared.value.shape, np.int64)
         for batch in batches:
             v = _matrix(batch.column(0), width).astype(np.int64)
-            number, _ = screen.nearest(v, _matrix(batch.column(1), 2 * segments))
+            number, _ = screen.nearest(v, Compressed.read(batch.columns[1:], width, segments))
             counts += np.bincount(number, minlength=len(counts))
             np.add.at(sums, number, v)
         used = np.flatnonzero(counts)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * width, pa.int32()), pa.array(sums[used].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), rows], ["cluster", "n", "sums"])
 
-    found = vectors.select("v", "shape").mapInArrow(run, "cluster long, n long, sums array<long>")
+    found = vectors.select(*STORED).mapInArrow(run, "cluster long, n long, sums array<long>")
     exact = found.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[d].cast("decimal(20,0)")) for d in range(width))).alias("sums"))
     out = centroids.copy()
     for cluster, n, sums in exact.collect():  # at most k rows
@@ -153,10 +183,11 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, segments: int = SEGMENTS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         screen = Screen(shared.value, segments)
         for batch in batches:
-            number, distance = screen.nearest(_matrix(batch.column(1), shared.value.shape[1]), _matrix(batch.column(2), 2 * segments))
+            width = shared.value.shape[1]
+            number, distance = screen.nearest(_matrix(batch.column(1), width), Compressed.read(batch.columns[2:], width, segments))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int32()), pa.array(distance)], ["id", "cluster", "distance"])
 
-    return vectors.mapInArrow(run, f"id {vectors.schema['id'].dataType.simpleString()}, cluster int, distance long")
+    return vectors.select("id", *STORED).mapInArrow(run, f"id {vectors.schema['id'].dataType.simpleString()}, cluster int, distance long")
 
 
 @dataclass
