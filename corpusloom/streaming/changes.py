@@ -3,7 +3,7 @@
 A change is (op, path, text, seq): op is set, remove or rename (text then holds
 the new path). Changes of a batch apply in the order of seq; a rename carries
 what its path holds at that point, and one of a path that holds nothing does
-nothing. State is counts per path, in Parquet by version and bucket of paths,
+nothing. State is counts per path, in Parquet by run and bucket of paths,
 so replacing a document takes its old counts out with the new ones in, and
 replaying a batch gives the same state.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.operators import ngram
 from corpusloom.operators.graph import connected
 from corpusloom.session import staged
+from corpusloom.streaming.runs import RunLog
 
 KEYS = ("n", "w2", "w1", "w")
 STATE = "path string, n int, w2 string, w1 string, w string, c long"
@@ -101,58 +102,43 @@ def document_frequency(state: DataFrame) -> DataFrame:
     return state.where("n = 1").groupBy("w").agg(F.count("*").alias("df"))
 
 
+def _newest(rows: DataFrame, whole: bool) -> DataFrame:
+    """The rows of each bucket's last run; a bucket's mark, a row without a path, stays while older runs are left."""
+    last = rows.groupBy("bucket").agg(F.max("run").alias("last"))
+    found = rows.join(last, "bucket").where("run = last").drop("run", "last")
+    return found.where("path is not null") if whole else found
+
+
 class CorpusState:
-    """Versions of the state below a folder that all executors share; version b + 1 is the state after batch b.
+    """The state below a folder that all executors share, as a log of runs; version b + 1 is the state after batch b.
 
-    A version holds the buckets of paths that its batch touched; the others
-    are those of versions before. A version counts once its write is complete,
-    so a restart goes on from the last one that is.
+    A batch reads and writes the buckets of paths that it touches; a bucket in
+    a later run stands for that in earlier ones, and merging keeps the last.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-
-    def _listed(self, path: str) -> list[str]:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
-
-    def versions(self) -> list[int]:
-        """Complete versions, the newest first."""
-        found = sorted((int(n[1:]) for n in self._listed(self.folder) if n[:1] == "v" and n[1:].isdigit()), reverse=True)
-        return [v for v in found if "_SUCCESS" in self._listed(f"{self.folder}/v{v}")]
+        self.spark, self.buckets = spark, buckets
+        self.log = RunLog(spark, folder, f"{STATE}, bucket int", _newest, by=("bucket",))
 
     @property
     def version(self) -> int:
-        return next(iter(self.versions()), 0)
-
-    def _rows(self, version: int | None) -> DataFrame:
-        """Rows with their bucket, and a row without a path for every bucket that was ever written."""
-        taken: set[str] = set()
-        out = self.spark.createDataFrame([], f"{STATE}, bucket int")
-        for v in self.versions():
-            if version is not None and v > version:
-                continue
-            fresh = [n for n in self._listed(f"{self.folder}/v{v}") if n.startswith("bucket=") and n not in taken]
-            taken.update(fresh)
-            for n in fresh:
-                rows = self.spark.read.schema(STATE).parquet(f"{self.folder}/v{v}/{n}")
-                out = out.unionByName(rows.withColumn("bucket", F.lit(int(n.split("=")[1]))))
-        return out
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._rows(version).where("path is not null").drop("bucket")
+        last = self.log.batch
+        return 0 if last is None else last + 1
+
+    def read(self) -> DataFrame:
+        return self.log.read().drop("bucket")
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """For foreachBatch: safe to run again for a batch. Only buckets of touched paths are read and written."""
+        """For foreachBatch: a batch that comes again changes nothing."""
+        if self.version > batch:
+            return
         bucket = F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
         changes = staged(changes, "changes")
         paths = changes.select("path").unionByName(changes.where("op = 'rename'").select(F.col("text").alias("path")))
         touched = [r[0] for r in paths.select(bucket.alias("b")).distinct().collect()]  # a number for each bucket
-        old = self._rows(batch).where(F.col("bucket").isin(touched) & F.col("path").isNotNull()).drop("bucket")
+        old = self.log.read().where(F.col("bucket").isin(touched)).drop("bucket")
         marks = self.spark.createDataFrame([(None, 0, None, None, None, 0, b) for b in touched], f"{STATE}, bucket int")
-        new = applied(old, changes).withColumn("bucket", bucket).unionByName(marks)
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{batch + 1}")
+        self.log.append(applied(old, changes).withColumn("bucket", bucket).unionByName(marks), batch)
 
 
 def follow(changes: DataFrame, state: CorpusState, checkpoint: str, every: str | None = None) -> StreamingQuery:

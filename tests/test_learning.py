@@ -59,3 +59,13 @@ def test_stream_equals_the_table(spark, tmp_path):
     q.awaitTermination()
     want = [w for w in WANT if w != ("b", 3, "learn", "foo")]  # that one waits for the user's silence
     assert sorted(map(tuple, spark.sql("select * from learned").collect())) == sorted(want)
+
+
+def test_events_without_a_time():
+    empty = {"kept": None, "shown": None, "accepted": None, "at": None}
+    state, _ = G.deferred_step({}, {"kind": "correct", "source": "a", "target": "b", **empty})
+    state, rows = G.deferred_step(state, {"kind": "undo", "source": "a", "target": "b", **empty})
+    assert rows == [("revert", "a")]
+    assert G.deferred_step(state, {"kind": "edit", "source": None, "target": None, **empty, "kept": False, "at": T})[1] == []
+    assert G.deferred_step(state, {"kind": "edit", "source": None, "target": None, **empty})[1] == [("learn", "a")]
+    assert G.streak_step({"last": "2024-01-01", "run": 2}, {"kind": "accept", **empty}) == ({"last": "2024-01-01", "run": 2}, [])

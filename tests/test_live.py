@@ -76,6 +76,18 @@ def test_random_changes_equal_a_rebuild_across_a_restart(spark, tmp_path):
         assert rows(changes.totals(state.read()).tri) == rebuilt(spark, texts)
 
 
+def test_corpus_state_is_compacted(spark, tmp_path):
+    state = changes.CorpusState(spark, str(tmp_path / "s"), buckets=2)
+    state.log.fan = 2
+    for batch in range(5):
+        op = ("remove", "a", None, 1) if batch == 3 else ("set", f"{'ab'[batch % 2]}", f"text {batch}", 1)
+        state.apply(spark.createDataFrame([op], changes.CHANGE), batch)
+    assert len(state.log.runs()) <= 3 and state.version == 5
+    assert rows(changes.totals(state.read()).tri) == rebuilt(spark, {"a": "text 4", "b": "text 1"})
+    state.log.compact()
+    assert rows(changes.totals(state.read()).tri) == rebuilt(spark, {"a": "text 4", "b": "text 1"})
+
+
 def test_live_counters_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01 10:05:00", "view", 2.5), (1, "2024-01-01 10:05:00", "view", 2.5), (2, "2024-01-01 10:50:00", "view", 1.0)], "event_id long, t string, event_type string, value double").select("event_id", F.to_timestamp("t").alias("ts"), "event_type", "value")
     df.write.parquet(str(tmp_path / "ev"))

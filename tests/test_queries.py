@@ -10,6 +10,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SOME = ["tokenize_words", "sentence_split", "ngram_bi", "log_prob", "predict_next", "delta_merge", "case_rules", "token_guards", "tfidf", "nearest", "streaks", "milestones", "stems", "known_words"]
 SOME += ["typed_completions", "insertion_spacing", "caret_context", "edit_guards", "prefix_predictions", "suggestion_menu", "keys_saved", "word_standing", "sequence_scores"]
 SOME += ["tag_popup", "picker_list", "dictionary_listing", "suggest_tags", "dictionary_kept", "packed_predictions", "vocabulary_after_removal", "change_feed", "one_shot_reverts", "accept_streaks"]
+SOME += ["debounced_changes", "debounced_pauses", "live_document_cache", "learned_state", "maintained_lists", "maintained_continuation"]
 
 
 def rows(columns, found):
