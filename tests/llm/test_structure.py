@@ -11,7 +11,7 @@ import pyarrow.orc
 import pytest
 from tokenizers import Tokenizer
 
-from corpusloom.llm import centroids, oracles, orcids, queries, repair
+from corpusloom.llm import centroids, oracles, orcids, phrases, queries, repair
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -267,3 +267,28 @@ def test_bounds_spare_distances():
     screen = centroids.Screen(v[:16], 16)  # no clusters at all: every centroid is about as far
     screen.nearest(v, centroids.Compressed.of(v, 16))
     assert screen.measured < 0.3 * 16 * screen.asked
+
+
+@pytest.mark.parametrize("bits", [48, 12, 6])
+def test_phrases_lose_no_word_to_a_hash(spark, monkeypatch, bits):
+    """With hashes cut short, unlike windows stand between the copies in most rings."""
+    rng = random.Random(bits)
+    word = lambda: f"v{rng.randint(0, 9999)}"
+    shared = [" ".join(word() for _ in range(48)) for _ in range(4)]
+    rows = [(k, " ".join([*(word() for _ in range(60)), shared[k % 4], *(word() for _ in range(rng.randint(0, 60)))])) for k in range(40)]
+    rows += [(40, None), (41, ""), (42, shared[0]), (None, shared[1])]
+    monkeypatch.setattr(phrases, "BITS", bits)
+    monkeypatch.setattr(phrases, "CHUNK", 700)
+    monkeypatch.setattr(phrases, "PER_BUCKET", 8000)
+    got = {r["doc_id"]: r for r in phrases.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["n_removed"] for k, r in got.items()} == {k: 48 if k is None or k < 40 or k == 42 else 0 for k, _ in rows}
+    assert all(got[k]["kept"] == " ".join(t.replace(shared[k % 4], " ").split()) for k, t in rows[:40])
+
+
+def test_phrases_ask_again_only_where_a_hash_met_others(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(phrases, "CHUNK", 700)
+    monkeypatch.setattr(phrases, "staged", lambda df, name, own=phrases.staged: asked.append(name) or own(df, name))
+    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 80))) for k in range(0, 400, 20)]
+    phrases.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert asked == ["runs"]
