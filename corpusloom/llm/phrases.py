@@ -6,10 +6,12 @@ also starts anywhere else are recurring; every word under one is removed.
 1. Texts are dealt to chunks by a hash. A chunk sends each distinct window as
    48 bits of a hash, in the list of its hash bucket. These bits only name
    candidates: windows that two chunks sent, or that one chunk holds twice.
-2. A bucket joins the chunks that have a candidate to a ring, and each chunk
-   sends the words of its candidates to the next one, neighbouring windows
-   joined to passages. So every chunk gets each candidate's words from one
-   other, however many have it.
+2. Of its candidates a chunk sends 80 bits of other hashes. By these a bucket
+   joins the chunks that have a candidate to a ring, so an unlike window that
+   shares the first bits doesn't come between two copies. Each chunk sends the
+   words of its candidates to the next one, neighbouring windows joined to
+   passages. So every chunk gets each candidate's words from one other, however
+   many have it.
 3. A chunk cuts its candidates' runs into windows that cover them and compiles
    these into an Aho-Corasick automaton (a shard of the corpus's automaton, one
    symbol or two per word of theirs). It streams the passages it was sent and
@@ -17,14 +19,8 @@ also starts anywhere else are recurring; every word under one is removed.
    has, as that leads back to the root; stretches shorter than a window can't
    match and are passed over. A window is confirmed if its words, and not just its
    hash, occur in another chunk's passage or twice in this chunk; a run with a
-   window that is not is cut into all its windows and tried again. The runs of
-   words under confirmed windows are written, a row a chunk.
-4. A candidate that is not confirmed met another window with its hash in the ring,
-   and its own copies may be with chunks further on. All chunks that have such a
-   hash send those windows' words, and Spark groups these by the words themselves:
-   what occurs twice is confirmed. So no word is lost to a hash.
-5. Each chunk takes the words under its runs out of its texts, which are sorted
-   by their text, so that the runs fit however the rows arrive.
+   window that is not is cut into all its windows and tried again. Only matches
+   of confirmed windows remove words.
 
 A window that half the corpus shares is sent once by each chunk.
 The documents' exchange is shared by the steps, so their text moves once.
@@ -37,20 +33,15 @@ returned. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.texts import Words, release
-from corpusloom.session import staged
 
 SIZE = 35
 CHUNK = 5_000_000  # characters of text to a chunk, about
@@ -59,30 +50,26 @@ BITS = 48  # of a hash, to name a candidate
 SYMBOLS = 0x10FFFF - 0x800 - 0x100  # code points that can stand for words
 
 
-def cut(texts: list[str | None], most: int = 1 << 20) -> Iterator[Words]:
-    """Words of texts, in blocks of about `most` characters."""
-    at = 0
-    while at < len(texts):
-        to, room = at, most
-        while to < len(texts) and (to == at or len(texts[to] or "") <= room):
-            room -= len(texts[to] or "")
-            to += 1
-        yield Words(texts[at:to])
-        at = to
-
-
 class Chunk:
-    """The windows of a chunk's texts and their places: a hash bucket and some bits of a hash."""
+    """The windows of a chunk's texts and their places: a hash bucket and some bits of a hash.
+
+    fine() has other bits of the windows at a place.
+    """
 
-    def __init__(self, texts: list[str | None], size: int, buckets: int, bits: int = BITS):
-        self.size, self.blocks, found = size, [], []
-        for words in cut(texts):
+    def __init__(self, texts: list[str | None], size: int, buckets: int, bits: int = BITS, most: int = 1 << 20):
+        self.size, self.blocks, found, at = size, [], [], 0
+        while at < len(texts):
+            to, room = at, most
+            while to < len(texts) and (to == at or len(texts[to] or "") <= room):
+                room -= len(texts[to] or "")
+                to += 1
+            words = Words(texts[at:to])
             hashes = words.hashes()
             starts, one, two = words.windows(hashes, size)
             self.blocks.append((words, hashes, starts))
-            found.append((one >> np.uint64(64 - bits), two % np.uint64(buckets)))
-        none = [np.zeros(0, np.uint64)]
-        one, two = (np.concatenate(none + [f[k] for f in found]) for k in (0, 1))
+            found.append((one >> np.uint64(64 - bits), two % np.uint64(buckets), two, one.astype(np.uint16)))
+            at = to
+        one, two, self.two, self.low = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.uint64, np.uint64, np.uint64, np.uint16)))
         order = np.lexsort((one, two))
         one, two = one[order], two[order]
         new = np.ones(len(one), bool)
@@ -93,22 +80,17 @@ class Chunk:
         self.places = one[new]
         self.bounds = np.searchsorted(two[new], np.arange(buckets + 1, dtype=np.uint64))
 
-    def windows(self, wanted: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """(block, first word, words) of the wanted windows (a flag for each place), each by itself."""
-        low = 0
-        for k, (words, _, starts) in enumerate(self.blocks):
-            hit = starts[wanted[self.back[low : low + len(starts)]]]
-            low += len(starts)
-            for start, a, b in zip(hit.tolist(), words.starts[hit].tolist(), words.ends[hit + self.size - 1].tolist()):
-                yield k, start, b" ".join(words.raw[a:b].split())
-
-    def flags(self, packed: list[tuple[int, bytes]]) -> np.ndarray:
-        """Which places are among (bucket, packed hashes)."""
-        out = np.zeros(len(self.places), bool)
-        for bucket, places in packed:
-            own = self.places[self.bounds[bucket] : self.bounds[bucket + 1]]
-            out[self.bounds[bucket] : self.bounds[bucket + 1]] |= np.isin(own, unpack48(places))
-        return out
+    def fine(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, 64 bits, 16 bits) of the distinct windows at some places, sorted by place."""
+        wanted = np.zeros(len(self.places), bool)
+        wanted[places] = True
+        at = np.flatnonzero(wanted[self.back])
+        place, two, low = self.back[at], self.two[at], self.low[at]
+        order = np.lexsort((low, two, place))
+        place, two, low = place[order], two[order], low[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (two[1:] != two[:-1]) | (low[1:] != low[:-1])
+        return place[new], two[new], low[new]
 
     def passages(self, wanted: np.ndarray) -> list[bytes]:
         """The words of the wanted windows (a flag for each place), neighbours joined, each passage once."""
@@ -125,18 +107,30 @@ class Chunk:
         return list(out)
 
 
-def partners(parts: list[np.ndarray], chunks: list[int]) -> list[np.ndarray]:
-    """For each chunk's hashes of one bucket: (place, chunk to send to) of those that other chunks have.
+def shared(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each chunk's hashes of one bucket, each once: the places of those that other chunks have."""
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    same = every[order][1:] == every[order][:-1]
+    found = np.zeros(len(every), bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    return [np.flatnonzero(x) for x in np.split(found, np.cumsum([len(p) for p in parts])[:-1])]
+
+
+def partners(parts: list[np.ndarray], chunks: list[int], lows: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each chunk's hashes of one bucket: (place, chunk to send to) of those that other chunks have; `lows` are more bits of them.
 
     The chunks that have a hash form a ring; each sends to the next one.
     """
     order = np.argsort(chunks, kind="stable")
     sizes = [len(parts[k]) for k in order]
     every, owner = np.concatenate([parts[k] for k in order]), np.repeat(np.arange(len(parts)), sizes)
-    by = np.argsort(every, kind="stable")
-    every = every[by]
-    last = np.append(every[1:] != every[:-1], True)
-    first = np.flatnonzero(np.append(True, last[:-1]))
+    low = np.concatenate([lows[k] for k in order]) if lows else np.zeros(len(every), np.uint16)
+    by = np.lexsort((np.arange(len(every)), low, every))
+    every, low = every[by], low[by]
+    last = np.append((every[1:] != every[:-1]) | (low[1:] != low[:-1]), True)[: len(every)]
+    first = np.flatnonzero(np.append(True, last[:-1])[: len(every)])
     after = np.arange(1, len(every) + 1)
     after[last] = first
     target = np.empty(len(every), np.int64)
@@ -226,11 +220,6 @@ def _runs(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def located(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> list[np.ndarray]:
     """For each block of a chunk, which words lie under a confirmed window; `shared` are the places that other chunks have."""
-    return searched(chunk, shared, sent)[0]
-
-
-def searched(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """What located() gives, and those of `shared` at which a window was not confirmed."""
     size = chunk.size
     wanted = chunk.twice.copy()
     wanted[shared] = True
@@ -249,8 +238,6 @@ def searched(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> tuple[list[
     numbers = [Shard(known, size).numbers(b[1]) for b in chunk.blocks]
     passages = Shard(known, size).numbers(foreign.hashes())
     changes = [np.zeros(len(b[1]) + 1, np.int64) for b in chunk.blocks]
-    lows = np.cumsum([0] + [len(b[2]) for b in chunk.blocks])
-    unsure = [np.zeros(0, np.int64)]  # places
     for stride in (size, 1):
         if not any(len(first) for first, _ in todo):
             break
@@ -260,7 +247,7 @@ def searched(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> tuple[list[
             starts = np.repeat(first, n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             run = np.concatenate([np.repeat(np.arange(len(n)), n), np.arange(len(n))])
             starts = np.concatenate([starts, last])
-            cuts.append((run, starts, shard.add(number, starts)))
+            cuts.append((run, shard.add(number, starts)))
         shard.automaton.make_automaton()
         count = np.zeros(len(shard.automaton), np.int64)
         count[shard.stream(passages, foreign.doc)[1]] = 2
@@ -273,18 +260,10 @@ def searched(chunk: Chunk, shared: np.ndarray, sent: list[bytes]) -> tuple[list[
             hit = starts[count[patterns] > 1]
             np.add.at(changes[k], hit, 1)
             np.add.at(changes[k], hit + size, -1)
-        for k, (run, starts, pattern) in enumerate(cuts):
+        for k, (run, pattern) in enumerate(cuts):
             again = np.unique(run[count[pattern] < 2])
             todo[k] = todo[k][0][again], todo[k][1][again]
-            if stride == 1:
-                unsure.append(chunk.back[lows[k] + np.searchsorted(chunk.blocks[k][2], starts[count[pattern] < 2])])
-    return [np.cumsum(x[:-1]) > 0 for x in changes], np.intersect1d(np.concatenate(unsure), shared)
-
-
-def runs_of(flags: list[np.ndarray]) -> bytes:
-    """(first, end) of the runs of flagged words, numbered through the blocks."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], *flags, [False]]).astype(np.int8)))
-    return edges.astype("<i4").tobytes()
+    return [np.cumsum(x[:-1]) > 0 for x in changes]
 
 
 def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -295,28 +274,39 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = {c: f"carry_{k}" for k, c in enumerate(carry)}
     rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in names.items()))
 
-    def sorted_texts(table: pa.Table) -> tuple[pa.Table, list[str | None]]:
-        texts = table.column("text").to_pylist()
-        order = sorted(range(len(texts)), key=lambda k: texts[k] or "")
-        return table.take(pa.array(order, pa.int64())), [texts[k] for k in order]
-
-    def chunk_of(table: pa.Table) -> Chunk:
-        release()
-        return Chunk(sorted_texts(table)[1], size, buckets, bits)
-
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        chunk = chunk_of(table)
+        release()
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
         at = chunk.bounds
         full = np.flatnonzero(np.diff(at))
         return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([pack48(chunk.places[at[b] : at[b + 1]]) for b in full], pa.binary())})
 
+    def name(key: tuple, table: pa.Table) -> pa.Table:
+        release()
+        found = shared([unpack48(x.as_py()) for x in table.column("packed")])
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "places": pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())})
+
+    def describe(key: tuple, table: pa.Table, named: pa.Table) -> pa.Table:
+        release()
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
+        out: list[list] = [[], [], [], [], []]
+        for bucket, packed in zip(named.column("bucket").to_pylist(), named.column("places")):
+            at = chunk.bounds[bucket]
+            place, two, low = chunk.fine(np.frombuffer(packed.as_buffer(), "<i4").astype(np.int64) + at)
+            for column, value in zip(out, (bucket, key[0].as_py(), (place - at).astype("<i4").tobytes(), two.astype("<u8").tobytes(), low.astype("<u2").tobytes())):
+                column.append(value)
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "places", "two", "low"])
+
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         release()
-        found = partners([unpack48(x.as_py()) for x in table.column("packed")], table.column("chunk").to_pylist())
-        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array([x.tobytes() for x in found], pa.binary())})
+        places, two, low = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("places", "<i4"), ("two", "<u8"), ("low", "<u2")))
+        found = partners(two, table.column("chunk").to_pylist(), low)
+        pairs = [np.stack([p[x[:, 0]], x[:, 1]], axis=1) for p, x in zip(places, found)]
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array([x.astype(np.int32).tobytes() for x in pairs], pa.binary())})
 
     def pass_on(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = chunk_of(table)
+        release()
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
         at, places, targets = chunk.bounds, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("pairs")):
             pairs = np.frombuffer(packed.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
@@ -335,91 +325,32 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out[2].append(None)
         return pa.table({"chunk": pa.array(out[0], pa.int64()), "passages": pa.array(out[1], pa.binary()), "shared": pa.array(out[2], pa.binary())})
 
-    def locate(key: tuple, table: pa.Table, sent: pa.Table) -> pa.Table:
-        chunk = chunk_of(table)
-        passages = {p: None for x in sent.column("passages").to_pylist() if x is not None for p in x.split(b"\n")}
-        shared = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4") for x in sent.column("shared").to_pylist() if x is not None)]).astype(np.int64)
-        flags, unsure = searched(chunk, shared, list(passages))
-        bucket = np.searchsorted(chunk.bounds, unsure, side="right") - 1
-        asked = np.unique(bucket)
-        packed = [runs_of(flags), *(pack48(chunk.places[unsure[bucket == b]]) for b in asked.tolist())]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(packed), pa.int64()), "bucket": pa.array([-1, *asked.tolist()], pa.int32()), "packed": pa.array(packed, pa.binary())})
-
-    def ask(key: tuple, unsure: pa.Table, sent: pa.Table) -> pa.Table:
-        """The unsure places that each chunk of a bucket has."""
-        asked = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack48(x) for x in unsure.column("packed").to_pylist())]))
-        own = [unpack48(x) for x in sent.column("packed").to_pylist()]
-        found = [np.intersect1d(x, asked) for x in own]
-        some = [k for k, x in enumerate(found) if len(x)]
-        return pa.table({"chunk": pa.array([sent.column("chunk")[k].as_py() for k in some], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(some), pa.int32()), "packed": pa.array([pack48(found[k]) for k in some], pa.binary())})
-
-    def tell(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-        """The words of a chunk's windows at the places asked for, with how often it has them."""
-        if not asked.num_rows or not table.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "words": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-        chunk = chunk_of(table)
-        wanted = chunk.flags(list(zip(asked.column("bucket").to_pylist(), asked.column("packed").to_pylist())))
-        found = Counter(words for _, _, words in chunk.windows(wanted))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(found), pa.int64()), "words": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
-
-    def relocate(key: tuple, table: pa.Table, asked: pa.Table, words: set[bytes]) -> bytes:
-        chunk = chunk_of(table)
-        wanted = chunk.flags(list(zip(asked.column("bucket").to_pylist(), asked.column("packed").to_pylist())))
-        changes = [np.zeros(len(b[1]) + 1, np.int64) for b in chunk.blocks]
-        for k, start, own in chunk.windows(wanted):
-            if own in words:
-                changes[k][start] += 1
-                changes[k][start + size] -= 1
-        return runs_of([np.cumsum(x[:-1]) > 0 for x in changes])
-
-    def settle(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
-        """The runs under the windows that others confirmed; `told` has what was asked and the confirmed words."""
-        words = {w for w in told.column("words").to_pylist() if w is not None}
-        if not words or not table.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
-        asked = told.filter(pc.is_valid(told.column("bucket")))
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bucket": pa.array([-1], pa.int32()), "packed": pa.array([relocate(key, table, asked, words)], pa.binary())})
-
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     schema = T.StructType([T.StructField("id", kinds[id_col]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(T.StructField(n, kinds[c]) for c, n in names.items())])
 
-    def remove(table: pa.Table, found: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, sent: pa.Table) -> pa.Table:
         release()
-        table, texts = sorted_texts(table)
-        runs = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, "<i4") for x in found.column("packed").to_pylist())]).reshape(-1, 2).astype(np.int64)
-        n_words, n_removed, kept, low = [], [], [], 0
-        for words in cut(texts):
-            size_ = len(words.starts)
-            change = np.zeros(size_ + 1, np.int64)
-            own = np.clip(runs - low, 0, size_)
-            np.add.at(change, own[:, 0], 1)
-            np.add.at(change, own[:, 1], -1)
-            low += size_
-            gone = np.cumsum(change[:-1]) > 0
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
+        passages = {p: None for x in sent.column("passages").to_pylist() if x is not None for p in x.split(b"\n")}
+        shared = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4") for x in sent.column("shared").to_pylist() if x is not None)]).astype(np.int64)
+        n_words, n_removed, kept = [], [], []
+        for (words, *_), gone in zip(chunk.blocks, located(chunk, shared, list(passages))):
             totals = np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])
             for d, n in enumerate(words.counts.tolist()):
                 a = int(words.first[d])
                 removed = int(totals[a + n] - totals[a])
-                left = words.raw[words.offsets[d] : words.offsets[d + 1]].split()
+                own = words.raw[words.offsets[d] : words.offsets[d + 1]].split()
                 if removed:
-                    left = [w for w, g in zip(left, gone[a : a + n].tolist()) if not g]
+                    own = [w for w, g in zip(own, gone[a : a + n].tolist()) if not g]
                 n_words.append(n)
                 n_removed.append(removed)
-                kept.append(b" ".join(left))
+                kept.append(b" ".join(own))
         return pa.table([table.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(table.column(n) for n in names.values())], names=schema.names)
 
-    by_chunk, places = rows.groupBy("chunk"), "chunk long, bucket int, packed binary"
-    sent = by_chunk.applyInArrow(send, "bucket int, chunk long, packed binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, pairs binary")
-    passages = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary, shared binary")
-    found = staged(by_chunk.cogroup(passages.groupBy("chunk")).applyInArrow(locate, places), "runs")
-    runs, unsure = found.where("bucket < 0"), found.where("bucket >= 0")
-    if not unsure.isEmpty():
-        asked = staged(unsure.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(ask, places), "asked")
-        told = staged(by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(tell, "chunk long, words binary, n long"), "told")
-        twice = told.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1").select("words")
-        sure = told.select("chunk", "words").join(twice, "words").select("chunk", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("packed"), "words")
-        both = asked.withColumn("words", F.lit(None).cast("binary")).select("chunk", "bucket", "packed", "words").unionByName(sure)
-        runs = runs.unionByName(staged(by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(settle, places), "settled"))
-    out = by_chunk.cogroup(runs.groupBy("chunk")).applyInArrow(remove, schema)
+    sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
+    named = sent.groupBy("bucket").applyInArrow(name, "bucket int, chunk long, places binary")
+    fine = rows.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(describe, "bucket int, chunk long, places binary, two binary, low binary")
+    answers = fine.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, pairs binary")
+    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary, shared binary")
+    out = rows.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in names.items()))

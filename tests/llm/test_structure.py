@@ -283,12 +283,3 @@ def test_phrases_lose_no_word_to_a_hash(spark, monkeypatch, bits):
     got = {r["doc_id"]: r for r in phrases.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r["n_removed"] for k, r in got.items()} == {k: 48 if k is None or k < 40 or k == 42 else 0 for k, _ in rows}
     assert all(got[k]["kept"] == " ".join(t.replace(shared[k % 4], " ").split()) for k, t in rows[:40])
-
-
-def test_phrases_ask_again_only_where_a_hash_met_others(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(phrases, "CHUNK", 700)
-    monkeypatch.setattr(phrases, "staged", lambda df, name, own=phrases.staged: asked.append(name) or own(df, name))
-    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 80))) for k in range(0, 400, 20)]
-    phrases.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert asked == ["runs"]
