@@ -1,12 +1,14 @@
 """Spelling: fuzzy joins, correction decisions, splits, joins and evaluation, for batches of questions.
 
-Candidates come from equi-joins: on words with up to two letters left out,
-which all words within two edits share, on the sound, and from the language
-model's own predictions. The cost UDF runs on those pairs only.
+Candidates come from equi-joins: on words with a few letters left out, which
+all words within the cost share (channel.Signature), on the sound, and from the
+language model's own predictions. The cost UDF runs on those pairs only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +20,35 @@ from corpusloom.session import staged
 
 MOST = 4.0
 KEEP = 64
+KEYS = 50_000  # confusion counts that a task is given
 BETA = 1.5
 GAIN, NONWORD = 2.5, 0.6
 MERGE, LONGEST = 8.0, 24
 OOV = -20.72326583694641  # fixed value: ln(1e-9)
 
 
-def neighbours(typed: DataFrame, vocab: DataFrame, most: float = MOST, limit: int = KEEP) -> DataFrame:
-    """(typed, w, cost): vocabulary words whose key cost, or else sound cost, is `most` or less; the cheapest `limit`."""
+def near(typed: DataFrame, vocab: DataFrame, most: float = MOST, costs: C.Confusion | None = None, sound: bool = True) -> DataFrame:
+    """(typed, w, cost): every vocabulary word whose key cost, or with `sound` else its sound cost, is `most` or less, by the keyboard's or by learned costs."""
+    forms = C.forms_by(costs, most)
     asked = typed.select("typed").distinct()
-    by_form = asked.select("typed", F.explode(C.deletes_udf("typed")).alias("form")).join(vocab.select("w", F.explode(C.deletes_udf("w")).alias("form")), "form").select("typed", "w")
-    by_sound = asked.withColumn("key", C.phonetic_udf("typed")).join(vocab.withColumn("key", C.phonetic_udf("w")), "key").where("key <> ''").select("typed", "w")
-    pairs = by_form.unionByName(by_sound).distinct()
-    cost = F.least(C.weighted_udf("typed", "w"), C.phonetic_cost_udf("typed", "w"))
-    found = pairs.withColumn("cost", F.round(cost, 9)).where(F.col("cost") <= most)
+    pairs = asked.select("typed", F.explode(forms("typed")).alias("form")).join(vocab.select("w", F.explode(forms("w")).alias("form")), "form").select("typed", "w")
+    cost = C.cost_by(costs, most)("typed", "w")
+    if sound:
+        by_sound = asked.withColumn("key", C.phonetic_udf("typed")).join(vocab.withColumn("key", C.phonetic_udf("w")), "key").where("key <> ''").select("typed", "w")
+        pairs, cost = pairs.unionByName(by_sound), F.least(cost, C.phonetic_cost_udf("typed", "w"))
+    return pairs.distinct().withColumn("cost", F.round(cost, 9)).where(F.col("cost") <= most)
+
+
+def neighbours(typed: DataFrame, vocab: DataFrame, most: float = MOST, limit: int = KEEP, costs: C.Confusion | None = None) -> DataFrame:
+    """The cheapest `limit` of near() for each typed word."""
     order = Window.partitionBy("typed").orderBy("cost", "w")
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
+    return near(typed, vocab, most, costs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
+
+
+def learned_costs(rows: DataFrame, keys: int = KEYS) -> C.Confusion:
+    """Costs from confusion counts (kind, key, n), for a closure of bounded size: the `keys` counts that were seen most."""
+    top = rows.select("kind", "key", "n").orderBy(F.desc("n"), "kind", "key").limit(keys)
+    return C.Confusion(Counter({(r["kind"], r["key"]): r["n"] for r in top.collect()}))
 
 
 def completions(prefixes: DataFrame, vocab: DataFrame, limit: int = 400) -> DataFrame:
@@ -67,13 +82,13 @@ def _lm(counts: ngram.Counts, rows: DataFrame, word: str, name: str, context: bo
     return rows.join(found, same, "left").drop("lm_2", "lm_1", "lm_w")
 
 
-def candidates(counts: ngram.Counts, asked: DataFrame, k: int = 32, beta: float = BETA) -> DataFrame:
+def candidates(counts: ngram.Counts, asked: DataFrame, k: int = 32, beta: float = BETA, costs: C.Confusion | None = None) -> DataFrame:
     """(query_id, w, cost, lm, post, rank) for asked(query_id, typed, w2, w1): the k best by ln P - beta * cost."""
     vocab = counts.uni.select("w")
-    near = asked.join(neighbours(asked, vocab).select("typed", "w"), "typed").select("query_id", "w")
+    near = asked.join(neighbours(asked, vocab, costs=costs).select("typed", "w"), "typed").select("query_id", "w")
     told = ngram.predict(counts, asked, max(4 * k, 40)).select("w2", "w1", "w")
     told = asked.alias("q").join(told.alias("t"), F.expr("q.w2 <=> t.w2 and q.w1 <=> t.w1")).select("query_id", "t.w")
-    pairs = near.unionByName(told).distinct().join(asked, "query_id").withColumn("cost", F.round(C.align_udf("typed", "w"), 9)).where(F.col("cost") <= MOST)
+    pairs = near.unionByName(told).distinct().join(asked, "query_id").withColumn("cost", F.round(C.cost_by(costs, MOST, True)("typed", "w"), 9)).where(F.col("cost") <= MOST)
     scored = _lm(counts, staged(pairs, "candidates"), "w", "lm").withColumn("post", F.col("lm") - beta * F.col("cost"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("post", 9)), "w")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -91,11 +106,12 @@ def peers(counts: ngram.Counts, asked: DataFrame) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("query_id", "typed", "w2", "w1", "w", "cost", "lm")
 
 
-def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta: float = BETA, threshold: float = GAIN, lexicon: DataFrame | None = None, split: bool = True) -> DataFrame:
+def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta: float = BETA, threshold: float = GAIN, lexicon: DataFrame | None = None, split: bool = True, costs: C.Confusion | None = None) -> DataFrame:
     """(query_id, correct, from, to, reason) for asked(query_id, token, w2, w1); the first rule that fits decides.
 
     lexicon(w) holds real words that the model may lack; those, and words with a
-    stem that model or lexicon has, are left as they are.
+    stem that model or lexicon has, are left as they are. costs are those learned
+    from the typist's own corrections.
     """
     from corpusloom.operators.predict import suggest_split
 
@@ -105,7 +121,7 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
     real = asked.join(vocab.select(F.col("w").alias("typed"), F.lit(True).alias("real")), "typed", "left").withColumn("real", F.coalesce("real", F.lit(False)))
     base = _lm(counts, real, "typed", "lm_typed").withColumn("typed_post", F.when(F.col("real"), F.col("lm_typed")).otherwise(F.lit(OOV)))
     base = staged(base, "decide-base")
-    pool = candidates(counts, asked.select("query_id", "typed", "w2", "w1"), beta=beta).select("query_id", "w", "post")
+    pool = candidates(counts, asked.select("query_id", "typed", "w2", "w1"), beta=beta, costs=costs).select("query_id", "w", "post")
     others = peers(counts, base.where("real").select("query_id", "typed", "w2", "w1")).select("query_id", "w", (F.col("lm") - beta * F.col("cost")).alias("post"))
     pool = pool.unionByName(others).groupBy("query_id", "w").agg(F.max("post").alias("post")).join(base.select("query_id", "typed", "real", "typed_post"), "query_id")
     close = F.col("real") | (F.col("w") == F.col("typed")) | (C.structural_udf("typed", "w") <= X.edit_budget(F.length("typed")))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from corpusloom.functions import lists as L
 from corpusloom.functions import markup as M
 from corpusloom.functions import text as X
+from corpusloom.operators import grams
+from corpusloom.session import staged
 
 SEGMENT = T.StructType([T.StructField(n, k) for n, k in (("from", T.IntegerType()), ("to", T.IntegerType()), ("anchor", T.IntegerType()), ("text", T.StringType()), ("kind", T.StringType()), ("heading", T.StringType()))])
 SPAN = T.StructType([T.StructField(n, k) for n, k in (("from", T.IntegerType()), ("to", T.IntegerType()), ("text", T.StringType()), ("target", T.StringType()))])
@@ -27,17 +29,29 @@ def sections(notes: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     return notes.select(id_col, F.explode(segments_udf(text_col)).alias("s")).select(id_col, "s.*")
 
 
-def titles(notes: DataFrame, id_col: str, title_col: str) -> DataFrame:
-    """(phrase, target): lower-cased titles of three characters or more that are no number; the first note claims one."""
-    named = notes.where((F.length(title_col) >= 3) & ~F.col(title_col).rlike(r"^\d+([.\-/]\d+)*\z"))
-    order = Window.partitionBy("phrase").orderBy(id_col)
-    return named.select(F.col(id_col), F.lower(title_col).alias("phrase"), F.col(title_col).alias("target")).withColumn("r", F.row_number().over(order)).where("r = 1").select("phrase", "target")
+def titles(notes: DataFrame, id_col: str, title_col: str, alias_col: str | None = None) -> DataFrame:
+    """(phrase, target, display): what names a note, in lower case: its title, unless that is a number, and its aliases.
+
+    Names have three characters or more. Notes claim them in the order of their
+    ids, title first; target is the note's title and display the name itself. A note
+    without a title has no names.
+    """
+    own = [F.struct(F.lit(0).alias("place"), F.col(title_col).alias("display"))]
+    names = F.filter(F.array(*own), lambda x: ~x["display"].rlike(r"^\d+([.\-/]\d+)*\z"))
+    if alias_col:
+        names = F.concat(F.coalesce(names, F.array().cast("array<struct<place:int,display:string>>")), F.coalesce(F.transform(alias_col, lambda x, k: F.struct((k + 1).alias("place"), x.alias("display"))), F.array().cast("array<struct<place:int,display:string>>")))
+    listed = notes.select(F.col(id_col).alias("id"), F.col(title_col).alias("target"), F.explode(names).alias("x")).where((F.length("x.display") >= 3) & F.col("target").isNotNull())
+    order = Window.partitionBy("phrase").orderBy("id", "place", "target")
+    first = listed.select("id", "x.place", F.lower("x.display").alias("phrase"), "target", "x.display").withColumn("r", F.row_number().over(order)).where("r = 1")
+    return first.select("phrase", "target", "display")
 
 
 def search_titles(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query, target, rank): titles that contain a query; those that begin with it first. Queries are a small list."""
-    pairs = index.join(F.broadcast(queries), F.col("phrase").contains(F.lower("query")))
-    one = pairs.groupBy("query", "target").agg(F.min("phrase").alias("phrase"))
+    """(query, target, rank): titles that contain a query; those that begin with it first. An empty query is in all titles."""
+    own = queries.where("query is not null").select("query", F.lower("query").alias("sought")).distinct()
+    found = grams.containing(grams.lists(index, "phrase"), "phrase", own.select("sought").distinct(), "sought")
+    any_ = index.select("target").distinct().orderBy(F.lower("target"), "target").limit(limit).join(own.where("sought = ''").select("query"))  # one query at most
+    one = found.join(own, "sought").select("query", "target").unionByName(any_.select("query", "target")).distinct()
     order = Window.partitionBy("query").orderBy(F.when(F.lower("target").startswith(F.lower("query")), 0).otherwise(1), F.lower("target"), "target")
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "target", "rank")
 
@@ -101,7 +115,8 @@ def tag_popup(tf: DataFrame, counts: DataFrame, applied: DataFrame, rarity: Data
     its letters in order. Notes meet only tags that they have a hit for, and
     the best tags of their query besides: as many as can be shown or applied.
     """
-    letters = F.array_join(F.transform(F.filter(F.split(F.lower("query"), ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), ".*")
+    in_order = lambda q: F.array_join(F.transform(F.filter(F.split(q, ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), ".*")
+    letters = in_order(F.lower("query"))
     named = counts.where(X.is_valid_tag("tag")).withColumn("leaf", F.regexp_extract("tag", r"([^/]*)\z", 1))
     named = named.join(rarity.select(F.col("w").alias("leaf"), "rarity"), "leaf", "left").withColumn("rarity", F.coalesce("rarity", F.lit(0.5)))
     begins = lambda c: F.col(c).startswith(F.lower("query"))
@@ -109,8 +124,13 @@ def tag_popup(tf: DataFrame, counts: DataFrame, applied: DataFrame, rarity: Data
     fits = F.expr("tag rlike letters") | F.expr("leaf rlike letters")
     own = asked.withColumn("letters", letters)
     most = existing + (applied.groupBy(id_col).count().agg(F.max("count")).first()[0] or 0)
-    queries = own.select("query", "letters").distinct()  # what is typed is a few letters
-    general = queries.join(F.broadcast(named) if named.count() <= 100_000 else named, fits).withColumn("score", match * 0.5 * F.col("rarity") * F.log(F.col("n") + 2))
+    queries = own.where("query is not null").select("query", F.lower("query").alias("sought")).distinct()
+    named = staged(named, "tags")
+    alike = F.regexp_like("tag", in_order(F.col("sought"))) | F.regexp_like("leaf", in_order(F.col("sought")))
+    general = grams.containing(grams.lists(named, "tag", (1,)), "tag", queries.select("sought").distinct(), "sought", (1,), alike).join(queries, "sought").drop("sought")
+    score = match * 0.5 * F.col("rarity") * F.log(F.col("n") + 2)
+    first = named.withColumn("query", F.lit("")).orderBy(F.desc(F.round(score, 9)), "tag").limit(most)
+    general = general.unionByName(first.join(queries.where("sought = ''").select("query"), "query"), allowMissingColumns=True).withColumn("score", score)
     general = general.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= most).select("query", "tag", "leaf", "n", "rarity")
     terms = tf.select(id_col, F.col("term"), "tf")
     hit = named.select("tag", "leaf", "n", "rarity", F.explode(F.array("tag", "leaf")).alias("term")).join(terms, "term").groupBy(id_col, "tag", "leaf", "n", "rarity").agg(F.sum("tf").alias("hits"))

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import lists as L
-from corpusloom.session import staged
 from corpusloom.functions import text as X
+from corpusloom.operators.cells import nearest
 from corpusloom.operators.ngram import held
+from corpusloom.session import staged
 
-BLOCK = 2048  # query vectors broadcast at a time
 SAMPLE, COMPONENTS, ITERATIONS = 3000, 2, 12
 PAIRS = 4000
+LIST = 50_000  # rows of a term to a part
 
 
 def term_frequency(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -42,6 +40,43 @@ def sparse_cosine(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
     return pairs.groupBy(a_id, b_id).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+def sparse_nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, k: int) -> DataFrame:
+    """(a_id, b_id, cosine, rank): the k rows of b that share a term with each of a and have the largest cosine, by nine digits and then b_id.
+
+    a(a_id, term, weight) and b(b_id, term, weight) have unit length. A term adds
+    at most its weight times the largest in b. Each row of a first meets the k
+    rows in which its terms weigh most; the k-th cosine of those is its bar. Its
+    terms, from the one that adds least, are then left out as long as all that
+    are left out can't reach the bar together: what has none but these is too far.
+    Only the lists of the other terms are read, long ones in parts.
+    """
+    a = staged(a.select(F.col(a_id).alias("a"), "term", F.col("weight").alias("wa")), "sparse-asked")
+    b = b.select(F.col(b_id).alias("b"), "term", F.col("weight").alias("wb"))
+    terms = staged(b.join(a.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"), F.max("wb").alias("most")), "sparse-terms")
+    own = b.join(terms.select("term"), "term", "left_semi")
+    heavy = own.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("wb"), "b"))).where(F.col("r") <= k).select("term", "b")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """The cosines of distinct pairs (a, b); (b, term) is a row each, so no list is gathered."""
+        asked = pairs.join(a, "a").select("a", "b", "term", "wa")
+        return asked.join(own, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+
+    adds = a.join(terms, "term").withColumn("adds", F.col("wa") * F.col("most"))
+    # a row's heaviest terms give it more than enough rows for a bar; the first of them are tried
+    tried = adds.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("adds"), "term"))).where("r <= 4").select("a", "term")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
+    first = scored(tried.join(heavy, "term").select("a", "b").distinct()).withColumn("r", F.row_number().over(order))
+    bars = first.where(F.col("r") == k).select("a", F.col("cosine").alias("bar"))
+    below = F.sum("adds").over(Window.partitionBy("a").orderBy("adds", "term"))
+    essential = adds.join(bars, "a", "left").withColumn("below", below).where(F.col("bar").isNull() | (F.col("below") >= F.col("bar") - 1e-8))
+    essential = staged(essential.select("a", "term", F.ceil(F.col("n") / LIST).cast("int").alias("parts")), "sparse-essential")
+    asked = essential.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "term", "part")
+    lists = own.select("b", "term").join(essential.select("term", "parts").distinct(), "term").select("b", "term", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    pairs = staged(asked.join(lists, ["term", "part"]).select("a", "b").distinct(), "sparse-pairs")
+    found = scored(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select(F.col("a").alias(a_id), F.col("b").alias(b_id), "cosine", "rank")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -78,52 +113,6 @@ def group_vectors(vectors: DataFrame, group_col: str, vector_col: str) -> DataFr
     return with_unit(whole, "vec", F.col("v")).select(group_col, "vec")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, cosine, rank): exact nearest neighbours but the row itself, a block of queries at a time.
-
-    Each task keeps the k best of every query it has seen, so what is shuffled
-    is k rows per query and task; a block bounds what is broadcast.
-    """
-    spark = vectors.sparkSession
-    found = None
-    rows: list = []
-
-    def block(part: list) -> DataFrame:
-        ids = np.array([r[0] for r in part], np.int64)
-        q = np.array([r[1] for r in part], np.float64)
-        q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, unit_q = shared.value
-            best_s, best_i = np.full((len(own), k), -np.inf), np.full((len(own), k), -1, np.int64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part_ = batch.slice(at, 1024)
-                    these = np.asarray(part_.column(0))
-                    x = np.asarray(part_.column(1).flatten(), np.float64).reshape(len(these), -1)
-                    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                    s = np.round(unit_q @ x.T, 9)
-                    s[own[:, None] == these[None, :]] = -np.inf
-                    s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.tile(these, (len(own), 1))], axis=1)
-                    top = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-            good = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k).reshape(-1, k)[good]), pa.array(best_i[good]), pa.array(best_s[good])], ["query_id", "id", "cosine"])
-
-        return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "query_id long, id long, cosine double")
-
-    for row in queries.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).toLocalIterator():
-        rows.append(row)
-        if len(rows) == BLOCK:
-            found = block(rows) if found is None else found.unionByName(block(rows))
-            rows = []
-    if rows or found is None:
-        found = block(rows) if found is None else found.unionByName(block(rows))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def principal_components(vectors: DataFrame, id_col: str, vector_col: str, k: int = COMPONENTS) -> np.ndarray:
     """Leading directions by power iteration with deflation, on SAMPLE vectors by hash of their id."""
     rows = vectors.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(SAMPLE).select(vector_col).collect()

@@ -36,7 +36,14 @@ def _titles(spark, sf_dir):
 
 
 def title_index(spark, sf_dir):
-    return K.titles(_titles(spark, sf_dir), "id", "title")
+    return K.titles(_titles(spark, sf_dir), "id", "title").select("phrase", "target")
+
+
+def alias_index(spark, sf_dir):
+    """Benchmark items as notes: the first three tokens are the title, the fifth and sixth an alias and the seventh another."""
+    words = X.tokenize_words("text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 3), " ").alias("title"), F.array(F.array_join(F.slice(words, 5, 2), " "), F.initcap(F.get(words, F.lit(6)))).alias("aliases"))
+    return K.titles(rows, "item_id", "title", "aliases")
 
 
 _TOKS = S.text(r"[A-Za-z][A-Za-z'’.-]*[A-Za-z]|[A-Za-z]")
@@ -45,6 +52,12 @@ TITLES = f"""tt AS (SELECT item_id, list_filter(list_transform(regexp_extract_al
     idx AS (SELECT lower(title) AS phrase, arg_min(title, id) AS target FROM titles WHERE length(title) >= 3 AND NOT regexp_full_match(title, '[0-9]+([.\\-/][0-9]+)*') GROUP BY 1)"""
 
 
+ALIASES = f"""WITH {TITLES.split(",\n    titles AS")[0]}, n AS (SELECT item_id, 0 AS place, array_to_string(ts[1:3], ' ') AS target, array_to_string(ts[1:3], ' ') AS display FROM tt
+    UNION ALL SELECT item_id, 1, array_to_string(ts[1:3], ' '), array_to_string(ts[5:6], ' ') FROM tt UNION ALL SELECT item_id, 2, array_to_string(ts[1:3], ' '), upper(ts[7][1]) || lower(substr(ts[7], 2)) FROM tt),
+    r AS (SELECT lower(display) AS phrase, target, display, row_number() OVER (PARTITION BY lower(display) ORDER BY item_id, place, target) AS r FROM n WHERE length(display) >= 3 AND NOT (place = 0 AND regexp_full_match(display, '[0-9]+([.\\-/][0-9]+)*')))
+    SELECT phrase, target, display FROM r WHERE r = 1"""
+
+
 def search_titles(spark, sf_dir):
     asked = spark.createDataFrame([("th",), ("on",), ("E",), ("qu",)], "query string")
     found = K.search_titles(title_index(spark, sf_dir), asked, 10)
@@ -228,6 +241,7 @@ SELECT b.doc_id, item_id, anchor FROM best b LEFT JOIN a ON a.doc_id = b.doc_id"
 QUERIES = {
     "note_sections": note_sections,
     "title_index": title_index,
+    "alias_index": alias_index,
     "search_titles": search_titles,
     "note_links": note_links,
     "tag_counts": tag_counts,
@@ -245,6 +259,7 @@ QUERIES = {
 
 SQL = {
     "title_index": f"WITH {TITLES} SELECT phrase, target FROM idx",
+    "alias_index": ALIASES,
     "search_titles": SEARCH,
     "tag_counts": f"WITH {TAGS} SELECT tag, n FROM counts",
     "suggest_tags": SUGGEST,

@@ -43,6 +43,12 @@ def sparse_cosine(spark, sf_dir):
     return V.sparse_cosine(asked, docs, "item_id", "doc_id").select("item_id", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
+def sparse_nearest(spark, sf_dir):
+    """The five documents whose words are most like those of each benchmark item."""
+    docs, asked = _weights(spark, sf_dir)
+    return V.sparse_nearest(asked, docs, "item_id", "doc_id", 5).select("item_id", "doc_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
@@ -168,6 +174,7 @@ QUERIES = {
     "chunk_frequency": lambda spark, sf_dir: V.chunk_frequency(_tf(spark, sf_dir)),
     "tfidf": tfidf,
     "sparse_cosine": sparse_cosine,
+    "sparse_nearest": sparse_nearest,
     "nearest": nearest,
     "centred": centred,
     "group_vectors": group_vectors,
@@ -186,6 +193,7 @@ SQL = {
     "chunk_frequency": f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
     "tfidf": f"WITH {WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
     "sparse_cosine": f"WITH {WEIGHTS} SELECT item_id, doc_id, round(sum(a.weight * b.weight), 6) AS cosine FROM qweights a JOIN weights b USING (term) GROUP BY ALL",
+    "sparse_nearest": f"WITH {WEIGHTS}, p AS (SELECT item_id, doc_id, sum(a.weight * b.weight) AS c FROM qweights a JOIN weights b USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM p) SELECT item_id, doc_id, round(c, 6) AS cosine, rank FROM r WHERE rank <= 5",
     "nearest": NEAREST,
     "centred": CENTRED,
     "group_vectors": GROUPS,

@@ -11,6 +11,7 @@ SOME = ["tokenize_words", "sentence_split", "ngram_bi", "log_prob", "predict_nex
 SOME += ["typed_completions", "insertion_spacing", "caret_context", "edit_guards", "prefix_predictions", "suggestion_menu", "keys_saved", "word_standing", "sequence_scores"]
 SOME += ["tag_popup", "picker_list", "dictionary_listing", "suggest_tags", "dictionary_kept", "packed_predictions", "vocabulary_after_removal", "change_feed", "one_shot_reverts", "accept_streaks"]
 SOME += ["debounced_changes", "debounced_pauses", "live_document_cache", "learned_state", "maintained_lists", "maintained_continuation"]
+SOME += ["alias_index", "search_titles", "sparse_nearest"]
 
 
 def rows(columns, found):
