@@ -70,7 +70,8 @@ class Chunk:
             found.append((one >> np.uint64(64 - bits), two % np.uint64(buckets), two, one.astype(np.uint16)))
             at = to
         one, two, self.two, self.low = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.uint64, np.uint64, np.uint64, np.uint16)))
-        order = np.lexsort((one, two))
+        # one key sorts faster than two, where both fit into it
+        order = np.argsort(two << np.uint64(bits) | one) if buckets <= 1 << (64 - bits) else np.lexsort((one, two))
         one, two = one[order], two[order]
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
@@ -143,6 +144,15 @@ def partners(parts: list[np.ndarray], chunks: list[int], lows: list[np.ndarray]
     return out
 
 
+def steps(places: np.ndarray) -> bytes:
+    """Rising numbers as differences, which compress well."""
+    return np.diff(places, prepend=0).astype("<i4").tobytes()
+
+
+def from_steps(packed: bytes | pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, "<i4").astype(np.int64))
+
+
 def pack48(values: np.ndarray) -> bytes:
     """Numbers below 2**48 in six bytes each."""
     return values.astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
@@ -284,7 +294,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def name(key: tuple, table: pa.Table) -> pa.Table:
         release()
         found = shared([unpack48(x.as_py()) for x in table.column("packed")])
-        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "places": pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())})
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "places": pa.array([steps(x) for x in found], pa.binary())})
 
     def describe(key: tuple, table: pa.Table, named: pa.Table) -> pa.Table:
         release()
@@ -292,26 +302,26 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         out: list[list] = [[], [], [], [], []]
         for bucket, packed in zip(named.column("bucket").to_pylist(), named.column("places")):
             at = chunk.bounds[bucket]
-            place, two, low = chunk.fine(np.frombuffer(packed.as_buffer(), "<i4").astype(np.int64) + at)
-            for column, value in zip(out, (bucket, key[0].as_py(), (place - at).astype("<i4").tobytes(), two.astype("<u8").tobytes(), low.astype("<u2").tobytes())):
+            place, two, low = chunk.fine(from_steps(packed.as_buffer()) + at)
+            for column, value in zip(out, (bucket, key[0].as_py(), steps(place - at), two.astype("<u8").tobytes(), low.astype("<u2").tobytes())):
                 column.append(value)
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "places", "two", "low"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         release()
-        places, two, low = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("places", "<i4"), ("two", "<u8"), ("low", "<u2")))
+        two, low = ([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("two", "<u8"), ("low", "<u2")))
         found = partners(two, table.column("chunk").to_pylist(), low)
-        pairs = [np.stack([p[x[:, 0]], x[:, 1]], axis=1) for p, x in zip(places, found)]
-        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array([x.astype(np.int32).tobytes() for x in pairs], pa.binary())})
+        pairs = [steps(from_steps(x.as_buffer())[k]) + to.astype("<i4").tobytes() for x, (k, to) in zip(table.column("places"), (f.T for f in found))]
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "pairs": pa.array(pairs, pa.binary())})
 
     def pass_on(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         release()
         chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
         at, places, targets = chunk.bounds, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("pairs")):
-            pairs = np.frombuffer(packed.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
-            places.append(pairs[:, 0] + at[bucket])
-            targets.append(pairs[:, 1])
+            pairs = np.frombuffer(packed.as_buffer(), "<i4").reshape(2, -1).astype(np.int64)
+            places.append(np.cumsum(pairs[0]) + at[bucket])
+            targets.append(pairs[1])
         place, target = np.concatenate(places), np.concatenate(targets)
         order = np.argsort(target, kind="stable")
         place, target = place[order], target[order]
