@@ -11,7 +11,7 @@ import pyarrow.orc
 import pytest
 from tokenizers import Tokenizer
 
-from corpusloom.llm import centroids, oracles, orcids, phrases, queries, repair
+from corpusloom.llm import centroids, langid, oracles, orcids, phrases, queries, repair
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -283,3 +283,20 @@ def test_phrases_lose_no_word_to_a_hash(spark, monkeypatch, bits):
     got = {r["doc_id"]: r for r in phrases.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r["n_removed"] for k, r in got.items()} == {k: 48 if k is None or k < 40 or k == 42 else 0 for k, _ in rows}
     assert all(got[k]["kept"] == " ".join(t.replace(shared[k % 4], " ").split()) for k, t in rows[:40])
+
+
+def test_langid_in_blocks_of_languages(spark, monkeypatch):
+    """A dirty column with a thousand languages is dealt to blocks, and blocks change nothing."""
+    rng = random.Random(12)
+    real = {"aa": "bakeli", "bb": "strückö", "cc": "ñoquión"}
+    rows = [(k, " ".join(real[g][: rng.randint(2, 6)] for _ in range(20)), g) for k, g in enumerate(list(real) * 40)]
+    rows += [(1000 + k, f"odd {k}", f"x{k:04d}") for k in range(1000)]
+    rows += [(5000, None, "aa"), (5001, "12 !", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.blocks == -(-len(model.languages) // langid.LANGUAGES) > 1
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 4)) for r in langid.predicted(df, model).collect()}
+    assert all(got[k][0] == g for k, _, g in rows[:120]) and got[5000] == got[5001] == ("und", 0.0) and len(got) == len(rows)
+    monkeypatch.setattr(langid, "LANGUAGES", 5000)
+    whole = langid.fit(df)
+    assert whole.blocks == 1 and {r["doc_id"]: (r["lang_pred"], round(r["score"], 4)) for r in langid.predicted(df, whole).collect()} == got
