@@ -53,10 +53,10 @@ SYMBOLS = 0x10FFFF - 0x800 - 0x100  # code points that can stand for words
 class Chunk:
     """The windows of a chunk's texts and their places: a hash bucket and some bits of a hash.
 
-    fine() has other bits of the windows at a place.
+    fine() has other bits of the windows at a place, where they are kept.
     """
 
-    def __init__(self, texts: list[str | None], size: int, buckets: int, bits: int = BITS, most: int = 1 << 20):
+    def __init__(self, texts: list[str | None], size: int, buckets: int, bits: int = BITS, most: int = 1 << 20, fine: bool = True):
         self.size, self.blocks, found, at = size, [], [], 0
         while at < len(texts):
             to, room = at, most
@@ -69,7 +69,10 @@ class Chunk:
             self.blocks.append((words, hashes, starts))
             found.append((one >> np.uint64(64 - bits), two % np.uint64(buckets), two, one.astype(np.uint16)))
             at = to
-        one, two, self.two, self.low = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.uint64, np.uint64, np.uint64, np.uint16)))
+        one, two = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found)]) for k in (0, 1))
+        if fine:
+            self.two, self.low = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in ((2, np.uint64), (3, np.uint16)))
+        del found
         # one key sorts faster than two, where both fit into it
         order = np.argsort(two << np.uint64(bits) | one) if buckets <= 1 << (64 - bits) else np.lexsort((one, two))
         one, two = one[order], two[order]
@@ -286,7 +289,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         release()
-        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits, fine=False)
         at = chunk.bounds
         full = np.flatnonzero(np.diff(at))
         return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "packed": pa.array([pack48(chunk.places[at[b] : at[b + 1]]) for b in full], pa.binary())})
@@ -316,7 +319,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def pass_on(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits, fine=False)
         at, places, targets = chunk.bounds, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for bucket, packed in zip(answers.column("bucket").to_pylist(), answers.column("pairs")):
             pairs = np.frombuffer(packed.as_buffer(), "<i4").reshape(2, -1).astype(np.int64)
@@ -340,7 +343,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def remove(table: pa.Table, sent: pa.Table) -> pa.Table:
         release()
-        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits)
+        chunk = Chunk(table.column("text").to_pylist(), size, buckets, bits, fine=False)
         passages = {p: None for x in sent.column("passages").to_pylist() if x is not None for p in x.split(b"\n")}
         shared = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4") for x in sent.column("shared").to_pylist() if x is not None)]).astype(np.int64)
         n_words, n_removed, kept = [], [], []
@@ -357,10 +360,25 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 kept.append(b" ".join(own))
         return pa.table([table.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(table.column(n) for n in names.values())], names=schema.names)
 
-    sent = rows.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, packed binary")
-    named = sent.groupBy("bucket").applyInArrow(name, "bucket int, chunk long, places binary")
-    fine = rows.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(describe, "bucket int, chunk long, places binary, two binary, low binary")
-    answers = fine.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, pairs binary")
-    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pass_on, "chunk long, passages binary, shared binary")
-    out = rows.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(remove, schema)
+    def freed(run):
+        """run, with its memory given back once it is done: the next stages' workers are the same."""
+
+        def two(a, b):
+            out = run(a, b)
+            release()
+            return out
+
+        def three(a, b, c):
+            out = run(a, b, c)
+            release()
+            return out
+
+        return three if run.__code__.co_argcount == 3 else two
+
+    sent = rows.groupBy("chunk").applyInArrow(freed(send), "bucket int, chunk long, packed binary")
+    named = sent.groupBy("bucket").applyInArrow(freed(name), "bucket int, chunk long, places binary")
+    fine = rows.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(freed(describe), "bucket int, chunk long, places binary, two binary, low binary")
+    answers = fine.groupBy("bucket").applyInArrow(freed(answer), "bucket int, chunk long, pairs binary")
+    passages = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(freed(pass_on), "chunk long, passages binary, shared binary")
+    out = rows.groupBy("chunk").cogroup(passages.groupBy("chunk")).applyInArrow(freed(remove), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(n).alias(c) for c, n in names.items()))
