@@ -11,7 +11,7 @@ import pyarrow.orc
 import pytest
 from tokenizers import Tokenizer
 
-from corpusloom.llm import centroids, langid, oracles, orcids, phrases, queries, repair
+from corpusloom.llm import centroids, fertility, langid, oracles, orcids, phrases, queries, repair
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -300,3 +300,49 @@ def test_langid_in_blocks_of_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 5000)
     whole = langid.fit(df)
     assert whole.blocks == 1 and {r["doc_id"]: (r["lang_pred"], round(r["score"], 4)) for r in langid.predicted(df, whole).collect()} == got
+
+
+# the first article of the Universal Declaration of Human Rights
+PARAGRAPHS = {
+    "en":"All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de":"Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen.",
+    "fr":"Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+    "es":"Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+    "it":"Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "pt":"Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.",
+    "nl":"Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+    "cs":"Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství.",
+    "pl":"Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr":"Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "vi":"Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.",
+    "fi":"Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "hu":"Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "sw":"Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+    "ru":"Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "el":"Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "ar":"يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح الإخاء.",
+    "he":"כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "hi":"सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "zh":"人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "ja":"すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "ko":"모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "th":"มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+}
+
+
+def test_fertility_keeps_languages(spark):
+    """Running text is kept with its language given, without it and in capitals; random letters are not."""
+    rng = random.Random(1)
+    rows = []
+    for lang, text in PARAGRAPHS.items():
+        words = text.split() if lang not in ("zh", "ja", "th") else [text[k : k + 4] for k in range(0, len(text), 4)]
+        own = " ".join(words[k % len(words)] for k in rng.sample(range(4 * len(words)), 2 * len(words) + 20))
+        rows += [(f"{lang} given", lang, own), (f"{lang} none", None, own), (f"{lang} capitals", lang, own.upper())]
+    noise = lambda pool: " ".join("".join(rng.choice(pool) for _ in range(rng.randint(4, 9))) for _ in range(150))
+    pools = ["bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aBcDeFgHiJkLmNoPqRsTuVwXyZ0189+/", "Ã©¢€™œab"]
+    rows += [(f"noise {k}", None, noise(pool)) for k, pool in enumerate(pools)]
+    df = spark.createDataFrame([(k, lang, text) for k, (_, lang, text) in enumerate(rows)] + [(None, None, None)], "doc_id long, lang string, text string")
+    got = fertility.judged(fertility.measured(df, *queries.FERTILITY))
+    assert got.where("doc_id is null").count() == 1
+    kept = {rows[r["doc_id"]][0]: r["kept"] or r["base_failed"] for r in got.where("doc_id is not null").collect()}
+    assert [k for k, v in kept.items() if v == k.startswith("noise")] == []
