@@ -31,7 +31,12 @@ def near(typed: DataFrame, vocab: DataFrame, most: float = MOST, costs: C.Confus
     """(typed, w, cost): every vocabulary word whose key cost, or with `sound` else its sound cost, is `most` or less, by the keyboard's or by learned costs."""
     forms = C.forms_by(costs, most)
     asked = typed.select("typed").distinct()
-    pairs = asked.select("typed", F.explode(forms("typed")).alias("form")).join(vocab.select("w", F.explode(forms("w")).alias("form")), "form").select("typed", "w")
+
+    def listed(words: DataFrame, name: str) -> DataFrame:
+        own = words.select(name, forms(name).alias("forms"))
+        return own.select(name, F.array_max(F.transform("forms", F.length)).alias(f"{name}_n"), F.explode("forms").alias("form"))
+
+    pairs = listed(asked, "typed").join(listed(vocab, "w"), "form").where(F.abs(F.col("typed_n") - F.col("w_n")) <= C.Signature(costs, most).shift).select("typed", "w")
     cost = C.cost_by(costs, most)("typed", "w")
     if sound:
         by_sound = asked.withColumn("key", C.phonetic_udf("typed")).join(vocab.withColumn("key", C.phonetic_udf("w")), "key").where("key <> ''").select("typed", "w")
@@ -115,7 +120,7 @@ def decide(counts: ngram.Counts, asked: DataFrame, learned: list[str] = (), beta
     """
     from corpusloom.operators.predict import suggest_split
 
-    counts = ngram.Counts(staged(counts.uni, "uni"), staged(counts.bi, "bi"), staged(counts.tri, "tri"))  # they are read many times over
+    counts = counts.stored()  # they are read many times over
     vocab = counts.uni.select("w")
     asked = staged(asked.withColumn("typed", F.lower("token")), "asked")
     real = asked.join(vocab.select(F.col("w").alias("typed"), F.lit(True).alias("real")), "typed", "left").withColumn("real", F.coalesce("real", F.lit(False)))

@@ -53,6 +53,31 @@ class Counts:
     uni: DataFrame
     bi: DataFrame
     tri: DataFrame
+    words: DataFrame | None = None  # what word_table() gives, where it is written beside the counts
+    contexts: DataFrame | None = None
+
+    def stored(self) -> Counts:
+        """The same, written with its tables, unless it is."""
+        if self.words is not None:
+            return self
+        own = Counts(staged(self.uni, "uni"), staged(self.bi, "bi"), staged(self.tri, "tri"))
+        return Counts(own.uni, own.bi, own.tri, staged(own.word_table(), "words"), staged(own.context_table(), "contexts"))
+
+    def word_table(self) -> DataFrame:
+        """(w, n, cont, bi_n, bi_t): a known word's count and left contexts, and the count and kinds of what follows it; nulls for none."""
+        if self.words is not None:
+            return self.words
+        own = self.uni.select("w", F.col("c").alias("n"))
+        after = self.bi.groupBy(F.col("w1").alias("w")).agg(F.sum("c").alias("bi_n"), F.count("*").alias("bi_t"))
+        return own.join(self.continuation(), "w", "full").join(after, "w", "full").where(F.col("n").isNotNull() | (F.col("w") == L.SOS))
+
+    def context_table(self) -> DataFrame:
+        """(w2, w1, tri_n, tri_t): the count and kinds of what follows two words."""
+        return self.contexts if self.contexts is not None else self.tri.groupBy("w2", "w1").agg(F.sum("c").alias("tri_n"), F.count("*").alias("tri_t"))
+
+    def totals(self) -> DataFrame:
+        """One row: n_all, the tokens, and pairs, the distinct bigrams."""
+        return self.word_table().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("bi_t"), F.lit(0)).alias("pairs"))
 
     @property
     def total(self) -> DataFrame:
@@ -97,7 +122,8 @@ def model(docs: DataFrame, text_col: str = "text") -> Counts:
     tri = staged(count(docs, text_col).tri, "tri")
     begun = tri.where((F.col("w2") == L.SOS) & (F.col("w1") == L.SOS)).agg(F.sum("c").alias("c")).where("c is not null")
     pairs = tri.groupBy("w1", "w").agg(F.sum("c").alias("c")).unionByName(begun.select(F.lit(L.SOS).alias("w1"), F.lit(L.SOS).alias("w"), "c"))
-    return Counts(staged(tri.groupBy("w").agg(F.sum("c").alias("c")), "uni"), staged(pairs, "bi"), tri)
+    own = Counts(staged(tri.groupBy("w").agg(F.sum("c").alias("c")), "uni"), staged(pairs, "bi"), tri)
+    return Counts(own.uni, own.bi, own.tri, staged(own.word_table(), "words"), staged(own.context_table(), "contexts"))
 
 
 def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,31 +152,21 @@ def merged(old: DataFrame, new: DataFrame, sign: int = 1, keep: bool = False) ->
     return total.withColumn("c", F.greatest("c", F.lit(0))) if keep else total.where("c > 0")
 
 
-def _unigram(counts: Counts, continuation: bool) -> DataFrame:
-    """(w, p) of known words; the marker is known and has the floor."""
-    if continuation:
-        own, total = counts.continuation().withColumnRenamed("cont", "n"), counts.bi.agg(F.count("*").alias("total"))
-    else:
-        own, total = counts.uni.withColumnRenamed("c", "n"), counts.total.withColumnRenamed("n", "total")
-    return own.join(F.broadcast(total)).select("w", (F.col("n") / F.col("total")).alias("p"))
-
-
 def log_prob(counts: Counts, asked: DataFrame, continuation: bool = False, name: str = "log_prob") -> DataFrame:
     """asked(w2, w1, w) with ln P(w | w2 w1), Witten-Bell smoothed; null contexts are absent.
 
     A word outside the vocabulary has the floor. If w1 is unknown the unigram
     counts even where w2 is known; if only w2 is, the bigram does.
     """
-    known = counts.uni.select("w").unionByName(counts.uni.sparkSession.createDataFrame([(L.SOS,)], "w string"))
-    uni = _unigram(counts, continuation)
-    in_bi = counts.bi.groupBy("w1").agg(F.sum("c").alias("bi_n"), F.count("*").alias("bi_t"))
-    in_tri = counts.tri.groupBy("w2", "w1").agg(F.sum("c").alias("tri_n"), F.count("*").alias("tri_t"))
-    df = asked
-    df = df.join(known.select(F.col("w"), F.lit(True).alias("has_w")), "w", "left")
-    df = df.join(known.select(F.col("w").alias("w1"), F.lit(True).alias("has_w1")), "w1", "left")
-    df = df.join(known.select(F.col("w").alias("w2"), F.lit(True).alias("has_w2")), "w2", "left")
-    df = df.join(uni, "w", "left").join(in_bi, "w1", "left").join(counts.bi.withColumnRenamed("c", "bi_c"), ["w1", "w"], "left")
-    df = df.join(in_tri, ["w2", "w1"], "left").join(counts.tri.withColumnRenamed("c", "tri_c"), ["w2", "w1", "w"], "left")
+    words = counts.word_table()
+    n, total = ("cont", "pairs") if continuation else ("n", "n_all")
+    own = words.select("w", F.col(n).alias("_n"), F.lit(True).alias("has_w"))
+    df = asked.join(F.broadcast(counts.totals().select(F.col(total).alias("_total")))).join(own, "w", "left")
+    df = df.withColumn("p", F.when(F.col("_n").isNotNull(), F.col("_n") / F.col("_total"))).drop("_n", "_total")
+    df = df.join(words.select(F.col("w").alias("w1"), "bi_n", "bi_t", F.lit(True).alias("has_w1")), "w1", "left")
+    df = df.join(words.select(F.col("w").alias("w2"), F.lit(True).alias("has_w2")), "w2", "left")
+    df = df.join(counts.bi.withColumnRenamed("c", "bi_c"), ["w1", "w"], "left")
+    df = df.join(counts.context_table(), ["w2", "w1"], "left").join(counts.tri.withColumnRenamed("c", "tri_c"), ["w2", "w1", "w"], "left")
 
     def blend(hit: Column, total: Column, kinds: Column, lower: Column) -> Column:
         share = total / (total + kinds + L.GUARD)
@@ -249,7 +265,7 @@ def packed_predict(packed: DataFrame, uni: DataFrame, low: float, high: float, c
 
 def beam_phrases(counts: Counts, contexts: DataFrame, words: int = 4, width: int = 4, step_k: int = 8, reward: float = 0.6, min_avg: float = float("-inf")) -> DataFrame:
     """(query_id, phrase, n, log_prob, score, rank) for contexts(query_id, w2, w1): a step per word, all queries at once."""
-    counts = Counts(staged(counts.uni, "uni"), staged(counts.bi, "bi"), staged(counts.tri, "tri"))
+    counts = counts.stored()
     beams = contexts.select("query_id", "w2", "w1", F.array().cast("array<string>").alias("phrase"), F.lit(0.0).alias("total"))
     done = None
     for _ in range(words):

@@ -233,7 +233,7 @@ def _pruned(name: str):
     return run
 
 
-KEPT = f"WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, kept AS (SELECT w FROM uni WHERE c >= 3 UNION ALL SELECT '<s>')"
+KEPT = f"WITH {S.tokens('documents', 'doc_id')}, {S.counts()}, kept AS MATERIALIZED (SELECT w FROM uni WHERE c >= 3 UNION ALL SELECT '<s>')"
 
 
 def delta_merge(spark, sf_dir):
@@ -306,7 +306,7 @@ SQL = {
     "packed_predictions": PACKED_PREDICT,
     "vocabulary_after_removal": REMOVAL,
     "pruned_uni": f"{KEPT} SELECT w, c FROM uni WHERE c >= 3",
-    "pruned_bi": f"{KEPT} SELECT w1, w, c FROM bi WHERE c >= 2 AND w1 IN (FROM kept) AND w IN (FROM kept)",
-    "pruned_tri": f"{KEPT} SELECT w2, w1, w, c FROM tri WHERE c >= 2 AND w2 IN (FROM kept) AND w1 IN (FROM kept) AND w IN (FROM kept)",
+    "pruned_bi": f"{KEPT} SELECT w1, bi.w, c FROM bi JOIN kept a ON a.w = w1 JOIN kept b ON b.w = bi.w WHERE c >= 2",
+    "pruned_tri": f"{KEPT} SELECT w2, w1, tri.w, c FROM tri JOIN kept a ON a.w = w2 JOIN kept b ON b.w = w1 JOIN kept d ON d.w = tri.w WHERE c >= 2",
     "delta_merge": DELTA,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import currency as C
 from corpusloom.functions import markup as M
 from corpusloom.functions import text as X
+from corpusloom.operators import intervals
 from corpusloom.operators import links as K
 from corpusloom.operators import ngram
 from corpusloom.operators import vectors as V
@@ -68,6 +69,28 @@ SEARCH = f"""WITH {TITLES}, q(query) AS (VALUES ('th'), ('on'), ('E'), ('qu')),
 r AS (SELECT query, target, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN starts_with(lower(target), lower(query)) THEN 0 ELSE 1 END, lower(target), target) AS rank FROM p) SELECT * FROM r WHERE rank <= 10"""
 
 
+def span_choice(spark, sf_dir):
+    """Of pairs of words that begin with a vowel, the leftmost longest ones clear of the ten characters from each word with an s."""
+    rows = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "tok"))
+    order = Window.partitionBy("doc_id").orderBy("k")
+    low = F.sum(F.length("tok") + 1).over(order) - F.length("tok") - 1
+    own = rows.select("doc_id", "tok", low.alias("from"), F.lead("tok").over(order).alias("next"))
+    end = F.col("from") + F.length("tok")
+    pairs = own.where(F.col("tok").rlike("^[aeiou]")).select("doc_id", "from", (end + F.coalesce(F.length("next") + 1, F.lit(0))).alias("to"))
+    kept_off = own.where(F.col("tok").startswith("s")).select("doc_id", "from", (F.col("from") + 10).alias("to"))
+    found = intervals.chosen(intervals.clear(pairs, kept_off, "doc_id"), "doc_id")
+    return found.select("doc_id", F.col("from").alias("begin"), F.col("to").alias("stop"))
+
+
+SPANS = """WITH RECURSIVE t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents),
+    o AS (SELECT doc_id, tok, (sum(length(tok) + 1) OVER w - length(tok) - 1)::BIGINT AS lo, lead(tok) OVER (PARTITION BY doc_id ORDER BY k) AS nxt FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT doc_id, lo, lo + length(tok) + coalesce(length(nxt) + 1, 0) AS hi FROM o WHERE regexp_matches(tok, '^[aeiou]')), b AS (SELECT doc_id, lo, lo + 10 AS hi FROM o WHERE starts_with(tok, 's')),
+    c AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND a.lo < b.hi AND b.lo < a.hi)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lo, hi DESC) AS n FROM c),
+    w AS (SELECT doc_id, n, lo, hi, hi AS fin, true AS took FROM n WHERE n = 1 UNION ALL SELECT n.doc_id, n.n, n.lo, n.hi, CASE WHEN n.lo >= w.fin THEN n.hi ELSE w.fin END, n.lo >= w.fin FROM w JOIN n ON n.doc_id = w.doc_id AND n.n = w.n + 1)
+    SELECT doc_id, lo AS begin, hi AS stop FROM w WHERE took"""
+
+
 def note_links(spark, sf_dir):
     found = K.links(_docs(spark, sf_dir), title_index(spark, sf_dir), "doc_id")
     return found.select("doc_id", F.col("from").alias("begin"), F.col("to").alias("stop"), "target")
@@ -242,6 +265,7 @@ QUERIES = {
     "note_sections": note_sections,
     "title_index": title_index,
     "alias_index": alias_index,
+    "span_choice": span_choice,
     "search_titles": search_titles,
     "note_links": note_links,
     "tag_counts": tag_counts,
@@ -260,6 +284,7 @@ QUERIES = {
 SQL = {
     "title_index": f"WITH {TITLES} SELECT phrase, target FROM idx",
     "alias_index": ALIASES,
+    "span_choice": SPANS,
     "search_titles": SEARCH,
     "tag_counts": f"WITH {TAGS} SELECT tag, n FROM counts",
     "suggest_tags": SUGGEST,

@@ -115,6 +115,33 @@ def related_sections(spark, sf_dir):
     return found.select("query_id", "rank", "path", "sec_id", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"))
 
 
+def suggested_links(spark, sf_dir):
+    """The twelve sections to link each hundredth one to: vectors with the words of the document of their id, notes and headings by remainders."""
+    v = _vectors(spark, sf_dir)
+    cen = staged(V.centred(v, "vec_id", "embedding"), "links-cen")
+    levels = {r[0]: r[1] for r in V.floors(V.background(cen, "vec_id", "cen")).collect()}
+    weights = _weights(spark, sf_dir)[0].groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    sections = cen.join(weights, F.col("vec_id") == F.col("doc_id")).select((F.col("vec_id") % 20).alias("path"), (F.col("vec_id") % 7).cast("string").alias("heading"), F.col("vec_id").alias("sec_id"), "cen", "terms")
+    asked = sections.where("sec_id % 100 = 0").select(F.col("sec_id").alias("query_id"), F.col("path").alias("q_path"), F.col("cen").alias("q_cen"), F.col("terms").alias("q_terms"))
+    found = V.suggest_links(asked, sections, levels)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "path", "sec_id", F.round("score", 6).alias("score"))
+
+
+# there are 20 notes, fewer than a shortlist holds, so all sections are looked at
+LINKS = f"""WITH {WEIGHTS}, {LONG}, m AS (SELECT d, avg(v) AS m FROM x GROUP BY d), c AS (SELECT vec_id, d, v - m AS c FROM x JOIN m USING (d)),
+u AS (SELECT vec_id, list(c ORDER BY d) AS e FROM (SELECT vec_id, d, c / sqrt(sum(c * c) OVER (PARTITION BY vec_id)) AS c FROM c) GROUP BY vec_id),
+o AS (SELECT e, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS k FROM u), b AS (SELECT * FROM o WHERE k < 8000),
+sims AS (SELECT list_dot_product(p.e, q.e) AS s FROM b p JOIN b q ON q.k = p.k + 1 WHERE p.k % 2 = 0), rs AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS n FROM sims),
+bar AS (SELECT s AS bar FROM rs WHERE k = least(n - 1, floor(round({L.PERCENTILES[3]}::DOUBLE * n, 9)))),
+sec AS (SELECT vec_id AS sec_id, vec_id % 20 AS path, vec_id % 7 AS heading, e FROM u WHERE vec_id IN (SELECT doc_id FROM weights)),
+sem AS (SELECT q.sec_id AS query_id, s.sec_id, s.path, s.heading, list_dot_product(q.e, s.e) AS sem FROM sec q JOIN sec s ON s.path <> q.path, bar WHERE q.sec_id % 100 = 0 AND list_dot_product(q.e, s.e) >= bar),
+kw AS (SELECT p.query_id, p.sec_id, sum(a.weight * b.weight) AS kw FROM sem p JOIN weights a ON a.doc_id = p.query_id JOIN weights b ON b.doc_id = p.sec_id AND b.term = a.term GROUP BY ALL),
+f AS (SELECT p.*, {L.SEMANTIC_WEIGHT} * sem + {L.KEYWORD_WEIGHT} * coalesce(kw, 0) AS score FROM sem p LEFT JOIN kw ON kw.query_id = p.query_id AND kw.sec_id = p.sec_id),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id, path, heading ORDER BY round(score, 9) DESC, sec_id) AS r FROM f), n AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_id, path ORDER BY round(score, 9) DESC, sec_id) AS r FROM h WHERE r = 1),
+z AS (SELECT query_id, path, sec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sec_id) AS rank FROM n WHERE r <= 2)
+SELECT query_id, rank, path, sec_id, round(score, 6) AS score FROM z WHERE rank <= 12"""
+
+
 def streaks(spark, sf_dir):
     return E.streaks(E.saved(table(spark, sf_dir, "events")))
 
@@ -180,6 +207,7 @@ QUERIES = {
     "group_vectors": group_vectors,
     "background_floors": background_floors,
     "related_sections": related_sections,
+    "suggested_links": suggested_links,
     "streaks": streaks,
     "milestones": milestones,
     "counters": counters,
@@ -198,6 +226,7 @@ SQL = {
     "centred": CENTRED,
     "group_vectors": GROUPS,
     "background_floors": FLOORS,
+    "suggested_links": LINKS,
     "streaks": STREAKS,
     "milestones": MILESTONES,
     "counters": COUNTERS,

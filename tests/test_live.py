@@ -134,6 +134,39 @@ def test_engine(spark):
     assert rows(engine.known_words(words)) == [("bank",)]
 
 
+def test_engine_learns_and_forgets(spark, tmp_path):
+    from dataclasses import replace
+
+    from corpusloom.streaming import personal
+
+    words = "the cob rose. the lob fell. the cob fell. the job"
+    engine = Engine(spark, Settings(min_count=1), user="u", own=personal.Personal(spark, str(tmp_path / "p")))
+    engine.load_global_text(spark.createDataFrame([(words,)], "text string"))
+    slips = [("u", k, "correct", "kat", "cat") for k in range(400)] + [("u", 500, "undo", "lobb", "lob"), ("v", 1, "undo", "cobb", "cob")]
+    events = spark.createDataFrame(slips, "user string, seq long, kind string, source string, target string")
+    asked = spark.createDataFrame([(1, "kob", "kob", None, "the"), (2, "lobb", "lobb", None, "the")], "query_id long, typed string, token string, w2 string, w1 string")
+    cost = lambda: {r["w"]: r["cost"] for r in engine.candidates(asked).where("query_id = 1").collect()}
+    reason = lambda: {r["query_id"]: r["reason"] for r in engine.decide(asked).collect()}
+    assert engine.costs() is None and "cob" not in cost() and reason()[2] != "learn-listed"
+    assert engine.record(events, 0) and not engine.record(events, 0)
+    assert cost()["cob"] < 1.5 and reason()[2] == "learn-listed"
+    assert "learnList" in engine.personalization_state().first()["json"]
+    engine.settings = replace(engine.settings, personalized=False)
+    assert engine.costs() is None and reason()[2] != "learn-listed" and not engine.record(events, 1)
+    engine.settings = replace(engine.settings, personalized=True)
+    assert engine.costs() is not None  # what is stored stays
+    engine.lexicon = spark.createDataFrame([("kob",)], "w string")
+    assert reason()[1] == "real-word-rare"
+    log = "doc string, seq long, text string"
+    engine.set_active_documents(spark.createDataFrame([("d", 1, "lob lob lob")], log), spark.createDataFrame([("d", 2, "lob")], log))
+    rows_ = spark.createDataFrame([("d", None, "the", "lob"), ("e", None, "the", "lob")], "doc string, w2 string, w1 string, w string")
+    lifted = {r["doc"]: r["log_prob"] for r in engine.log_prob_in(rows_).collect()}
+    assert lifted["d"] > lifted["e"]
+    menu = engine.suggestions(spark.createDataFrame([(1, "co", None, "the")], "query_id long, typed string, w2 string, w1 string"))
+    assert [r["insert"] for r in menu.orderBy("position").collect()][0] == "cob"
+    assert engine.rarities(spark.createDataFrame([("the",), ("zzz",)], "w string").coalesce(1)).where("w = 'zzz'").first()["rarity"] == 0.9
+
+
 def test_sections():
     text = "# Top\n\nOne paragraph about red foxes.\n\nShopping list\n- apples and pears\n- three more things\n\n> quoted words stand right here\n\n| a b c | words there |\n|---|---|\n| more words here | and |\n\n```\ncode not kept here at all\n```\n\nUnder line\n---\nlast paragraph with several words"
     got = [(s[4], s[5], text[s[0] : s[1]].split("\n")[0]) for s in M.segments(text)]
