@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,20 +69,23 @@ def formatted(rows: DataFrame, place: tuple[str, str, str]) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(*place)
+        reserved = [np.array([FIRST_RESERVED + k], np.int32) for k in range(len(MARKERS))]
         for block in blocks(batches):
-            shown, ids, steps = [], [], []
+            shown, ids, sizes, steps, counts = [], [np.zeros(0, np.int32)], [], [], []
             for role, text in zip(block["role"], block["text"]):
-                own, marks, piece = [], [], ""
+                size, before, piece = 0, len(steps), ""
                 for part, loss in parts(role or "", text or ""):
-                    new = [FIRST_RESERVED + part] if isinstance(part, int) else code.ids(part, False).tolist()
-                    if loss and new:
-                        marks += [len(own), len(own) + len(new)]
-                    own += new
+                    new = reserved[part] if isinstance(part, int) else code.ids(part, False).view(np.int32)
+                    if loss and len(new):
+                        steps += [size, size + len(new)]
+                    ids.append(new)
+                    size += len(new)
                     piece += MARKERS[part] if isinstance(part, int) else part
                 shown.append(piece)
-                ids.append(own)
-                steps.append(marks)
-            yield pa.RecordBatch.from_arrays([pa.array(block["conv_id"], pa.int64()), pa.array(block["turn"], pa.int64()), pa.array(block["role"], pa.string()), pa.array(block["text"], pa.string()), pa.array(shown, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(steps, pa.list_(pa.int32()))], ["conv_id", "turn", "role", "text", "shown", "ids", "steps"])
+                sizes.append(size)
+                counts.append(len(steps) - before)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(x, pa.int32())) for n, x in ((sizes, np.concatenate(ids)), (counts, steps))]
+            yield pa.RecordBatch.from_arrays([pa.array(block["conv_id"], pa.int64()), pa.array(block["turn"], pa.int64()), pa.array(block["role"], pa.string()), pa.array(block["text"], pa.string()), pa.array(shown, pa.string()), *lists], ["conv_id", "turn", "role", "text", "shown", "ids", "steps"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(conv, shown: list, ids: list, begins: list, ends: list) -> tuple:
@@ -96,7 +100,8 @@ def formatted(rows: DataFrame, place: tuple[str, str, str]) -> DataFrame:
 
         done, size, open_ = [], 0, None
         for batch in batches:
-            for conv, shown, ids, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            flat, ends = np.asarray(batch.column(2).values), batch.column(2).offsets.to_pylist()
+            for conv, shown, low, high, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:], batch.column(3).to_pylist()):
                 if open_ is None or open_[0] != conv:
                     if open_ is not None:
                         done.append(close(*open_[:5]))
@@ -104,7 +109,7 @@ def formatted(rows: DataFrame, place: tuple[str, str, str]) -> DataFrame:
                     if size > 1 << 20:
                         yield batch_of(done)
                         done, size = [], 0
-                own = np.asarray(ids.values)
+                own = flat[low:high]
                 open_[1].append(shown)
                 open_[2].append(own)
                 open_[3] += [open_[5] + s for s in steps[0::2]]
@@ -124,19 +129,22 @@ def formatted(rows: DataFrame, place: tuple[str, str, str]) -> DataFrame:
 
 def read_turns(ids: np.ndarray, loss: np.ndarray, decode) -> tuple[list[tuple[str, str]], list[str]]:
     """The turns (role, text) and the texts under the mask, from the ids alone."""
-    turns, masked, role, texts, low = [], [], "assistant", [], 1
+    turns, masked, role, low = [], [], "assistant", 1
     openers = {USER: "user", SYSTEM: "system", ROLE: None}
-    for at in np.flatnonzero(ids >= FIRST_RESERVED).tolist()[1:]:
-        marker = int(ids[at]) - FIRST_RESERVED
-        raw = decode(ids[low:at].tolist())
+    places = np.flatnonzero(ids >= FIRST_RESERVED)
+    under = np.concatenate([np.zeros(1, np.int64), np.cumsum(loss)])[places].tolist()
+    markers, numbers, every = (ids[places] - FIRST_RESERVED).tolist(), places.tolist(), ids.tolist()
+    for at, marker, before, after in zip(numbers[1:], markers[1:], under, under[1:]):
+        raw = decode(every[low:at])
         if marker in openers:
-            role, texts = openers[marker], []
+            role = openers[marker]
         elif marker == ROLE_END:
             role = unescape(raw)
         else:
-            turns.append((role, unescape(raw)))
-            if at > low and loss[low:at].all():
-                masked.append(unescape(raw))
+            text = unescape(raw)
+            turns.append((role, text))
+            if at > low and after - before == at - low:
+                masked.append(text)
             role = "assistant"
         low = at + 1
     return turns, masked
@@ -148,16 +156,19 @@ def read_back(found: DataFrame, place: tuple[str, str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(*place)
 
-        for block in blocks(batches):
-            out: list[list] = [[] for _ in range(6)]
-            for conv, text, ids, loss in zip(block["conv_id"], block["text"], block["ids"], block["loss"]):
-                mask = np.array(loss, np.int8)
-                turns, masked = read_turns(np.array(ids, np.int64), mask, code.text)
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            ids, loss = batch.column(2), batch.column(3)
+            flat, mask, ends = np.asarray(ids.values), np.asarray(loss.values), ids.offsets.to_pylist()
+            shift = (np.asarray(loss.offsets)[0] if len(loss) else 0) - (ends[0] if ends else 0)
+            for low, high in zip(ends, ends[1:]):
+                turns, masked = read_turns(flat[low:high], mask[low + shift : high + shift], code.text)
                 under = "".join(masked)
-                row = (conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text))
+                row = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest())
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            columns = [batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds)), pc.utf8_length(batch.column(1).cast(pa.string())).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return found.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return found.select("conv_id", "text", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
