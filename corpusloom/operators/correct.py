@@ -34,7 +34,7 @@ def near(typed: DataFrame, vocab: DataFrame, most: float = MOST, costs: C.Confus
 
     def listed(words: DataFrame, name: str) -> DataFrame:
         own = words.select(name, forms(name).alias("forms"))
-        return own.select(name, F.array_max(F.transform("forms", F.length)).alias(f"{name}_n"), F.explode("forms").alias("form"))
+        return own.select(name, F.length(F.get("forms", F.lit(0))).alias(f"{name}_n"), F.explode("forms").alias("form"))
 
     pairs = listed(asked, "typed").join(listed(vocab, "w"), "form").where(F.abs(F.col("typed_n") - F.col("w_n")) <= C.Signature(costs, most).shift).select("typed", "w")
     cost = C.cost_by(costs, most)("typed", "w")
