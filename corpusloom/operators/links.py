@@ -132,18 +132,25 @@ def tag_popup(tf: DataFrame, counts: DataFrame, applied: DataFrame, rarity: Data
     first = named.withColumn("query", F.lit("")).orderBy(F.desc(F.round(score, 9)), "tag").limit(most)
     general = general.unionByName(first.join(queries.where("sought = ''").select("query"), "query"), allowMissingColumns=True).withColumn("score", score)
     general = general.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= most).select("query", "tag", "leaf", "n", "rarity")
-    terms = tf.select(id_col, F.col("term"), "tf")
-    hit = named.select("tag", "leaf", "n", "rarity", F.explode(F.array("tag", "leaf")).alias("term")).join(terms, "term").groupBy(id_col, "tag", "leaf", "n", "rarity").agg(F.sum("tf").alias("hits"))
-    hit = own.join(hit, id_col).where(fits).select(id_col, "query", "tag", "leaf", "n", "rarity", "hits")
+    # a note's rows meet in one task; of its hits and its own words no more stay than can be shown once its applied tags are out
+    best = Window.partitionBy(id_col, "query").orderBy(F.desc(F.round("score", 9)), "tag")
+    base = tf.select(id_col, "term", "tf").join(own, id_col).repartition(id_col)
+    same = F.col("tag") == F.col("leaf")
+    keys = named.select("tag", "leaf", "n", "rarity", F.col("tag").alias("term"), F.when(same, 2).otherwise(1).alias("times"))
+    keys = keys.unionByName(named.where(~same).select("tag", "leaf", "n", "rarity", F.col("leaf").alias("term"), F.lit(1).alias("times")))
+    hit = base.join(keys, "term").where(fits).groupBy(id_col, "query", "tag", "leaf", "n", "rarity").agg(F.sum(F.col("tf") * F.col("times")).alias("hits"))
+    hit = hit.withColumn("score", match * (0.5 + F.col("hits")) * F.col("rarity") * F.log(F.col("n") + 2)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
+    hit = staged(hit.select(id_col, "query", "tag", "leaf", "n", "rarity", "hits"), "tag-hits")
     rest = own.join(general, "query").select(id_col, "query", "tag", "leaf", "n", "rarity", F.lit(0).cast("long").alias("hits")).join(hit.select(id_col, "tag"), [id_col, "tag"], "left_anti")
     known = hit.unionByName(rest).join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti")
     known = known.withColumn("score", match * (0.5 + F.col("hits")) * F.col("rarity") * F.log(F.col("n") + 2))
     known = known.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= existing).select(id_col, "tag", F.lit(False).alias("is_new"), "score", "r")
-    fresh = own.join(terms.withColumnRenamed("term", "tag"), id_col).where((F.length("tag") >= 4) & X.is_valid_tag("tag") & F.expr("tag rlike letters"))
-    fresh = fresh.join(counts.select("tag"), "tag", "left_anti").join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti")
+    fresh = base.withColumnRenamed("term", "tag").where((F.length("tag") >= 4) & X.is_valid_tag("tag") & F.expr("tag rlike letters"))
+    fresh = fresh.join(counts.select("tag"), "tag", "left_anti")
     fresh = fresh.join(rarity.select(F.col("w").alias("tag"), "rarity"), "tag", "left").withColumn("rarity", F.coalesce("rarity", F.lit(0.5))).where("rarity >= 0.4")
     lift = F.when((F.col("query") != "") & begins("tag"), 1.4).otherwise(1.0)
-    fresh = fresh.withColumn("score", F.col("tf") * F.col("rarity") * lift * 0.8)
+    fresh = fresh.withColumn("score", F.col("tf") * F.col("rarity") * lift * 0.8).withColumn("r", F.row_number().over(best)).where(F.col("r") <= most - existing + max(total, least_new))
+    fresh = fresh.select(id_col, "tag", "score").join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti")
     shown = known.groupBy(id_col).agg(F.count("*").alias("shown"))
     fresh = fresh.join(shown, id_col, "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
     fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag"))).where(F.col("r") <= F.greatest(F.lit(least_new), total - F.col("shown")))

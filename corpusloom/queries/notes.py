@@ -18,6 +18,7 @@ from corpusloom.operators import vectors as V
 from corpusloom.queries import sql as S
 from corpusloom.queries.language import table
 from corpusloom.queries.retrieval import TF
+from corpusloom.session import staged
 
 
 def _docs(spark, sf_dir):
@@ -98,10 +99,10 @@ def note_links(spark, sf_dir):
 
 def _tags(spark, sf_dir):
     """Tags of documents: a frequent term, and the language with a term as a leaf."""
-    tf = V.term_frequency(_docs(spark, sf_dir), "doc_id")
+    tf = staged(V.term_frequency(_docs(spark, sf_dir), "doc_id"), "tag-terms")
     tops = tf.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("tf"), "term"))).where("r <= 2")
     leaf = tops.join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").where("r = 2").select("doc_id", F.concat_ws("/", "lang", "term").alias("tag"))
-    return tf, tops.where("r = 1").select("doc_id", F.col("term").alias("tag")).unionByName(leaf)
+    return tf, staged(tops.where("r = 1").select("doc_id", F.col("term").alias("tag")).unionByName(leaf), "tags-applied")
 
 
 TAGS = f"""{TF}, tops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS r FROM tf),
@@ -161,7 +162,7 @@ def tag_popup(spark, sf_dir):
     """What is offered once a tag's first letter, that of the note's language, is typed."""
     tf, tags = _tags(spark, sf_dir)
     asked = _docs(spark, sf_dir).select("doc_id", F.substring("lang", 1, 1).alias("query")).where("query is not null")
-    rarity = ngram.document_frequency(_docs(spark, sf_dir)).select("w", (1 / F.sqrt("df")).alias("rarity"))
+    rarity = staged(ngram.document_frequency(_docs(spark, sf_dir)).select("w", (1 / F.sqrt("df")).alias("rarity")), "rarity")
     found = K.tag_popup(tf, K.tag_counts(tags), tags, rarity, asked, "doc_id")
     return found.select("doc_id", "tag", "is_new", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
