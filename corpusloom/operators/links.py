@@ -98,10 +98,13 @@ def suggest_tags(tf: DataFrame, raw: DataFrame, counts: DataFrame, applied: Data
     """
     named = counts.withColumn("leaf", F.regexp_extract("tag", r"([^/]*)\z", 1))
     keys = named.select("tag", "n", F.explode(F.array("tag", "leaf")).alias("term"))
-    every = tf.select(id_col, "term", "tf").unionByName(raw.select(id_col, "term", "tf")).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"))
-    hits = every.join(keys, "term").groupBy(id_col, "tag", "n").agg(F.sum("tf").alias("hits"))
-    scored = hits.join(applied.select(id_col, "tag").distinct(), [id_col, "tag"], "left_anti").withColumn("score", F.col("hits") * F.log(F.col("n") + 1))
+    applied = staged(applied.select(id_col, "tag").distinct(), "applied")
+    most = limit + (applied.groupBy(id_col).count().agg(F.max("count")).first()[0] or 0)
+    # a note's rows meet in one task, and of its hits no more leave it than can be shown once its applied tags are out
+    every = tf.select(id_col, "term", "tf").unionByName(raw.select(id_col, "term", "tf")).where(F.col(id_col).isNotNull()).repartition(id_col)
+    hits = every.join(keys, "term").groupBy(id_col, "tag", "n").agg(F.sum("tf").alias("hits")).withColumn("score", F.col("hits") * F.log(F.col("n") + 1))
     order = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "tag")
+    scored = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).join(applied, [id_col, "tag"], "left_anti")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(id_col, "tag", "score", "rank")
 
 
