@@ -11,14 +11,7 @@ import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches between the JVM and Python by rows and by bytes, so long texts cannot swell them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+from corpusloom.session import BATCH_BYTES, BATCH_ROWS, bound_batches  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
