@@ -8,7 +8,7 @@ from corpusloom.functions import channel as C
 from corpusloom.operators import correct as K
 from corpusloom.operators import ngram
 from corpusloom.queries import sql as S
-from corpusloom.queries.language import model_of, table
+from corpusloom.queries.language import model_of, table, words_of
 
 
 def _model(spark, sf_dir):
@@ -17,7 +17,7 @@ def _model(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return model_of(spark, sf_dir).uni
+    return words_of(spark, sf_dir)
 
 
 def _typed(spark, sf_dir):
@@ -78,7 +78,7 @@ def respaced(spark, sf_dir):
 def segments_of_joined(spark, sf_dir):
     """Pairs of neighbouring benchmark words run together and cut again."""
     asked = _queries(spark, sf_dir).where("w1 is not null").select(F.concat("w1", "w").alias("typed"))
-    found = K.segmented(_model(spark, sf_dir), asked)
+    found = K.segmented(ngram.Counts(_vocabulary(spark, sf_dir), None, None), asked)
     return found.select("typed", F.array_join("words", " ").alias("words"), F.round("log_prob", 6).alias("log_prob"))
 
 

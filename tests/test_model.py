@@ -48,3 +48,21 @@ def test_a_mask_keeps_every_asked_row_and_few_others(spark, monkeypatch):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("w"))
     kept = {int(r["w"]) for r in ngram.narrowed(df, df.where("w < 1000"), ["w"]).collect()}
     assert set(range(1000)) <= kept and len(kept) < 6000
+
+
+def test_sizes_in_one_pass(spark, docs):
+    assert found(ngram.sizes(docs)) == found(ngram.count(docs).sizes())
+    assert found(ngram.sizes(docs.where("text is null"))) == [("1", "0", "0")]
+    plan = ngram.sizes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_questions_of_words_write_no_model(spark, tmp_path):
+    from corpusloom.queries import language, spelling
+
+    spark.createDataFrame([("the cat sat on the mat. thecat",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the cat sat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(language._MODELS)
+    assert {r["prefix"]: r["w"] for r in spelling.prefix_completions(spark, str(tmp_path)).collect()} == {"the": "thecat"}
+    assert {r["typed"]: r["words"] for r in spelling.segments_of_joined(spark, str(tmp_path)).collect()} == {"thecat": "thecat", "catsat": "cat sat"}
+    assert {k[2] for k in set(language._MODELS) - before} == {"words"}
