@@ -10,6 +10,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import ngram
 from corpusloom.queries import sql as S
 from corpusloom.queries.language import table
+from corpusloom.session import bound_batches
 
 PATTERNS = ["site1.example/blog", "*.example/a*/**", "**/p?ge*", "archive/**"]
 
@@ -248,6 +249,7 @@ SELECT doc_id, CASE WHEN length(one) > 100 THEN regexp_replace(left(one, 100), '
 
 def markdown_zones(spark, sf_dir):
     """The zone at the end of every page and of every document."""
+    bound_batches(spark)
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("id"), F.col("html").alias("text"))
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
     return pages.unionByName(docs).select("id", X.markdown_zone("text").alias("zone"), X.upper_from_text("text").alias("upper"))
