@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lists as L
 from corpusloom.queries import sql as S
 from corpusloom.queries.language import table
-from corpusloom.session import shared_dir
+from corpusloom.session import shared_dir, staged
 from corpusloom.streaming import changes, learning, livecache, maintained, personal, timers
 
 
@@ -158,10 +158,11 @@ LEARNED = """WITH e AS (SELECT user_id::VARCHAR AS user, event_type, (floor(valu
     SELECT user, part, kind, key, count(*)::DOUBLE AS n FROM x GROUP BY ALL UNION ALL SELECT DISTINCT user, 'learn', '', 's' || d, 1.0::DOUBLE FROM e WHERE event_type = 'error'"""
 
 
-def _maintained(spark, sf_dir):
-    """The tables of the conversations' turns, then followed through the changes of _talk."""
-    talk, state, feed = _talk(spark, sf_dir)
-    own = maintained.Maintained(spark, _folder(spark, "maintained"), k=4, reserve=2)
+def _maintained(spark, sf_dir, table):
+    """A table of the conversations' turns, then followed through the changes of _talk."""
+    _, state, feed = _talk(spark, sf_dir)
+    state = staged(state, "state")
+    own = maintained.Maintained(spark, _folder(spark, "maintained"), k=4, reserve=2, tables=(table,))
     own.apply(state, 0)
     own.apply(maintained.difference(state, feed), 1)
     return own
@@ -169,12 +170,12 @@ def _maintained(spark, sf_dir):
 
 def maintained_lists(spark, sf_dir):
     """The four most frequent words of each context after a batch of changes."""
-    return _maintained(spark, sf_dir).lists()
+    return _maintained(spark, sf_dir, "lists").lists()
 
 
 def maintained_continuation(spark, sf_dir):
     """In how many left contexts each word occurs after a batch of changes."""
-    return _maintained(spark, sf_dir).continuation()
+    return _maintained(spark, sf_dir, "continuation").continuation()
 
 
 _LISTED = """SELECT 1 AS n, '' AS w2, '' AS w1, w, c FROM uni UNION ALL SELECT 2, '', w1, w, c FROM bi UNION ALL SELECT 3, w2, w1, w, c FROM tri"""

@@ -10,10 +10,13 @@ replaying a batch gives the same state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusloom.functions import lists as L
 from corpusloom.operators import ngram
 from corpusloom.operators.graph import connected
 from corpusloom.session import staged
@@ -59,25 +62,42 @@ def resolved(changes: DataFrame, paths: DataFrame) -> DataFrame:
     own = paths.join(groups, paths["path"] == groups["id"]).select("component", paths["path"], F.lit(None).cast("long").alias("seq"), F.lit("has").alias("op"), F.lit(None).cast("string").alias("to"))
     mixed = own.unionByName(placed.where("component is not null").select("component", "path", "seq", "op", F.when(F.col("op") == "rename", F.col("text")).alias("to")))
 
-    def fold(pdf):
-        import pandas as pd
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        found = folded([r for r in rows if r[1] != "has"], {r[2] for r in rows if r[1] == "has"})
+        columns = list(zip(*((p, *x) for p, x in found.items()))) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["path", "kind", "source", "at"])
 
-        present = set(pdf.loc[pdf["op"] == "has", "path"])
-        rows = pdf[pdf["op"] != "has"]
-        found = folded(list(zip(rows["seq"].astype("int64"), rows["op"], rows["path"], rows["to"])), present)
-        return pd.DataFrame([(p, *x) for p, x in found.items()], columns=["path", "kind", "source", "at"]).astype({"at": "Int64"})
+    def fold(batches):
+        last, held = None, []
+        for batch in batches:
+            for component, *row in zip(*(batch[c].to_pylist() for c in ("component", "seq", "op", "path", "to"))):
+                if held and component != last:
+                    yield told(held)
+                    held = []
+                last = component
+                held.append(tuple(row))
+        if held:
+            yield told(held)
 
-    return alone.unionByName(mixed.groupBy("component").applyInPandas(fold, "path string, kind string, source string, at long"))
+    # groups one after another in a task, as a call for each would cost more than its few changes
+    dealt = mixed.repartition("component").sortWithinPartitions("component")
+    return alone.unionByName(dealt.mapInArrow(fold, "path string, kind string, source string, at long"))
 
 
 def path_counts(docs: DataFrame) -> DataFrame:
     """STATE rows of documents (path, text)."""
-    counts = ngram.count(docs, by=("path",))
+    rows = ngram.sentences(docs).select("path", F.explode("sentences").alias("s"))
     none = F.lit(None).cast("string")
-    uni = counts.uni.select("path", F.lit(1).alias("n"), none.alias("w2"), none.alias("w1"), "w", "c")
-    bi = counts.bi.select("path", F.lit(2).alias("n"), none.alias("w2"), "w1", "w", "c")
-    tri = counts.tri.select("path", F.lit(3).alias("n"), "w2", "w1", "w", "c")
-    return uni.unionByName(bi).unionByName(tri)
+
+    def gram(n: int, w2: Column, w1: Column, w: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), w2.alias("w2"), w1.alias("w1"), w.alias("w"))
+
+    # every word ends a trigram, and the first of a sentence comes after the pair of two markers
+    w2, w1, w, mark = F.col("w2"), F.col("w1"), F.col("w"), F.lit(L.SOS)
+    own = [gram(1, none, none, w), gram(2, none, w1, w), gram(3, w2, w1, w)]
+    each = F.when((w2 == L.SOS) & (w1 == L.SOS), F.array(*own, gram(2, none, mark, mark))).otherwise(F.array(*own))
+    found = ngram.occurrences(rows, ["w2", "w1", "w"], ("path",)).select("path", F.explode(each).alias("g")).select("path", "g.*")
+    return found.groupBy("path", *KEYS).agg(F.count("*").alias("c"))
 
 
 def applied(state: DataFrame, changes: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ngram
 from corpusloom.session import staged
 from corpusloom.streaming import changes
 from corpusloom.streaming.runs import FAN, RunLog
 
 K, RESERVE = 16, 16
+TABLES = ("frequency", "continuation", "lists")
 CONTEXT = ["n", "w2", "w1"]
 GRAM = [*CONTEXT, "w"]
 COUNT = "n int, w2 string, w1 string, w string, c long"
@@ -38,9 +40,9 @@ def difference(state: DataFrame, batch: DataFrame) -> DataFrame:
     """STATE rows of the paths that a batch of changes touches, old ones negative: changes.applied(state, batch) less state."""
     batch = staged(batch.where("op in ('set', 'remove', 'rename') and path is not null"), "changes")
     paths = batch.select("path").unionByName(batch.where("op = 'rename'").select(F.col("text").alias("path"))).distinct()
-    before = state.join(paths, "path", "left_semi")
+    before = staged(state.join(paths, "path", "left_semi"), "before")
     after = changes.applied(before, batch)
-    return after.unionByName(before.withColumn("c", -F.col("c")))
+    return staged(after.unionByName(before.withColumn("c", -F.col("c"))), "difference")
 
 
 def grams(found: DataFrame) -> DataFrame:
@@ -83,35 +85,51 @@ def _lists(rows: DataFrame, size: int) -> DataFrame:
     return ranked.groupBy(*CONTEXT).agg(words.alias("words"), F.when(cut, last["c"]).otherwise(F.first("floor_c")).alias("floor_c"), F.when(cut, last["w"]).otherwise(F.first("floor_w")).alias("floor_w"))
 
 
+def _no_floor() -> list[Column]:
+    return [F.lit(None).cast("long").alias("floor_c"), F.lit(None).cast("string").alias("floor_w")]
+
+
 class Maintained:
     """The tables below a folder that all executors share; a batch counts once, however often it comes."""
 
-    def __init__(self, spark: SparkSession, folder: str, k: int = K, reserve: int = RESERVE, fan: int = FAN):
+    def __init__(self, spark: SparkSession, folder: str, k: int = K, reserve: int = RESERVE, fan: int = FAN, tables: tuple[str, ...] = TABLES):
+        """Of the tables beside counts, those that are not named are not kept; one folder is always given the same."""
         folder = folder.rstrip("/")
-        self.spark, self.k, self.size = spark, k, k + reserve
+        self.spark, self.k, self.size, self.tables = spark, k, k + reserve, tables
         self._counts = RunLog(spark, f"{folder}/counts", COUNT, _sums(GRAM), fan)
         self._frequency = RunLog(spark, f"{folder}/frequency", "w string, c long", _sums(["w"]), fan)
         self._continuation = RunLog(spark, f"{folder}/continuation", "w string, c long", _sums(["w"]), fan)
         self._tops = RunLog(spark, f"{folder}/lists", LIST, _latest, fan)
 
     def apply(self, found: DataFrame, batch: int) -> None:
-        """Take in difference() rows of a batch."""
-        found = staged(found, "difference")
+        """Take in difference() rows of a batch, which are read more than once."""
         delta = staged(grams(found), "delta")
         self._counts.append(delta, batch)
-        self._frequency.append(frequencies(found), batch)
+        if "frequency" in self.tables:
+            self._frequency.append(frequencies(found), batch)
         # counts have the batch by now, also where it comes a second time
-        now = staged(delta.select(*GRAM, F.col("c").alias("d")).join(self._counts.read(), GRAM, "left").withColumn("c", F.coalesce("c", F.lit(0))), "now")
-        crossed = (F.col("c") > 0).cast("long") - (F.col("c") > F.col("d")).cast("long")
-        pairs = now.where("n = 2").groupBy("w").agg(F.sum(crossed).alias("c")).where("c <> 0")
-        self._continuation.append(pairs, batch)
-        if self._tops.batch is None or self._tops.batch < batch:
-            self._tops.append(self.relisted(now), batch)
+        now = delta.withColumn("d", F.col("c")) if self._counts.runs()[0].low == batch else staged(self._since(delta), "now")
+        if "continuation" in self.tables:
+            crossed = (F.col("c") > 0).cast("long") - (F.col("c") > F.col("d")).cast("long")
+            pairs = now.where("n = 2").groupBy("w").agg(F.sum(crossed).alias("c")).where("c <> 0")
+            self._continuation.append(pairs, batch)
+        if "lists" in self.tables and (self._tops.batch is None or self._tops.batch < batch):
+            self._tops.append(self.relisted(now) if self._tops.runs() else self.listed(now), batch)
+
+    def _since(self, delta: DataFrame) -> DataFrame:
+        """(context, w, d, c): a batch's differences and the counts they led to."""
+        counts = self._counts.read(lambda rows: ngram.narrowed(rows, delta, GRAM))
+        both = counts.select(*GRAM, "c", F.lit(None).cast("long").alias("d")).unionByName(delta.select(*GRAM, F.lit(0).cast("long").alias("c"), F.col("c").alias("d")))
+        return both.groupBy(*GRAM).agg(F.sum("c").alias("c"), F.max("d").alias("d")).where("d is not null")
+
+    def listed(self, now: DataFrame) -> DataFrame:
+        """The lists where there are none yet."""
+        return _lists(now.where("c > 0").select(*GRAM, "c", *_no_floor()), self.size)
 
     def relisted(self, now: DataFrame) -> DataFrame:
         """The new lists of the contexts of `now`: (context, w, d, c), differences and the counts they led to."""
-        touched = now.select(*CONTEXT).distinct()
-        old = staged(self._tops.read().join(touched, CONTEXT, "left_semi"), "old-lists")
+        touched = staged(now.select(*CONTEXT).distinct(), "touched")
+        old = staged(self._tops.read(lambda rows: ngram.narrowed(rows, touched, CONTEXT)).join(touched, CONTEXT, "left_semi"), "old-lists")
         listed = old.select(*CONTEXT, F.explode("words").alias("x")).select(*CONTEXT, "x.*")
         kept = listed.join(now.select(*GRAM), GRAM, "left_anti").select(*GRAM, "c")
         floors = old.select(*CONTEXT, "floor_c", "floor_w")
@@ -120,8 +138,8 @@ class Maintained:
         enough = sure.groupBy(*CONTEXT).agg(F.count("*").alias("sure"))
         dry = floors.where("floor_c is not null").join(enough, CONTEXT, "left").where(F.coalesce("sure", F.lit(0)) < self.k).select(*CONTEXT)
         dry = staged(dry, "dry")
-        none = [F.lit(None).cast("long").alias("floor_c"), F.lit(None).cast("string").alias("floor_w")]
-        refilled = self._counts.read().join(dry, CONTEXT, "left_semi").where("c > 0").select(*GRAM, "c", *none)
+        none = _no_floor()
+        refilled = self._counts.read(lambda rows: ngram.narrowed(rows, dry, CONTEXT)).join(dry, CONTEXT, "left_semi").where("c > 0").select(*GRAM, "c", *none)
         fresh = _lists(sure.join(dry, CONTEXT, "left_anti").select(*GRAM, "c", "floor_c", "floor_w").unionByName(refilled), self.size)
         empty = touched.join(fresh.select(*CONTEXT), CONTEXT, "left_anti")
         return staged(fresh, "fresh").unionByName(empty.select(*CONTEXT, F.array().cast("array<struct<c:long,w:string>>").alias("words"), *none))

@@ -102,8 +102,10 @@ class RunLog:
             out = out.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.folder}/runs/{r.name}").withColumn("run", F.lit(r.high).cast("long")))
         return out
 
-    def read(self) -> DataFrame:
-        return self.merge(self._read(self.runs()), True)
+    def read(self, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The state; or of the rows that `only` keeps, which must keep or drop all rows that are merged into one."""
+        rows = self._read(self.runs())
+        return self.merge(only(rows) if only else rows, True)
 
     def _write(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex

@@ -66,3 +66,30 @@ def test_no_change_touches_nothing(spark, tmp_path):
     assert maintained.grams(same).count() == maintained.frequencies(same).count() == 0
     own.apply(same, 1)
     assert own.lists().count() == 7
+
+
+def test_only_the_named_tables_are_kept(spark, tmp_path):
+    state = changes.path_counts(spark.createDataFrame([("a", "One two one two. One three."), ("b", "two three"), ("a", "three")], "path string, text string"))
+    assert state.select("path", "n", "w2", "w1", "w").distinct().count() == state.count()  # a path that comes twice adds up
+    own = maintained.Maintained(spark, str(tmp_path / "m"), tables=("continuation",))
+    own.apply(state, 0)
+    own.apply(maintained.difference(state, spark.createDataFrame([("remove", "a", None, 1)], changes.CHANGE)), 1)
+    assert sorted(map(tuple, own.continuation().collect())) == [("<s>", 1), ("three", 1), ("two", 1)]
+    assert own.lists().count() == own.document_frequency().count() == 0
+
+
+def test_groups_of_renames_in_one_task(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a group goes over batches
+    try:
+        feed = [x for i in range(20) for x in (("rename", f"p{i}", f"q{i}", 1), ("set", f"p{i}", "new", 2), ("rename", f"q{i}", f"r{i}", 3))]
+        df = spark.createDataFrame(feed, changes.CHANGE)
+        paths = spark.createDataFrame([(f"p{i}",) for i in range(0, 20, 2)], "path string")
+        got = {r["path"]: (r["kind"], r["source"], r["at"]) for r in changes.resolved(df, paths).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    want = {}
+    for i in range(20):
+        want |= changes.folded([(1, "rename", f"p{i}", f"q{i}"), (2, "set", f"p{i}", "new"), (3, "rename", f"q{i}", f"r{i}")], {f"p{i}"} if i % 2 == 0 else set())
+    assert got == want
